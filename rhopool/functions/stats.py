@@ -52,7 +52,7 @@ def _horner(coef: list[float], x: Column) -> Column:
 def finite(x) -> Column:
     """Map NaN and +-Inf to NULL; NULL is the only missing value inside the engine."""
     c = _c(x).cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(c * F.lit(0.0) == F.lit(0.0), c)
 
 
 def div(a, b) -> Column:

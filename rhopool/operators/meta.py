@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rhopool.functions import stats as S
 from rhopool.operators.fdr import adjust
+from rhopool.session import materialize
 
 CONDITIONS = ["control", "sepsis", "septic shock"]
 
@@ -118,9 +119,12 @@ def opposite_directions(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("gene_a_direction") != F.col("gene_b_direction"))
 
 
-def pivot_conditions(rows: DataFrame, values: dict[str, str], order: list[str]) -> DataFrame:
-    """First non-null value per (pair, study) and condition; ``order`` makes "first" well defined."""
-    ordering = F.struct(*order)
+def pivot_conditions(rows: DataFrame, values: dict[str, str], order: str = "gene_a_key") -> DataFrame:
+    """First non-null value per (pair, study) and condition; ``order`` makes "first" well defined.
+
+    One numeric order column keeps every buffer primitive, hence a hash aggregation.
+    """
+    ordering = F.col(order)
     aggs = []
     for cond in CONDITIONS:
         short = cond.split()[-1]
@@ -130,7 +134,7 @@ def pivot_conditions(rows: DataFrame, values: dict[str, str], order: list[str])
     return rows.groupBy("pair_id", "study_key").agg(*aggs)
 
 
-def study_contrasts(rows: DataFrame, missing: str = "drop", order: list[str] | None = None) -> DataFrame:
+def study_contrasts(rows: DataFrame, missing: str = "drop", order: str = "gene_a_key") -> DataFrame:
     """Per-study shock-sepsis and shock-others deltas with standard errors.
 
     ``missing="drop"``: a contrast needs its conditions; "others" uses whichever
@@ -139,7 +143,6 @@ def study_contrasts(rows: DataFrame, missing: str = "drop", order: list[str] | N
     """
     if missing not in ("drop", "zero"):
         raise ValueError(f"unknown missing mode {missing!r}")
-    order = order or ["gene_a_key", "gene_b_key"]
     if missing == "drop":
         rows = rows.withColumn("z", F.when(F.col("n_eff").isNotNull(), F.col("z"))) \
                    .withColumn("n_eff", F.when(F.col("z").isNotNull(), F.col("n_eff")))
@@ -163,8 +166,15 @@ def study_contrasts(rows: DataFrame, missing: str = "drop", order: list[str] | N
         (F.col("z_shock") - others).alias("dz_soth"), F.sqrt(inv_sh + inv_others).alias("se_soth"))
 
 
-def _series(df: DataFrame, name, x: str, se) -> DataFrame:
-    return df.select("pair_id", name.alias("series"), F.col(x).alias("x"), se.alias("se"))
+def study_series(per_study: DataFrame) -> DataFrame:
+    """One row per (pair, study, series): the two contrasts and the three conditions."""
+    se = lambda n: F.when(F.col(n) > 0, F.sqrt(S.div(F.lit(1.0), n)))
+    series = F.array(
+        *[F.struct(F.lit(c).alias("series"), F.col(f"dz_{c}").alias("x"), F.col(f"se_{c}").alias("se"))
+          for c in ("ss", "soth")],
+        *[F.struct(F.lit(g).alias("series"), F.col(f"z_{g.split()[-1]}").alias("x"),
+                   se(f"ne_{g.split()[-1]}").alias("se")) for g in CONDITIONS])
+    return per_study.select("pair_id", F.inline(series)).where("x is not null")
 
 
 # --- combined statistics on the pivoted pair row -------------------------------
@@ -222,23 +232,16 @@ def rank_score() -> Column:
 
 
 def pair_metrics(facts: DataFrame, missing: str = "drop", fdr: str = "standard",
-                 order: list[str] | None = None) -> DataFrame:
+                 order: str = "gene_a_key") -> DataFrame:
     """The pair metrics table: contrasts and conditions pooled over studies, combined scores, FDR, rank score.
 
-    All five series of a pair (two contrasts, three conditions) go through one
+    ``facts`` holds one row per (pair, study, condition); a repeated one counts
+    once, chosen by ``order``.  All five series of a pair (two contrasts, three conditions) go through one
     random-effects pass as rows keyed by (pair, series).
     """
-    order = order or ["gene_a_key", "gene_b_key"]
     rows = label_rows(facts)
     per_study = study_contrasts(rows, missing, order)
-    pooled_rows = reduce(DataFrame.unionByName, [
-        _series(per_study, F.lit("ss"), "dz_ss", F.col("se_ss")),
-        _series(per_study, F.lit("soth"), "dz_soth", F.col("se_soth")),
-        _series(rows.where(F.col("z").isNotNull() & F.col("n_eff").isNotNull()),
-                F.col("condition"), "z", F.sqrt(S.div(F.lit(1.0), "n_eff"))),
-    ])
-    dl = random_effects(pooled_rows, ["pair_id", "series"], "x", "se")
-    # Kept inside the pooled row so the pivot below is one aggregation.
+    dl = random_effects(study_series(per_study), ["pair_id", "series"], "x", "se")
     dl = dl.withColumn("kappa", sign_agreement())
     pick = lambda series, col, name: F.max(F.when(F.col("series") == series, F.col(col))).alias(name)
     aggs = []
@@ -254,15 +257,7 @@ def pair_metrics(facts: DataFrame, missing: str = "drop", fdr: str = "standard",
             aggs.append(pick(g, src, name))
     wide = dl.groupBy("pair_id").agg(*aggs)
 
-    ordering = F.struct(*order)
-    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), ordering)).alias(c)
-    per_pair = rows.groupBy("pair_id").agg(
-        *[first(c) for c in ("expr_a_case", "expr_a_ctrl", "expr_b_case", "expr_b_ctrl",
-                             "gene_a_name", "gene_b_name", "gene_a_key", "gene_b_key")],
-        *[F.coalesce(F.sum(F.when(F.col("condition") == g, F.col("n_samples"))), F.lit(0))
-           .alias(f"{g.replace(' ', '_')}_n_samples") for g in CONDITIONS])
-
-    m = wide.join(per_pair, "pair_id")
+    m = wide.join(pair_facts(rows, order), "pair_id")
     m = m.withColumns({
         "abs_dz_ss": F.abs("dz_ss_mean"), "abs_dz_soth": F.abs("dz_soth_mean"),
         "total_samples": F.col("control_n_samples") + F.col("sepsis_n_samples") + F.col("septic_shock_n_samples"),
@@ -275,19 +270,39 @@ def pair_metrics(facts: DataFrame, missing: str = "drop", fdr: str = "standard",
                        **combined_columns(), **expression_columns()})
     m = m.withColumnsRenamed({"gene_a_name": "GeneAName", "gene_b_name": "GeneBName",
                               "gene_a_key": "GeneAKey", "gene_b_key": "GeneBKey"})
-    m = add_fdr(m, {"p_ss": "q_ss", "p_soth": "q_soth"}, fdr)
+    # FDR reads the pair table several times; store it once instead of recomputing the pooling.
+    m = add_fdr(materialize(m, "pooled"), {"p_ss": "q_ss", "p_soth": "q_soth"}, fdr)
     return m.withColumn("rank_score", rank_score()).select(*METRIC_COLUMNS)
 
 
 def add_fdr(m: DataFrame, columns: dict[str, str], mode: str, key: str = "pair_id") -> DataFrame:
     """BH for several p columns over one narrow (series, p) table, joined back by pair once."""
-    long = reduce(DataFrame.unionByName, [
-        m.select(key, F.lit(q).alias("series"), F.col(p).alias("p")) for p, q in columns.items()])
+    long = m.select(key, *columns).unpivot([key], list(columns), "series", "p")
     qs = adjust(long, "p", "q", ["series"], mode)
-    wide = qs.groupBy(key).agg(*[F.max(F.when(F.col("series") == q, F.col("q"))).alias(q) for q in columns.values()])
+    wide = qs.groupBy(key).agg(*[F.max(F.when(F.col("series") == p, F.col("q"))).alias(q) for p, q in columns.items()])
     return m.join(wide, key)
 
 
+def pair_facts(rows: DataFrame, order: str = "gene_a_key") -> DataFrame:
+    """Names, keys, first expression values and sample totals per pair.
+
+    The bulk of the rows is reduced with primitive buffers; the names ride along
+    as grouping keys and are chosen from the few oriented rows left per pair.
+    """
+    names = ["gene_a_key", "gene_b_key", "gene_a_name", "gene_b_name"]
+    exprs = ["expr_a_case", "expr_a_ctrl", "expr_b_case", "expr_b_ctrl"]
+    totals = [f"{g.replace(' ', '_')}_n_samples" for g in CONDITIONS]
+    oriented = rows.groupBy("pair_id", *names).agg(
+        F.min(order).alias("_ord"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in exprs],
+        *[F.coalesce(F.sum(F.when(F.col("condition") == g, F.col("n_samples"))), F.lit(0)).alias(t)
+          for g, t in zip(CONDITIONS, totals)])
+    ordering = F.struct("_ord", "gene_a_key", "gene_b_key")
+    return oriented.groupBy("pair_id").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), ordering)).alias(c) for c in names + exprs],
+        *[F.sum(t).alias(t) for t in totals])
+
+
 # --- the simple variant ---------------------------------------------------------
 
 def welch(prefix_a: str, prefix_b: str) -> dict[str, Column]:
@@ -300,11 +315,11 @@ def welch(prefix_a: str, prefix_b: str) -> dict[str, Column]:
     return {"t": t, "df": df}
 
 
-def simple_pair_metrics(facts: DataFrame, fdr: str = "standard", order: list[str] | None = None,
+def simple_pair_metrics(facts: DataFrame, fdr: str = "standard", order: str = "gene_a_key",
                         with_p: bool = True) -> DataFrame:
     """Unweighted pair metrics: mean deltas, Welch tests, sd/sqrt(k) random effects, sign agreement."""
     rows = facts.withColumns({"pair_id": pair_id(), "z": S.fisher_z("rho_spearman")})
-    p = pivot_conditions(rows, {"z": "z"}, order or ["gene_a_key", "gene_b_key"])
+    p = pivot_conditions(rows, {"z": "z"}, order)
     others = S.div(F.coalesce("z_control", F.lit(0.0)) + F.coalesce("z_sepsis", F.lit(0.0)),
                    F.col("z_control").isNotNull().cast("int") + F.col("z_sepsis").isNotNull().cast("int"))
     p = p.withColumns({"dz_ss": F.col("z_shock") - F.col("z_sepsis"), "dz_sothers": F.col("z_shock") - others})
@@ -351,7 +366,7 @@ def simple_pair_metrics(facts: DataFrame, fdr: str = "standard", order: list[str
     if not with_p:
         return m.select(*cols)
     m = m.select(*cols, "p_ss", "p_sothers")
-    return add_fdr(m, {"p_ss": "q_ss", "p_sothers": "q_sothers"}, fdr)
+    return add_fdr(materialize(m, "pooled"), {"p_ss": "q_ss", "p_sothers": "q_sothers"}, fdr)
 
 
 # Default gate thresholds.
