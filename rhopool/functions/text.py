@@ -25,7 +25,7 @@ SAMPLE_NUMBER_PATTERNS = [r"(?i)Sample\s*(\d+)", r"(?i)S(\d+)", r"(\d+)"]
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "dd/MM/yyyy"]
 TITLE_LENGTH, DESCRIPTION_LENGTH, SAMPLE_TITLE_LENGTH = 500, 4000, 200
 NUMBER_PATTERN = r"-?\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?"
-DEFAULT_LABEL_KEYS = {"UNKNOWN": 0, "CONTROL": 1, "SEPSIS": 2, "SEPTIC SHOCK": 3, "NO_SEPSIS": 4}
+DEFAULT_LABEL_KEYS = {"UNKNOWN": 0, "CONTROL": 1, "SEPSIS": 2, "SEPTIC_SHOCK": 3, "NO_SEPSIS": 4}
 TECHNOLOGIES = ["RNA-SEQ", "MICROARRAY", "OTHER"]
 
 

@@ -54,12 +54,13 @@ def adjust(df: DataFrame, p: str, q: str, keys: list[str] | None = None,
                .withColumn("_rank", F.col("_before") + F.sum("_n").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)))
                .withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank")))
 
+    # Both directions run as a preceding frame: a following frame is re-read per row.
     if mode == "standard":
-        frame = in_bucket.rowsBetween(0, W.unboundedFollowing)
-        carry_frame = up.rowsBetween(1, W.unboundedFollowing)
+        walk, carry_walk = W.partitionBy(*keys, "_b").orderBy(F.desc("_p")), over_keys.orderBy(F.desc("_b"))
     else:
-        frame = in_bucket.rowsBetween(W.unboundedPreceding, 0)
-        carry_frame = up.rowsBetween(W.unboundedPreceding, -1)
+        walk, carry_walk = in_bucket, up
+    frame = walk.rowsBetween(W.unboundedPreceding, 0)
+    carry_frame = carry_walk.rowsBetween(W.unboundedPreceding, -1)
     carried = (ranked.groupBy(*keys, "_b").agg(F.min("_v").alias("_bv"))
                      .withColumn("_carry", F.min("_bv").over(carry_frame))
                      .drop("_bv"))

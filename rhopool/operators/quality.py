@@ -13,7 +13,8 @@ from rhopool.operators.clean import MANDATORY, UNIT_INTERVAL, missing_columns
 from rhopool.operators.scaling import exact_quantiles, numeric_columns
 
 # Quality thresholds.
-MAX_NULL, MAX_DUPLICATE, MIN_GENES, MAX_VALUE, MIN_SAMPLES, MAX_MISSING = 0.05, 0.02, 1000, 1_000_000, 3, 0.2
+WARN_NULL, WARN_DUPLICATE, MIN_GENES, MAX_VALUE, MIN_SAMPLES = 0.1, 0.05, 1000, 1_000_000, 3
+PENALTY_NULL, PENALTY_DUPLICATE = 0.05, 0.02
 MAX_EXPRESSION_NULL, MIN_OVERLAP, MANY_SAMPLES, MANY_GENES = 0.1, 0.8, 1000, 50_000
 PROFILE_COLUMNS = ["dz_ss_mean", "dz_soth_mean", "p_ss", "p_soth", "q_ss", "q_soth", "kappa_ss", "kappa_soth"]
 
@@ -174,8 +175,8 @@ def validate_studies(experiments: DataFrame, samples: DataFrame, annotations: Da
     f(tsv, "annotation null ratio", "metric", F.col("null_ratio"), F.col("n").isNotNull())
     f(tsv, "annotation duplicate ratio", "metric", F.col("duplicate_ratio"), F.col("n").isNotNull())
     f(tsv, "invalid sample accessions", "warning", F.col("bad"), F.col("bad") > 0)
-    f(tsv, "high annotation null ratio", "warning", F.col("null_ratio"), F.col("null_ratio") > MAX_NULL)
-    f(tsv, "high annotation duplicate ratio", "warning", F.col("duplicate_ratio"), F.col("duplicate_ratio") > MAX_DUPLICATE)
+    f(tsv, "high annotation null ratio", "warning", F.col("null_ratio"), F.col("null_ratio") > WARN_NULL)
+    f(tsv, "high annotation duplicate ratio", "warning", F.col("duplicate_ratio"), F.col("duplicate_ratio") > WARN_DUPLICATE)
 
     genes = expression.groupBy("study", "gene").agg(F.max(F.lit(1)).alias("x"))
     invalid = genes.groupBy("study").agg(F.count(F.lit(1)).alias("g"),
@@ -229,8 +230,8 @@ def quality_score(findings: DataFrame) -> DataFrame:
           for c in ("json_tsv", "tsv_expression", "json_expression")])
     overlap = (F.col("_json_tsv") + F.col("_tsv_expression") + F.col("_json_expression")) / 3.0
     penalty = lambda cond, v: F.when(cond, F.lit(float(v))).otherwise(F.lit(0.0))
-    score = (F.lit(100.0) - F.col("warnings") * 5.0 - penalty(F.col("_null") > MAX_NULL, 10)
-             - penalty(F.col("_dup") > MAX_DUPLICATE, 5) - penalty(F.col("_xnull") > MAX_EXPRESSION_NULL, 15)
+    score = (F.lit(100.0) - F.col("warnings") * 5.0 - penalty(F.col("_null") > PENALTY_NULL, 10)
+             - penalty(F.col("_dup") > PENALTY_DUPLICATE, 5) - penalty(F.col("_xnull") > MAX_EXPRESSION_NULL, 15)
              - penalty(overlap < MIN_OVERLAP, 20))
     return s.select("study", "errors", "warnings",
                     F.when(F.col("errors") > 0, F.lit(0.0))
