@@ -93,11 +93,11 @@ def derived_features(df: DataFrame, absolute: bool = True) -> DataFrame:
 
 def two_condition_features(df: DataFrame) -> DataFrame:
     """Combined p, effect and z of the two contrasts, power, and their difference."""
+    for c in ("ss", "soth"):
+        df = S.add_signed_z(df, f"p_{c}", f"dz_{c}_mean", f"dz_{c}_z")
     df = df.withColumns({
         "combined_p_value": F.sqrt(F.col("p_ss") * F.col("p_soth")),
         "combined_effect_size": F.sqrt(F.col("abs_dz_ss") * F.col("abs_dz_soth")),
-        "dz_ss_z": S.signed_z_from_p("p_ss", "dz_ss_mean"),
-        "dz_soth_z": S.signed_z_from_p("p_soth", "dz_soth_mean"),
         "delta_effect_size": F.col("dz_soth_mean") - F.col("dz_ss_mean")})
     cz2 = F.col("dz_ss_z") * F.col("dz_ss_z") + F.col("dz_soth_z") * F.col("dz_soth_z")
     return df.withColumns({"combined_z_score": F.sqrt(cz2), "statistical_power": S.div(cz2, cz2 + 1.0),

@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rational approximation of the normal upper tail
@@ -96,33 +96,36 @@ def normal_cdf(x) -> Column:
     return F.when(_c(x) > 0, F.lit(1.0) - t).otherwise(t)
 
 
-def _quantile_raw(p: Column) -> Column:
-    lo = F.sqrt(F.lit(-2.0) * F.log(F.when((p > 0) & (p < Q_LOW), p)))
+def _quantile_raw(p: Column, lo: Column, r: Column) -> Column:
+    """Lower-half quantile from p, lo = sqrt(-2 ln p) and r = (p - 1/2)^2."""
     low = _horner(Q_C, lo) / _horner(Q_D, lo)
-    q = p - F.lit(0.5)
-    r = q * q
-    mid = _horner(Q_A, r) * q / _horner(Q_B, r)
+    mid = _horner(Q_A, r) * (p - F.lit(0.5)) / _horner(Q_B, r)
     return F.when(p < Q_LOW, low).otherwise(mid)
 
 
-def normal_upper_quantile(t) -> Column:
-    """x >= 0 with P(Z > x) = t, for 0 < t <= 1/2.
+def add_upper_quantile(df: DataFrame, tail_p: str, out: str) -> DataFrame:
+    """Add x >= 0 with P(Z > x) = ``tail_p`` for 0 < tail_p <= 1/2, else NULL.
 
     Acklam's start is polished by one Halley step; working on the tail keeps
-    tiny p-values accurate where 1 - p/2 would round to 1.
+    tiny p-values accurate where 1 - p would round to 1.  Each stage is its own
+    projection: nested as one expression the polynomials multiply.
     """
-    t = F.when((_c(t) > 0) & (_c(t) <= 0.5), _c(t))
-    x = F.greatest(-_quantile_raw(t), F.lit(0.0))
-    x = F.when(t.isNotNull(), x)
-    u = (t - normal_tail(x)) * F.lit(SQRT_2PI) * F.exp(x * x / F.lit(2.0))
-    return x - u / (F.lit(1.0) + x * u / F.lit(2.0))
-
-
-def signed_z_from_p(p, effect) -> Column:
-    """z implied by a two-sided p and the sign of the effect; 0 for a missing or non-positive p."""
-    z = normal_upper_quantile(_c(p) / F.lit(2.0))
-    signed = F.when(_c(effect) >= 0, z).otherwise(-z)
-    return F.when(_c(p) > 1, F.lit(None).cast("double")).otherwise(F.coalesce(signed, F.lit(0.0)))
+    t, x, u = F.col("_t"), F.col("_x"), F.col("_u")
+    p = F.col(tail_p)
+    df = df.withColumn("_t", F.when((p > 0) & (p <= 0.5), p))
+    df = df.withColumns({"_lo": F.sqrt(F.lit(-2.0) * F.log(t)), "_r": (t - 0.5) * (t - 0.5)})
+    df = df.withColumn("_x", F.greatest(-_quantile_raw(t, F.col("_lo"), F.col("_r")), F.lit(0.0)))
+    df = df.withColumn("_u", (t - normal_tail(x)) * F.lit(SQRT_2PI) * F.exp(x * x / F.lit(2.0)))
+    return df.withColumn(out, F.when(t.isNotNull(), x - u / (F.lit(1.0) + x * u / F.lit(2.0)))) \
+             .drop("_t", "_lo", "_r", "_x", "_u")
+
+
+def add_signed_z(df: DataFrame, p: str, effect: str, out: str) -> DataFrame:
+    """Add the z implied by a two-sided p and the sign of the effect; 0 for a missing or non-positive p."""
+    df = add_upper_quantile(df.withColumn("_p2", F.col(p) / 2.0), "_p2", "_z")
+    signed = F.when(F.col(effect) >= 0, F.col("_z")).otherwise(-F.col("_z"))
+    v = F.when(F.col(p) > 1, F.lit(None).cast("double")).otherwise(F.coalesce(signed, F.lit(0.0)))
+    return df.withColumn(out, v).drop("_p2", "_z")
 
 
 def tanh_back(mean) -> Column:

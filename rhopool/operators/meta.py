@@ -179,14 +179,21 @@ def study_series(per_study: DataFrame) -> DataFrame:
 
 # --- combined statistics on the pivoted pair row -------------------------------
 
-def contrast_columns(tag: str, g1: str, g2: str) -> dict[str, Column]:
-    r1, r2, s1, s2 = (F.col(c) for c in (f"{g1}_weighted_r", f"{g2}_weighted_r", f"{g1}_se_r", f"{g2}_se_r"))
-    ok = (s1 + s2) > 0
-    delta, se = F.when(ok, r1 - r2), F.when(ok, F.sqrt(s1 * s1 + s2 * s2))
-    delta = F.when(se.isNotNull(), delta)
-    se = F.when(delta.isNotNull(), se)
-    z = S.div(delta, se)
-    return {f"delta_r_{tag}": delta, f"se_diff_{tag}": se, f"z_diff_{tag}": z, f"p_diff_{tag}": S.two_sided_p(z)}
+CONTRASTS = {"shock_control": ("septic_shock", "control"), "shock_sepsis": ("septic_shock", "sepsis"),
+             "sepsis_control": ("sepsis", "control")}
+
+
+def add_contrasts(m: DataFrame) -> DataFrame:
+    """Difference of pooled correlations per condition pair, with se, z and p (staged: p uses z many times)."""
+    diff, z, p = {}, {}, {}
+    for tag, (a, b) in CONTRASTS.items():
+        ra, rb, sa, sb = (F.col(c) for c in (f"{a}_weighted_r", f"{b}_weighted_r", f"{a}_se_r", f"{b}_se_r"))
+        usable = ra.isNotNull() & rb.isNotNull() & (sa + sb > 0)
+        diff[f"delta_r_{tag}"] = F.when(usable, ra - rb)
+        diff[f"se_diff_{tag}"] = F.when(usable, F.sqrt(sa * sa + sb * sb))
+        z[f"z_diff_{tag}"] = S.div(f"delta_r_{tag}", f"se_diff_{tag}")
+        p[f"p_diff_{tag}"] = S.two_sided_p(f"z_diff_{tag}")
+    return m.withColumns(diff).withColumns(z).withColumns(p)
 
 
 def combined_columns() -> dict[str, Column]:
@@ -264,10 +271,7 @@ def pair_metrics(facts: DataFrame, missing: str = "drop", fdr: str = "standard",
         **{f"{u}_weighted_r": S.tanh_back(f"_m_{u}") for u in ("control", "sepsis", "septic_shock")}})
     m = m.withColumns({f"{u}_se_r": S.se_of_r(f"_s_{u}", f"{u}_weighted_r")
                        for u in ("control", "sepsis", "septic_shock")})
-    m = m.withColumns({**contrast_columns("shock_control", "septic_shock", "control"),
-                       **contrast_columns("shock_sepsis", "septic_shock", "sepsis"),
-                       **contrast_columns("sepsis_control", "sepsis", "control"),
-                       **combined_columns(), **expression_columns()})
+    m = add_contrasts(m).withColumns({**combined_columns(), **expression_columns()})
     m = m.withColumnsRenamed({"gene_a_name": "GeneAName", "gene_b_name": "GeneBName",
                               "gene_a_key": "GeneAKey", "gene_b_key": "GeneBKey"})
     # FDR reads the pair table several times; store it once instead of recomputing the pooling.

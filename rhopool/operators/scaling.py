@@ -35,6 +35,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     enough for the exact aggregate.  Each round is one mergeable aggregation;
     only bracket ends and counts reach the driver.
     """
+    if not cols:
+        return {}
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     out: dict[str, list] = {c: [None] * len(probs) for c in cols}
     small = [c for c in cols if 0 < counts[c] <= limit]
@@ -84,8 +86,12 @@ def _order_statistic(df: DataFrame, col: str, k: int, n: int, limit: int) -> flo
 
 
 def fill_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace NULLs by the exact column median; all-null columns stay null."""
-    med = exact_quantiles(df, cols, [0.5])
+    """Replace NULLs by the exact column median; all-null columns stay null.
+
+    Medians are computed only for the columns one counting pass finds incomplete.
+    """
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
+    med = exact_quantiles(df, [c for c in cols if 0 < row[c] < row["_n"]], [0.5])
     fills = {c: m[0] for c, m in med.items() if m[0] is not None}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in fills.items()})
 

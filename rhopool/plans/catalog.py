@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from rhopool.plans import catalog_pairs  # noqa: F401
+from rhopool.plans import catalog_pairs, catalog_tables  # noqa: F401
 from rhopool.plans.registry import ORACLES, QUERIES  # noqa: F401
