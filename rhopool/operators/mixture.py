@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rhopool.operators.scaling import num
+
 
 
 def _vectors(points: DataFrame) -> DataFrame:
@@ -47,6 +50,11 @@ def mixture(points: DataFrame, k: int = 3, seed: int = 42, max_iter: int = 100,
     return model.transform(data).select("id", "gmm_label", F.array_max(vector_to_array("prob")).alias("gmm_confidence"))
 
 
+def _row_array(cols: list[str], have: set[str]):
+    """The columns as one array; a missing value or column counts as 0."""
+    return F.expr("array(" + ", ".join(f"coalesce(cast(`{c}` as double), 0D)" if c in have else "0D" for c in cols) + ")")
+
+
 class PrincipalComponents:
     """Centred PCA with a fixed sign: the largest loading of every component is positive."""
 
@@ -56,29 +64,27 @@ class PrincipalComponents:
     def fit(self, df: DataFrame, cols: list[str]) -> "PrincipalComponents":
         self.cols = list(cols)
         k = min(self.k, len(cols))
-        v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+        v = _row_array(cols, set(cols))
         data = df.select(array_to_vector(v).alias("features"))
         model = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
-        row = df.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"m{i}") for i, c in enumerate(cols)],
-                     *[F.var_samp(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        row = data.select(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).first()["s"]
         comps = np.asarray(model.pc.toArray())
         sign = np.sign(comps[np.abs(comps).argmax(0), np.arange(k)])
         self.components = comps * np.where(sign == 0, 1.0, sign)
-        self.mean = np.array([row[f"m{i}"] for i in range(len(cols))])
+        self.mean = np.asarray(row["mean"].toArray())
         self.ratio = np.asarray(model.explainedVariance.toArray())
-        self.variance = self.ratio * float(sum(row[f"s{i}"] or 0.0 for i in range(len(cols))))
+        self.variance = self.ratio * float(row["variance"].toArray().sum())
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds pc_1..pc_k; a missing feature column or value counts as 0."""
-        have = set(df.columns)
-        v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in self.cols])
-        out = df.withColumn("_v", v)
+        out = df.withColumn("_v", _row_array(self.cols, set(df.columns)))
+        pcs = {}
         for i in range(self.components.shape[1]):
-            w = F.array(*[F.lit(float(x)) for x in self.components[:, i]])
-            dot = F.aggregate(F.zip_with("_v", w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            out = out.withColumn(f"pc_{i + 1}", dot - F.lit(float(self.mean @ self.components[:, i])))
-        return out.drop("_v")
+            w = "array(" + ", ".join(num(x) for x in self.components[:, i]) + ")"
+            pcs[f"pc_{i + 1}"] = F.expr(f"aggregate(zip_with(_v, {w}, (a, b) -> a * b), 0D, (s, x) -> s + x)"
+                                        f" - {num(self.mean @ self.components[:, i])}")
+        return out.withColumns(pcs).drop("_v")
 
     def loadings(self, spark) -> DataFrame:
         """(feature, component, loading), loading = weight * sqrt(variance)."""

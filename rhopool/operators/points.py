@@ -26,7 +26,7 @@ MAX_PIVOTS = 256
 
 def to_points(df: DataFrame, cols: list[str], key: str = "pair_id") -> DataFrame:
     """(id, v): NULL features become 0, -0.0 becomes 0.0 so equal points compare equal."""
-    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + F.lit(0.0) for c in cols])
+    v = F.expr("array(" + ", ".join(f"coalesce(cast(`{c}` as double), 0D) + 0D" for c in cols) + ")")
     return df.select(F.col(key).cast("string").alias("id"), v.alias("v"))
 
 

@@ -14,7 +14,7 @@ from rhopool.operators.forest import IsolationForest, flag_outliers
 from rhopool.operators.mixture import PrincipalComponents, kmeans_distance, mixture
 from rhopool.operators.neighbours import calinski_harabasz, local_outlier_factor, silhouette
 from rhopool.operators.points import to_points
-from rhopool.operators.scaling import (exact_quantiles, fill_median, fill_zero, minmax, numeric_columns, select_features,
+from rhopool.operators.scaling import (column_stats, exact_quantiles, fill_median, fill_zero, minmax, num, numeric_columns, select_features,
                                        standard_scale)
 from rhopool.operators.scores import baseline_similarity, metrics_score, new_rank_score, unsupervised_score
 from rhopool.session import materialize
@@ -98,8 +98,8 @@ class PairAnalyzer:
     def _scaled(self, df: DataFrame) -> DataFrame:
         """Robust-scaled selected features with the fitted medians and ranges; missing values become 0."""
         have = set(df.columns)
-        return df.select("pair_id", *[
-            (F.coalesce((F.col(c).cast("double") - F.lit(m)) / F.lit(s), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c)
+        return df.selectExpr("pair_id", *[
+            (f"coalesce((cast(`{c}` as double) - {num(m)}) / {num(s)}, 0D)" if c in have else "0D") + f" as `{c}`"
             for c, (m, s) in self.robust.items()])
 
     def _points(self, df: DataFrame) -> DataFrame:
@@ -116,9 +116,11 @@ class PairAnalyzer:
 
     def fit(self, df: DataFrame) -> "PairAnalyzer":
         feats = materialize(derived_features(df), "derived")
-        cols = select_features(feats, numeric_columns(feats, ("GeneAKey", "GeneBKey")), self.min_variance)
-        feats = fill_median(feats, cols)
-        q = exact_quantiles(feats, cols, [0.25, 0.5, 0.75])
+        wide = numeric_columns(feats, ("GeneAKey", "GeneBKey"))
+        stats = column_stats(feats, wide)
+        cols = select_features(feats, wide, self.min_variance, stats=stats)
+        feats = fill_median(feats, cols, stats=stats)
+        q = exact_quantiles(feats, cols, [0.25, 0.5, 0.75], stats={c: {"n": stats[c]["rows"]} for c in cols})
         self.robust = {c: (float(q[c][1]), float(q[c][2] - q[c][0]) or 1.0) for c in cols}
         scaled = materialize(self._scaled(feats), "robust")
         self.pca = PrincipalComponents(self.components).fit(scaled, cols)

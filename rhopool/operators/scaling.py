@@ -6,6 +6,8 @@ no join.  Exact quantiles never build a per-value buffer over the whole table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +28,30 @@ def scalars(df: DataFrame, **aggs: Column) -> dict[str, Column]:
     return {n: row.getField(n) for n in aggs}
 
 
+def num(x: float) -> str:
+    """A double literal in SQL text. Wide projections are built as text: one call instead of hundreds."""
+    return f"{float(x)!r}D"
+
+
+def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """n, avg, var_pop, var_samp, min, max per column in one small aggregation.
+
+    Columns are unpivoted and grouped by name: partial aggregation leaves one
+    row per column and task, and the generated code does not grow with the
+    number of columns.  One row per column reaches the driver.
+    """
+    if not cols:
+        return {}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "c", "x")
+    got = long.groupBy("c").agg(
+        F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"), F.avg("x").alias("avg"), F.var_pop("x").alias("var_pop"),
+        F.var_samp("x").alias("var_samp"), F.min("x").alias("min"), F.max("x").alias("max")).collect()
+    empty = {"n": 0, "rows": 0, "avg": None, "var_pop": None, "var_samp": None, "min": None, "max": None}
+    return {**{c: dict(empty) for c in cols}, **{r["c"]: r.asDict() for r in got}}
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    limit: int = EXACT_LIMIT) -> dict[str, list[float | None]]:
+                    limit: int = EXACT_LIMIT, stats: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles, exact at any row count.
 
     A quantile is pinned between two approximate quantiles, the slice between
@@ -37,14 +61,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    counts = {c: s["n"] for c, s in (stats or column_stats(df, cols)).items()}
     out: dict[str, list] = {c: [None] * len(probs) for c in cols}
     small = [c for c in cols if 0 < counts[c] <= limit]
     if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                       for c in small]).first()
-        for c in small:
-            out[c] = list(row[c])
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in small]).unpivot([], small, "c", "x")
+        for row in long.groupBy("c").agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect():
+            out[row["c"]] = list(row["q"])
     for c in cols:
         if counts[c] > limit:
             for i, p in enumerate(probs):
@@ -85,13 +108,13 @@ def _order_statistic(df: DataFrame, col: str, k: int, n: int, limit: int) -> flo
     return float(rows.agg(F.percentile("x", F.lit(frac))).first()[0])
 
 
-def fill_median(df: DataFrame, cols: list[str]) -> DataFrame:
+def fill_median(df: DataFrame, cols: list[str], stats: dict[str, dict] | None = None) -> DataFrame:
     """Replace NULLs by the exact column median; all-null columns stay null.
 
     Medians are computed only for the columns one counting pass finds incomplete.
     """
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
-    med = exact_quantiles(df, [c for c in cols if 0 < row[c] < row["_n"]], [0.5])
+    st = stats or column_stats(df, cols)
+    med = exact_quantiles(df, [c for c in cols if 0 < st[c]["n"] < st[c]["rows"]], [0.5], stats=st)
     fills = {c: m[0] for c, m in med.items() if m[0] is not None}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in fills.items()})
 
@@ -106,28 +129,30 @@ def null_nonfinite(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def minmax(df: DataFrame, cols: dict[str, str], eps: float | None = 1e-12) -> DataFrame:
     """(x - min) / (max - min + eps); with ``eps=None`` a constant column gives 0."""
-    s = scalars(df, **{f"lo_{i}": F.min(c) for i, c in enumerate(cols)},
-                **{f"hi_{i}": F.max(c) for i, c in enumerate(cols)})
     out = {}
-    for i, (c, name) in enumerate(cols.items()):
-        lo, hi = s[f"lo_{i}"], s[f"hi_{i}"]
-        if eps is None:
-            v = F.when(hi > lo, S.div(F.col(c) - lo, hi - lo)).when(hi.isNotNull(), F.lit(0.0))
+    for c, s in column_stats(df, list(cols)).items():
+        x, lo, hi = F.col(c).cast("double"), s["min"], s["max"]
+        if lo is None:
+            v = F.lit(None).cast("double")
+        elif eps is None:
+            v = (x - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
         else:
-            v = S.div(F.col(c) - lo, hi - lo + F.lit(eps))
-        out[name] = v
+            v = (x - F.lit(lo)) / F.lit(hi - lo + eps)
+        out[cols[c]] = v
     return df.withColumns(out)
 
 
 def standard_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """Zero mean, unit population sd; a constant column is only centred."""
-    s = scalars(df, **{f"m_{i}": F.avg(c) for i, c in enumerate(cols)},
-                **{f"s_{i}": F.stddev_pop(c) for i, c in enumerate(cols)},
-                **{f"c_{i}": F.min(c) == F.max(c) for i, c in enumerate(cols)})
-    return df.withColumns({
-        f"{c}{suffix}": S.div(F.col(c) - s[f"m_{i}"], F.when(s[f"c_{i}"] | (s[f"s_{i}"] == 0), F.lit(1.0))
-                              .otherwise(s[f"s_{i}"]))
-        for i, c in enumerate(cols)})
+    st = column_stats(df, cols)
+    out = {}
+    for c in cols:
+        s = st[c]
+        if s["n"]:
+            sd = math.sqrt(s["var_pop"])
+            by = sd if sd > 0 and s["max"] > s["min"] else 1.0
+            out[f"{c}{suffix}"] = F.expr(f"(cast(`{c}` as double) - {num(s['avg'])}) / {num(by)}")
+    return df.withColumns(out)
 
 
 def robust_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
@@ -142,21 +167,26 @@ def robust_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
 
 
 def select_features(df: DataFrame, cols: list[str], min_variance: float | None = None,
-                    max_missing: float = 0.5) -> list[str]:
+                    max_missing: float = 0.5, stats: dict[str, dict] | None = None) -> list[str]:
     """Columns with at least half their values present and non-zero variance after median filling.
 
     ``min_variance`` additionally drops columns whose variance is below it.
     """
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"k_{c}") for c in cols]).first()
-    kept = [c for c in cols if row["n"] and (row["n"] - row[f"k_{c}"]) / row["n"] < max_missing]
-    filled = fill_median(df.select(*kept), kept) if kept else df
-    if not kept:
-        return []
-    # A constant column is told by min = max, which rounding cannot blur.
-    v = filled.agg(*[F.var_samp(c).alias(f"v_{c}") for c in kept],
-                   *[(F.min(c) == F.max(c)).alias(f"e_{c}") for c in kept]).first()
-    return [c for c in kept if not v[f"e_{c}"]
-            and (min_variance is None or (v[f"v_{c}"] or 0.0) >= min_variance)]
+    st = stats or column_stats(df, cols)
+    kept = [c for c in cols if st[c]["rows"] and (st[c]["rows"] - st[c]["n"]) / st[c]["rows"] < max_missing
+            # A constant column is told by min = max: rounding cannot blur it and median filling keeps it constant.
+            and st[c]["max"] > st[c]["min"]]
+    if min_variance is None:
+        return kept
+    med = exact_quantiles(df, [c for c in kept if st[c]["n"] < st[c]["rows"]], [0.5], stats=st)
+
+    def filled_variance(c: str) -> float:
+        # Variance after adding the missing rows as copies of the median.
+        s, k, n = st[c], st[c]["n"], st[c]["rows"]
+        gap = s["avg"] - med[c][0] if c in med else 0.0
+        return (s["var_pop"] * k + k * (n - k) / n * gap * gap) / max(n - 1, 1)
+
+    return [c for c in kept if filled_variance(c) >= min_variance]
 
 
 def top_correlated(df: DataFrame, cols: list[str], target: str, n: int = 20) -> list[tuple[str, float]]:
