@@ -11,6 +11,8 @@ from rhopool.functions import stats as S
 from rhopool.operators.fdr import adjust
 from rhopool.session import materialize
 
+# Differences this small are rounding of equal values, not a direction.
+SIGN_NOISE = 1e-12
 CONDITIONS = ["control", "sepsis", "septic shock"]
 
 # Published column order of the pair metrics table.
@@ -69,7 +71,7 @@ def random_effects(df: DataFrame, keys: list[str], effect: str, se: str) -> Data
         F.sum(w * valid).alias("_swx"),
         F.covar_pop(w * valid, valid).alias("_cwxx"), F.covar_pop(w, valid).alias("_cwx"),
         F.count("_x").alias("n_effects"),
-        F.count_if(F.col("_x") > 0).alias("n_pos"), F.count_if(F.col("_x") < 0).alias("n_neg"),
+        F.count_if(F.col("_x") > SIGN_NOISE).alias("n_pos"), F.count_if(F.col("_x") < -SIGN_NOISE).alias("n_neg"),
     )
     k = F.col("k").cast("double")
     mu = S.div("_swx", "_sw")
@@ -102,7 +104,7 @@ def random_effects(df: DataFrame, keys: list[str], effect: str, se: str) -> Data
 
 def sign_agreement(mean="mean", n="n_effects", pos="n_pos", neg="n_neg") -> Column:
     """Share of effects whose sign equals that of the pooled mean; NULL for a zero or missing mean."""
-    same = F.when(F.col(mean) > 0, F.col(pos)).when(F.col(mean) < 0, F.col(neg))
+    same = F.when(F.col(mean) > SIGN_NOISE, F.col(pos)).when(F.col(mean) < -SIGN_NOISE, F.col(neg))
     return S.div(same, n)
 
 
@@ -336,8 +338,8 @@ def simple_pair_metrics(facts: DataFrame, fdr: str = "standard", order: str = "g
         F.count(co).alias("_nc"), F.avg(co).alias("_mc"), F.var_pop(co).alias("_vc"), F.var_pop(se).alias("_vs"),
         *[f for c in ("ss", "sothers") for f in (
             F.avg(f"dz_{c}").alias(f"mean_dz_{c}"), F.stddev_samp(f"dz_{c}").alias(f"_sd_{c}"),
-            F.count(f"dz_{c}").alias(f"_k_{c}"), F.count_if(F.col(f"dz_{c}") > 0).alias(f"_pos_{c}"),
-            F.count_if(F.col(f"dz_{c}") < 0).alias(f"_neg_{c}"))])
+            F.count(f"dz_{c}").alias(f"_k_{c}"), F.count_if(F.col(f"dz_{c}") > SIGN_NOISE).alias(f"_pos_{c}"),
+            F.count_if(F.col(f"dz_{c}") < -SIGN_NOISE).alias(f"_neg_{c}"))])
     n0, n1 = F.col("_nc").cast("double"), F.col("n_sepsis").cast("double")
     z0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     m = base.withColumn("n_others", F.col("_nc") + F.col("n_sepsis"))

@@ -160,8 +160,8 @@ ag AS (SELECT pair_id, count(DISTINCT study_key) AS n_studies, avg(d1) AS mean_d
               count(d1) AS k1, count(d2) AS k2, stddev_samp(d1) AS sd1, stddev_samp(d2) AS sd2,
               count(sh) AS nh, avg(sh) AS mh, CASE WHEN count(sh) > 1 THEN var_samp(sh) END AS vh,
               count(se) AS ns, avg(se) AS ms, CASE WHEN count(se) > 1 THEN var_samp(se) END AS vs FROM p2 GROUP BY 1),
-sg AS (SELECT p2.pair_id, avg(CASE WHEN d1 IS NOT NULL THEN CASE WHEN sign(d1) = sign(mean_dz_ss) THEN 1.0 ELSE 0.0 END END) AS kappa_ss,
-              avg(CASE WHEN d2 IS NOT NULL THEN CASE WHEN sign(d2) = sign(mean_dz_sothers) THEN 1.0 ELSE 0.0 END END) AS kappa_sothers
+sg AS (SELECT p2.pair_id, avg(CASE WHEN d1 IS NOT NULL AND abs(mean_dz_ss) > 1e-12 THEN CASE WHEN sign(round(d1, 12)) = sign(round(mean_dz_ss, 12)) THEN 1.0 ELSE 0.0 END END) AS kappa_ss,
+              avg(CASE WHEN d2 IS NOT NULL AND abs(mean_dz_sothers) > 1e-12 THEN CASE WHEN sign(round(d2, 12)) = sign(round(mean_dz_sothers, 12)) THEN 1.0 ELSE 0.0 END END) AS kappa_sothers
        FROM p2 JOIN ag USING (pair_id) GROUP BY 1),
 sm AS (SELECT ag.*, kappa_ss, kappa_sothers, om.n AS no, om.m AS mo, CASE WHEN om.n > 1 THEN om.s2 END AS vo,
               CASE WHEN nh >= 2 AND ns >= 2 THEN (mh - ms) / nullif(sqrt(vh / nh + vs / ns), 0) END AS t_ss,

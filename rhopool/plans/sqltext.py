@@ -67,8 +67,8 @@ corr AS MATERIALIZED (
 
 ZROWS = CORR + """,
 zr AS MATERIALIZED (
-  SELECT *, 0.5 * ln((1 + least(greatest(rho_spearman, -0.999999), 0.999999))
-                     / (1 - least(greatest(rho_spearman, -0.999999), 0.999999))) AS z,
+  SELECT *, CASE WHEN rho_spearman IS NOT NULL THEN 0.5 * ln((1 + least(greatest(rho_spearman, -0.999999), 0.999999))
+                     / (1 - least(greatest(rho_spearman, -0.999999), 0.999999))) END AS z,
          CASE WHEN n_samples > 3 THEN CAST(n_samples - 3 AS DOUBLE) END AS ne FROM corr)"""
 
 
@@ -124,7 +124,7 @@ tau AS (SELECT f.*, q, CASE WHEN k > 1 THEN coalesce(greatest(0, (q - (k - 1)) /
 rand AS (SELECT wx.pair_id, wx.series, sum(x / (1 / w + tau2)) / sum(1 / (1 / w + tau2)) AS mean,
                 sqrt(1 / sum(1 / (1 / w + tau2))) AS se
          FROM wx JOIN tau USING (pair_id, series) WHERE w IS NOT NULL GROUP BY 1, 2),
-signs AS (SELECT wx.pair_id, wx.series, CASE WHEN max(mean) <> 0 THEN avg(CASE WHEN sign(x) = sign(mean) THEN 1.0 ELSE 0.0 END) END AS kappa
+signs AS (SELECT wx.pair_id, wx.series, CASE WHEN max(abs(mean)) > 1e-12 THEN avg(CASE WHEN sign(round(x, 12)) = sign(mean) THEN 1.0 ELSE 0.0 END) END AS kappa
           FROM wx JOIN rand USING (pair_id, series) GROUP BY 1, 2),
 re0 AS (SELECT t.pair_id, t.series, k, n_effects, mean, se, mean - {Z_975} * se AS ci_low, mean + {Z_975} * se AS ci_high,
                CASE WHEN k >= 1 THEN q END AS q,
