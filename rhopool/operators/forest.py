@@ -46,6 +46,8 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
             continue
         f = int(rng.choice(usable))
         cut = float(rng.uniform(lo[f], hi[f]))
+        if cut >= hi[f]:  # rounding between neighbouring doubles must not empty the right side
+            cut = float(lo[f])
         nodes.append((f, cut, -1, -1, 0.0))
         left = sub[:, f] <= cut
         todo += [(rows[left], depth + 1, me, 0), (rows[~left], depth + 1, me, 1)]

@@ -8,6 +8,7 @@ from rhopool.operators.quality import quality_score, validate_studies
 from rhopool.plans import etl as E
 from rhopool.plans import fixtures as X
 from rhopool.plans.registry import query, r, rounded
+from rhopool.session import materialize_once
 
 _SQL = """x AS MATERIALIZED (SELECT 'SRP' || n_regionkey AS study, p_brand AS gene, 'SRR' || strftime(l_shipdate, '%Y%m') || ascii(l_returnflag) AS sample,
   l_returnflag AS rf, strftime(l_shipdate, '%Y%m') AS ym, avg(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -18,7 +19,9 @@ a AS (SELECT study, sample AS accession_code, CASE rf WHEN 'R' THEN 'Infected sa
 
 
 def study_input(spark, sf) -> E.StudyInput:
-    x = (X.expression_long(spark, sf).withColumn("rf", F.expr(
+    # Real studies arrive as files; the derived matrix is stored once so every dimension reads it, not its joins.
+    stored = materialize_once(spark, (sf,), "expression", lambda: X.expression_long(spark, sf))
+    x = (stored.withColumn("rf", F.expr(
             "case condition when 'septic shock' then 'R' when 'sepsis' then 'N' else 'A' end"))
          .withColumn("ym", F.replace("sample", F.lit("-"), F.lit("")))
          .select(F.concat(F.lit("SRP"), "study_key").alias("study"), "gene",

@@ -1,0 +1 @@
+"""No streaming operators exist in this domain; the idempotent upsert may be driven from foreachBatch."""

@@ -129,7 +129,7 @@ def pairs(spark, n=120):
         s1, s2 = rng.uniform(.1, .3), rng.uniform(.2, .4)
         p1, p2 = rng.beta(.5, 5), rng.beta(.3, 10)
         rows.append((f"g{i}_h{i}", int(rng.integers(1, 5)), int(rng.integers(3, 8)), d1, d2, d1 - 1.96 * s1, d1 + 1.96 * s1, d2 - 1.96 * s2,
-                     d2 + 1.96 * s2, rng.uniform(0, 80), rng.uniform(0, 90), d1 / s1, d2 / s2, p1, p2, min(1, 2 * p1), min(1, 2 * p2),
+                     d2 + 1.96 * s2, rng.uniform(0, 80), rng.uniform(0, 90), d1 / s1, d2 / s2, p1, p2, min(1.0, 2 * p1), min(1.0, 2 * p2),
                      abs(d1), abs(d2), f"G{i}", f"H{i}"))
     cols = ("pair_id string, n_studies_ss int, n_studies_soth int, dz_ss_mean double, dz_soth_mean double, dz_ss_ci_low double, dz_ss_ci_high double, "
             "dz_soth_ci_low double, dz_soth_ci_high double, dz_ss_I2 double, dz_soth_I2 double, dz_ss_z double, dz_soth_z double, p_ss double, "
