@@ -697,3 +697,56 @@ def gene_hubs(spark, sf):
 def table_statistics(spark, sf):
     from rhopool.sources.tables import table_rows
     return table_rows({n: X.table(spark, sf, n) for n in ("orders", "part", "lineitem")})
+
+
+@query("table_description", """SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) AS rows FROM orders
+UNION ALL SELECT 'o_orderstatus', 'string', count(*) FROM orders UNION ALL SELECT 'o_totalprice', 'double', count(*) FROM orders""")
+def table_description(spark, sf):
+    from rhopool.sources.tables import describe
+    return describe(X.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")).select("column", "type", "rows")
+
+
+@query("filtered_fetch", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' ORDER BY o_orderkey LIMIT 40")
+def filtered_fetch(spark, sf):
+    from rhopool.sources.tables import fetch
+    o = fetch(X.table(spark, sf, "orders"), 40, ["o_orderkey"], o_orderstatus="P", o_orderpriority="5-LOW", o_custkey=None)
+    return o.select("o_orderkey", "o_totalprice")
+
+
+@query("whole_column_coercion", """SELECT c_custkey, CAST(c_custkey AS DOUBLE) AS good, CASE WHEN c_custkey % 50 = 3 THEN 'x' ELSE CAST(c_custkey AS VARCHAR) END AS bad FROM customer""")
+def whole_column_coercion(spark, sf):
+    k = F.col("c_custkey")
+    c = X.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), k.cast("string")).alias("good"),
+                                              F.when(k % 50 == 3, "x").otherwise(k.cast("string")).alias("bad"))
+    return C.coerce_columns(c, ["good", "bad"])
+
+
+@query("column_aliases", "SELECT p_name AS GeneAName, p_type AS GeneBName, p_retailprice AS p_ss, p_brand AS brand FROM part")
+def column_aliases(spark, sf):
+    p = X.table(spark, sf, "part").select(F.col("p_name").alias("Gene A"), F.col("p_type").alias("gene_b_symbol"),
+                                          F.col("p_retailprice").alias("P-Value SS"), F.col("p_brand").alias("brand"))
+    return C.rename_aliases(p)
+
+
+@query("null_tokens", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer")
+def null_tokens(spark, sf):
+    k = F.col("c_custkey")
+    c = X.table(spark, sf, "customer").select("c_custkey", F.when(k % 3 == 0, F.when(k % 2 == 0, "N/A").otherwise("nan"))
+                                              .otherwise(F.col("c_mktsegment")).alias("segment"))
+    return C.null_tokens(c, ["segment"])
+
+
+@query("study_weights")
+def study_weights(spark, sf):
+    return rounded(R.study_weights(X.corr_facts(spark, sf)))
+
+
+@query("orientation_free_pairs", "SELECT p_partkey FROM part WHERE least(p_brand, p_type) = least('Brand#1', 'ECONOMY') AND greatest(p_brand, p_type) = greatest('Brand#1', 'ECONOMY')")
+def orientation_free_pairs(spark, sf):
+    return X.table(spark, sf, "part").where(C.same_pair("p_brand", "p_type", "ECONOMY", "Brand#1")).select("p_partkey")
+
+
+@query("chart_tables", Q.with_(Q.CORR + ", b AS (SELECT min(rho_spearman) AS lo, max(rho_spearman) AS hi FROM corr)",
+    "SELECT least(CAST(floor((rho_spearman - lo) * 20 / (hi - lo)) AS BIGINT) + 1, 20) AS bin, count(*) AS n FROM corr, b WHERE rho_spearman IS NOT NULL GROUP BY 1"))
+def chart_tables(spark, sf):
+    return R.chart_tables(X.metrics(spark, sf), X.corr_facts(spark, sf))["rho_histogram"]

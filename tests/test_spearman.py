@@ -10,8 +10,9 @@ def test_average_ranks():
     assert average_ranks(x, np.array([[True, True, True, True, False]])).tolist() == [[3.5, 1.0, 3.5, 2.0, 0.0]]
 
 
-@pytest.mark.parametrize("cells,missing", [(4_000_000, 0.0), (4_000_000, 0.3), (60, 0.3)])
-def test_against_pandas(spark, cells, missing):
+@pytest.mark.parametrize("cells,missing,longest", [(4_000_000, 0.0, 4_000_000), (4_000_000, 0.3, 4_000_000), (60, 0.3, 4_000_000),
+                                                   (60, 0.0, 10), (60, 0.02, 10)])
+def test_against_pandas(spark, cells, missing, longest):
     rng = np.random.default_rng(3)
     rows = []
     for study in (1, 2):
@@ -21,7 +22,8 @@ def test_against_pandas(spark, cells, missing):
                     rows.append((g, f"G{g}", study, "sepsis" if study == 1 else "control", f"s{s}", float(rng.integers(0, 12))))
     rows += [(50, "flat", 1, "sepsis", f"s{s}", 1.0) for s in range(5)] + [(51, "alone", 1, "sepsis", "elsewhere", 1.0)]
     df = spark.createDataFrame(rows, "gene_key long, gene string, study_key long, condition string, sample string, value double")
-    got = {(r.study_key, r.gene_a_key, r.gene_b_key): r for r in pair_correlations(df, cells_per_block=cells).collect()}
+    got = {(r.study_key, r.gene_a_key, r.gene_b_key): r for r in pair_correlations(
+        df, cells_per_block=cells, max_block_genes=4, longest_vector=longest).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "n", "study", "c", "s", "v"])
     seen = 0
     for study in (1, 2):
