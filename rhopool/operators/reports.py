@@ -131,10 +131,11 @@ def gene_statistics(facts: DataFrame, gene: str | None = None) -> DataFrame:
 
 
 def rho_distribution(facts: DataFrame, limit: int | None = None, **equals) -> DataFrame:
-    """Facts filtered by equality and ordered by rho; an optional positive limit."""
+    """Facts filtered by equality and ordered by rho (equal to 12 digits counts as equal); an optional positive limit."""
     for c, v in equals.items():
         facts = facts.where(F.col(c) == v)
-    out = facts.where("rho_spearman is not null").orderBy("rho_spearman", "gene_a_key", "gene_b_key", "study_key", "condition")
+    out = facts.where("rho_spearman is not null").orderBy(
+        F.round("rho_spearman", 12), "gene_a_key", "gene_b_key", "study_key", "condition")
     return out.limit(limit) if limit and limit > 0 else out
 
 

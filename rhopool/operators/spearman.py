@@ -95,6 +95,7 @@ def _block_pair(pdf: pd.DataFrame) -> pd.DataFrame:
     df = r["n_samples"].to_numpy(float) - 2.0
     with np.errstate(invalid="ignore", divide="ignore"):
         t = rho * np.sqrt(df / ((1.0 - rho) * (1.0 + rho)))
+    r["rho_spearman"] = rho
     r["p_value"] = student_two_sided(t, df)
     r["study_key"] = pdf["study_key"].iloc[0]
     r["condition"] = pdf["condition"].iloc[0]

@@ -253,7 +253,7 @@ def gene_statistics(spark, sf):
 
 
 @query("rho_distribution", Q.with_(Q.CORR, f"""SELECT pair_id, study_key, {r('rho_spearman')} FROM corr
-  WHERE condition = 'sepsis' AND rho_spearman IS NOT NULL ORDER BY corr.rho_spearman, gene_a_key, gene_b_key, study_key LIMIT 25"""))
+  WHERE condition = 'sepsis' AND rho_spearman IS NOT NULL ORDER BY round(corr.rho_spearman, 12), gene_a_key, gene_b_key, study_key LIMIT 25"""))
 def rho_distribution(spark, sf):
     d = R.rho_distribution(X.corr_facts(spark, sf), 25, condition="sepsis").withColumn("pair_id", M.pair_id())
     return rounded(d.select("pair_id", "study_key", "rho_spearman"))
