@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rhopool.llm.bpe import transcode
 from rhopool.llm.dedup import near_duplicates
 
 QUERIES: dict = {}
@@ -45,3 +48,16 @@ FROM s LEFT JOIN c ON c.sh = list_sort(s.sh) LEFT JOIN l USING (id)
 """)
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def rank_bytes(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """A rank file installed with the driver's Python."""
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = transcode(table(spark, sf_dir, "documents").select("doc_id", "text"), rank_bytes(), decode=True)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
