@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rhopool.llm.words import span_hashes, text_blocks
 
@@ -324,11 +325,10 @@ def transcode(docs: DataFrame, rank_file: bytes, text: str = "text", offsets: bo
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((rank_file, codepoint_classes()))
-    new = [("ids", "array<int>"), *[("token_offsets", "array<int>")] * offsets, *[("decoded", "binary")] * decode]
+    ints = T.ArrayType(T.IntegerType())
+    new = [("ids", ints), *[("token_offsets", ints)] * offsets, *[("decoded", T.BinaryType())] * decode]
     kept = docs.drop(*(n for n, _ in new))
-    schema = kept.schema
-    for n, t in new:
-        schema = schema.add(n, t)
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in new)])
     source = kept if text == "text" else kept.withColumn("text", F.col(text))
     names = [f.name for f in schema]
     return source.mapInArrow(_transcode(shared, names, offsets, decode), schema)
@@ -345,7 +345,7 @@ def decode_ids(encoded: DataFrame, rank_file: bytes, ids: str = "ids") -> DataFr
             out = [None if x is None else decode(np.array(x, np.int64)).tobytes() for x in rows.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], [*rows.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.schema.add("decoded", "binary"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
