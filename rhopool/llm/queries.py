@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rhopool.llm import toxicity
 from rhopool.llm.bpe import transcode
 from rhopool.llm.chat import format_chat, read_chat
+from rhopool.llm.decontam import contaminated
 from rhopool.llm.dedup import near_duplicates
 from rhopool.llm.sampling import remainder
 
@@ -117,3 +118,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 3) == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,8 @@ BLOCK_BYTES = 1 << 21  # text handled at once; one longer text is a block of its
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All that isn't a letter or digit; bytes beyond ASCII count as letters.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -72,12 +74,12 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = to
 
 
-def word_table(data: np.ndarray, offsets: np.ndarray):
-    """Start, end and text number of every word."""
+def word_table(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
+    """Start, end and text number of every maximal run of bytes that aren't in ``between``."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~between[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
