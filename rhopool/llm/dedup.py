@@ -18,7 +18,8 @@ from rhopool.llm.words import chain, mix, per_text, span_hashes, text_blocks, wo
 
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 misses every band with probability (1 - 0.8**5)**32 < 4e-6
 SLACK = 0.14         # a signature may read this much below the threshold: over four standard deviations at 160 minima
-STAR_BLOCK, PAIR_BLOCK = 512, 512
+STAR_BLOCK = PAIR_BLOCK = 512
+PAIR_SHINGLES = 1 << 20  # shingles of a block of pairs, on average at most
 
 _rng = np.random.default_rng(97)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -115,32 +116,64 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
+def _cross(table):
+    """Row numbers of both blocks of a cell, labels and ids."""
+    block = table.column("block").to_numpy()
+    left, right = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    return np.flatnonzero(block == left), np.flatnonzero(block == right), table.column("label").to_numpy(), table.column("id").to_numpy()
+
+
 def _met(percent):
-    """Within one block pair of one band: pairs of different groups whose signatures are close enough."""
+    """The rows of a cell that have a row of another group with a signature and a size close enough."""
 
     def run(table):
-        left, right = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        sig = _matrix(table.column("sig"))
-        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        us, vs = [], []
+        a, b, labels, ids = _cross(table)
+        sig, size = _matrix(table.column("sig")), table.column("n").to_numpy()
+        near = np.zeros(len(ids), bool)
         for x in a:
-            other = b[(labels[b] != labels[x]) & ((ids[b] > ids[x]) if left == right else True)]
+            other = b[(labels[b] != labels[x]) & (100 * np.minimum(size[b], size[x]) >= percent * np.maximum(size[b], size[x]))]
             if len(other):
-                near = other[100 * ((sig[other] == sig[x]).mean(axis=1) + SLACK) >= percent]
-                us += [min(int(ids[x]), int(ids[y])) for y in near]
-                vs += [max(int(ids[x]), int(ids[y])) for y in near]
-        return pa.table({"hub": pa.array(us, pa.int64()), "id": pa.array(vs, pa.int64())})
+                other = other[100 * ((sig[other] == sig[x]).mean(axis=1) + SLACK) >= percent]
+                near[other] = True
+                near[x] |= len(other) > 0
+        return table.filter(pa.array(near)).select(["band", "i", "j", "block", "id", "label"])
+
+    return run
+
+
+def _linked(percent):
+    """Confirmed links between the groups of a cell; groups that one link joins count as one from then on."""
+
+    def run(table):
+        a, b, labels, ids = _cross(table)
+        labels = labels.copy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        us, vs = [], []
+        for x in a:
+            other = b[(labels[b] != labels[x]) & (100 * np.minimum(size[b], size[x]) >= percent * np.maximum(size[b], size[x]))]
+            if not len(other):
+                continue
+            pool = np.concatenate([sets[y] for y in other])
+            at = np.searchsorted(sets[x], pool).clip(max=size[x] - 1)
+            common = np.add.reduceat(sets[x][at] == pool, np.cumsum(size[other]) - size[other], dtype=np.int64)
+            for y in other[100 * common >= percent * (size[other] + size[x] - common)]:
+                if labels[y] != labels[x]:
+                    us.append(int(ids[x]))
+                    vs.append(int(ids[y]))
+                    labels[labels == labels[y]] = labels[x]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def _signatures(size):
+def _of_texts(size, name, value):
+    """id and a binary made from the text's shingle set."""
+
     def run(batches):
         for rows, data, offsets in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([signature(s).tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())],
-                                             ["id", "sig"])
+            made = pa.array([value(s).tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("id"), made], ["id", name])
 
     return run
 
@@ -162,9 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = sketches.where("doc_id is not null and n_shingles > 0")
     classes = store(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     rows = (named.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")))
+            .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
     hubs = rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub")
-    met = store(rows.join(hubs, "band").select("band", "hub", "id"), "met")
+    met = store(rows.join(hubs, "band").select("band", "hub", "id", "n"), "met")
     pairs = met.where("hub <> id").select("hub", "id").distinct()
     members = met.select("id").distinct()
     texts = store(docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
@@ -173,18 +206,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     groups = store(components(links), "groups")
 
     # Bands in which several groups are left: their classes have met the hub only, not each other.
-    labelled = met.join(groups.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "hub", "id", F.coalesce("label", "id").alias("label"))
-    apart = (labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
-             .where("n > 2 and a <> b").select("band", F.ceil(F.col("n") / PAIR_BLOCK).alias("nb")))
-    left = labelled.join(apart, "band").select("band", "id", "label", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).alias("block"))
-    left = store(left, "apart")
-    signed = store(texts.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_signatures(shingle), "id bigint, sig binary"), "signatures")
+    labelled = met.join(groups.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
+    apart = (labelled.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min("label").alias("a"), F.max("label").alias("b"))
+             .where("rows > 2 and a <> b")
+             .select("band", F.greatest(F.ceil(F.col("rows") / PAIR_BLOCK), F.ceil(F.col("all") / PAIR_SHINGLES)).alias("nb")))
+    left = store(labelled.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb"))), "apart")
     cells = (left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
-             .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label")
-             .join(signed, "id"))
-    again = cells.groupBy("band", "i", "j").applyInArrow(_met(percent), "hub bigint, id bigint").distinct()
-    again = store(again.join(pairs, ["hub", "id"], "left_anti"), "again")
-    late = store(_confirmed(again, texts, shingle, percent), "late")
+             .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n"))
+    of_id = texts.join(left.select("id").distinct(), "id", "left_semi")
+    signed = of_id.mapInArrow(_of_texts(shingle, "sig", signature), "id bigint, sig binary")
+    near = store(cells.join(signed, "id").groupBy("band", "i", "j").applyInArrow(
+        _met(percent), "band bigint, i bigint, j bigint, block bigint, id bigint, label bigint"), "near")
+    sets = (texts.join(near.select("id").distinct(), "id", "left_semi")
+            .mapInArrow(_of_texts(shingle, "shingles", lambda s: s), "id bigint, shingles binary"))
+    late = store(near.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_linked(percent), "u bigint, v bigint"), "late")
     if not late.isEmpty():
         groups = store(components(links.unionAll(late)), "groups")
 
