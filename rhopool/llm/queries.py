@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhopool.llm import lm, toxicity
+from rhopool.llm import lm, quality, quality_rules, toxicity
 from rhopool.llm.bpe import transcode
 from rhopool.llm.chat import format_chat, read_chat
 from rhopool.llm.decontam import contaminated
@@ -115,7 +115,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = remainder("doc_id", 3) == 1
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
@@ -131,3 +131,19 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
     scored = lm.score(docs, lm.fit(docs.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return ruled.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule_score")
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                                             (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
