@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhopool.llm import lm, quality, quality_rules, toxicity
+from rhopool.llm import lm, pii, quality, quality_rules, toxicity
 from rhopool.llm.bpe import transcode
 from rhopool.llm.chat import format_chat, read_chat
 from rhopool.llm.decontam import contaminated
@@ -147,3 +147,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
                                              (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.extract(docs)
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
