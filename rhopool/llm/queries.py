@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhopool.llm import lm, pii, quality, quality_rules, toxicity
+from rhopool.llm import lm, pii, quality, quality_rules, toxicity, warc
 from rhopool.llm.bpe import transcode
 from rhopool.llm.chat import format_chat, read_chat
 from rhopool.llm.decontam import contaminated
@@ -156,3 +156,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS sha FROM p),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY sha, n) AS original FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes, sha AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < original THEN original END AS refers_to
+FROM o
+""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
