@@ -170,7 +170,7 @@ def _occurrences(shared):
 def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, kind, score) of the candidates that good patterns point at."""
     spark = docs.sparkSession
-    mentions = scanned.select(F.explode("found").alias("f")).select("f.kind", "f.value", F.explode("f.patterns").alias("pattern"))
+    mentions = scanned.select(F.explode("_pii_found").alias("f")).select("f.kind", "f.value", F.explode("f.patterns").alias("pattern"))
     edges = store(mentions.distinct(), "edges")
     seeded = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
     seeded = store(seeded, "patterns")
@@ -203,20 +203,20 @@ def extract(docs: DataFrame) -> DataFrame:
     ``docs`` named base or spans are replaced. The texts are read twice: once for seeds and candidates, once to count
     how often the seeds' patterns occur at all.
     """
-    kept = docs.drop("base", "spans", "found", "row_number").withColumn("row_number", F.monotonically_increasing_id())
-    schema = T.StructType([*kept.schema.fields, T.StructField("found", _FOUND)])
+    kept = docs.drop("base", "spans", "_pii_found", "_pii_row").withColumn("_pii_row", F.monotonically_increasing_id())
+    schema = T.StructType([*kept.schema.fields, T.StructField("_pii_found", _FOUND)])
     scanned = store(kept.mapInArrow(_scan(schema.names), schema), "scanned")
     kinds = _discovered(scanned, docs)
-    open_rows = F.exists("found", lambda f: f["kind"].isNull())
-    named = (scanned.where(open_rows).select("row_number", F.explode("found").alias("f")).where("f.kind is null").select("row_number", "f.start", "f.end", "f.value")
-             .join(kinds, "value").groupBy("row_number").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
-    base = F.transform(F.filter("found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
+    open_rows = F.exists("_pii_found", lambda f: f["kind"].isNull())
+    named = (scanned.where(open_rows).select("_pii_row", F.explode("_pii_found").alias("f")).where("f.kind is null").select("_pii_row", "f.start", "f.end", "f.value")
+             .join(kinds, "value").groupBy("_pii_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
+    base = F.transform(F.filter("_pii_found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     out = scanned.withColumn("base", base.cast(f"array<{SPAN}>"))
     rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(list(KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
-    joined = out.where(open_rows).join(named, "row_number", "left").withColumn(
+    joined = out.where(open_rows).join(named, "_pii_row", "left").withColumn(
         "spans", F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>"))), rank)),
                              lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(f"array<{SPAN}>")).drop("more")
-    return joined.unionByName(out.where(~open_rows).withColumn("spans", F.col("base"))).drop("found", "row_number")
+    return joined.unionByName(out.where(~open_rows).withColumn("spans", F.col("base"))).drop("_pii_found", "_pii_row")
 
 
 def mask(extracted: DataFrame) -> DataFrame:
