@@ -178,6 +178,10 @@ def _of_texts(size, name, value):
     return run
 
 
+def _blocks(rows, shingles):
+    return F.greatest(F.ceil(rows / PAIR_BLOCK), F.ceil(shingles / PAIR_SHINGLES))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
@@ -207,11 +211,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Bands in which several groups are left: their classes have met the hub only, not each other.
     labelled = met.join(groups.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
-    apart = (labelled.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.min("label").alias("a"), F.max("label").alias("b"))
-             .where("rows > 2 and a <> b")
-             .select("band", F.greatest(F.ceil(F.col("rows") / PAIR_BLOCK), F.ceil(F.col("all") / PAIR_SHINGLES)).alias("nb")))
-    left = store(labelled.join(apart, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb"))), "apart")
-    cells = (left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
+    # Only the largest group of a band may fill many blocks; its blocks meet those of the other groups, not each other.
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    apart = (sizes.groupBy("band").agg(F.max(F.struct("rows", "all", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("all").alias("all"), F.count("*").alias("labels"))
+             .where("rows > 2 and labels > 1")
+             .select("band", F.col("main.label").alias("main"), _blocks(F.col("main.rows"), F.col("main.all")).alias("inner"),
+                     _blocks(F.col("rows") - F.col("main.rows"), F.col("all") - F.col("main.all")).alias("outer")))
+    deal, inside = F.xxhash64("id"), F.col("label") == F.col("main")
+    left = store(labelled.join(apart, "band").select(
+        "band", "id", "n", "label", F.when(inside, F.col("outer") + F.pmod(deal, F.col("inner"))).otherwise(F.pmod(deal, F.col("outer"))).alias("block"),
+        F.when(inside, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1).alias("last")), "apart")
+    cells = (left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
              .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n"))
     of_id = texts.join(left.select("id").distinct(), "id", "left_semi")
     signed = of_id.mapInArrow(_of_texts(shingle, "sig", signature), "id bigint, sig binary")
