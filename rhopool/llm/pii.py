@@ -34,7 +34,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _DIGIT_RUNS = re.compile(r"(?<![0-9])[0-9]+(?:[\x20-][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[0-9().-]*[0-9][0-9().-]*(?![^\x20\x09-\x0D]))*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SIGNAL = re.compile(r"[0-9@]")
+_NUMERIC = "0123456789().-"
 _EDGES = " \"'`()[]{}<>.,;:!?*#$%&|="
 
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -83,12 +85,23 @@ def candidates(text: str, taken) -> list[tuple[int, int]]:
     """Spans of other tokens with an @ or enough digits that overlap none of the sorted spans ``taken``."""
     edges = np.array([[a, b] for a, _, b in taken]).reshape(-1, 2)
     out = []
-    for m in _TOKEN.finditer(text):
+    tokens: list[list[int]] = []
+    joins = -1
+    for m in _WORD.finditer(text):
         a, b = m.span()
-        core = m[0].strip(_EDGES)
-        if "@" not in core and sum(c.isdigit() for c in core) < MIN_DIGITS:
+        if not _SIGNAL.search(text, a, b):
             continue
-        a += len(m[0]) - len(m[0].lstrip(_EDGES))
+        if a == joins + 1 and text[joins] == " " and not text[a:b].strip(_NUMERIC):
+            tokens[-1][1] = b       # a number written in groups
+        else:
+            tokens.append([a, b])
+        joins = b
+    for a, b in tokens:
+        token = text[a:b]
+        core = token.strip(_EDGES)
+        if "@" not in core and len(_NOT_DIGIT.sub("", core)) < MIN_DIGITS:
+            continue
+        a += len(token) - len(token.lstrip(_EDGES))
         b = a + len(core)
         if len(edges) and ((edges[:, 0] < b) & (edges[:, 1] > a)).any():
             continue
