@@ -65,7 +65,7 @@ def _links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
     return cells.block_pairs(rows, eps).groupBy("bi", "bj").applyInPandas(link, "id string, root string, kind string")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) with label the smallest node of the component, from (a, b) edges.
 
     Each round takes the least neighbouring label and jumps once through the
@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                        .distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label"))
                          .withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
+    while True:
         via = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
                .agg(F.min("label").alias("near")))
         step = labels.join(via, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -84,7 +84,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, metric: str = "euclidean", block: int | None = None) -> DataFrame:

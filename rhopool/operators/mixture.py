@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rhopool.operators.scaling import num
+from rhopool.session import materialize
 
 
 
@@ -18,12 +19,9 @@ def _vectors(points: DataFrame) -> DataFrame:
     return points.select("id", "v", array_to_vector("v").alias("features"))
 
 
-def kmeans_distance(points: DataFrame, k: int = 5, seed: int = 42, n_init: int = 1, max_iter: int = 20) -> DataFrame:
-    """(id, kmeans_label, center_distance); the cheapest of ``n_init`` runs.
-
-    Parallel k-means++ seeding makes restarts rarely useful, hence one run by default.
-    """
-    data = _vectors(points)
+def kmeans_distance(points: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10, max_iter: int = 20) -> DataFrame:
+    """(id, kmeans_label, center_distance); the cheapest of ``n_init`` runs."""
+    data = materialize(_vectors(points), "kmeans")
     n = points.count()
     best = None
     for i in range(n_init):
@@ -40,12 +38,14 @@ def kmeans_distance(points: DataFrame, k: int = 5, seed: int = 42, n_init: int =
 
 
 def mixture(points: DataFrame, k: int = 3, seed: int = 42, max_iter: int = 100, tol: float = 1e-3) -> DataFrame:
-    """(id, gmm_label, gmm_confidence); label 0 with confidence 1 when the fit fails."""
+    """(id, gmm_label, gmm_confidence); label 0 with confidence 1 where a component has no spread at all."""
     data = _vectors(points)
     try:
         model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="gmm_label",
                                 probabilityCol="prob").fit(data)
-    except Exception:  # singular data: the mixture is undefined, the pipeline goes on without it
+    except Exception as e:  # without any spread the mixture is undefined; every other failure is the caller's
+        if "singular" not in str(e):
+            raise
         return points.select("id", F.lit(0).alias("gmm_label"), F.lit(1.0).alias("gmm_confidence"))
     return model.transform(data).select("id", "gmm_label", F.array_max(vector_to_array("prob")).alias("gmm_confidence"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rhopool.functions import stats as S
 from rhopool.functions.text import GENE_SYMBOL_PATTERN, SAMPLE_PATTERN, STUDY_PATTERN, TECHNOLOGIES
-from rhopool.operators.clean import MANDATORY, UNIT_INTERVAL, missing_columns
+from rhopool.operators.clean import REQUIRED, UNIT_INTERVAL, add_missing, missing_columns
 from rhopool.operators.scaling import exact_quantiles, numeric_columns
 
 # Quality thresholds.
@@ -30,29 +30,38 @@ def table_metrics(df: DataFrame, pair: tuple[str, str] = ("GeneAName", "GeneBNam
     return df.agg(
         F.count(F.lit(1)).alias("total_records"), F.count_if(nulls == 0).alias("complete_cases"),
         (S.div(F.sum(nulls), F.count(F.lit(1)) * len(df.columns)) * 100.0).alias("missing_percentage"),
-        F.countDistinct(F.least(*pair), F.greatest(*pair)).alias("unique_pairs"))
+        F.countDistinct(*pair).alias("unique_pairs"))
 
 
 def row_predicates(df: DataFrame) -> DataFrame:
     """Counts of rows that break a row-level expectation."""
-    out = [F.count_if((F.col(c) < 0) | (F.col(c) > 1)).alias(f"{c}_out_of_range") for c in UNIT_INTERVAL]
-    out += [F.count_if(F.col(c) <= 0).alias(f"{c}_not_positive") for c in ("n_studies_ss", "n_studies_soth")]
-    out += [F.count_if(F.abs(c) > 10).alias(f"{c}_extreme") for c in ("dz_ss_mean", "dz_soth_mean")]
+    number = lambda c: F.col(c).try_cast("double")
+    out = [F.count_if((number(c) < 0) | (number(c) > 1)).alias(f"{c}_out_of_range") for c in UNIT_INTERVAL]
+    out += [F.count_if(number(c) <= 0).alias(f"{c}_not_positive") for c in ("n_studies_ss", "n_studies_soth")]
+    out += [F.count_if(F.abs(number(c)) > 10).alias(f"{c}_extreme") for c in ("dz_ss_mean", "dz_soth_mean")]
+    numeric = [c for c in (*UNIT_INTERVAL, "n_studies_ss", "n_studies_soth", "dz_ss_mean", "dz_soth_mean")]
+    out += [F.count_if(F.col(c).isNotNull() & number(c).isNull()).alias(f"{c}_not_numeric") for c in numeric]
     return df.agg(*out)
 
 
 def validate_pairs(df: DataFrame) -> DataFrame:
-    """Validation report of a pair table: missing columns are errors, broken predicates warnings, metrics info."""
-    spark = df.sparkSession
-    absent = missing_columns(df, MANDATORY)
+    """(check, level, value) of a pair table, with a last row is_valid (1 without errors, else 0).
+
+    Absent required columns and p or q outside [0, 1] are errors, other broken expectations warnings, metrics info.
+    Absent columns read as null, so that the other checks still run.
+    """
+    absent = missing_columns(df, REQUIRED)
+    full = add_missing(df, REQUIRED)
+    broken = row_predicates(full)
+    level = F.when(F.col("check").endswith("_out_of_range"), "error").otherwise("warning")
+    rows = unpivot_metrics(broken, broken.columns, "check").where("value > 0").withColumn("level", level)
+    info = table_metrics(df if {"GeneAName", "GeneBName"} <= set(df.columns) else full)
+    rows = rows.unionByName(unpivot_metrics(info, info.columns, "check").withColumn("level", F.lit("info")))
     if absent:
-        return spark.createDataFrame([(f"missing column {c}", "error", 1.0) for c in absent],
-                                     "check string, level string, value double")
-    warn = row_predicates(df)
-    info = table_metrics(df)
-    w = unpivot_metrics(warn, warn.columns, "check").where("value > 0").withColumn("level", F.lit("warning"))
-    i = unpivot_metrics(info, info.columns, "check").withColumn("level", F.lit("info"))
-    return w.unionByName(i).select("check", "level", "value")
+        rows = rows.unionByName(df.sparkSession.createDataFrame([(f"missing column {c}", "error", 1.0) for c in absent], "check string, level string, value double"))
+    valid = rows.agg(F.count_if(F.col("level") == "error").alias("e")).select(
+        F.lit("is_valid").alias("check"), F.lit("info").alias("level"), F.when(F.col("e") == 0, 1.0).otherwise(0.0).alias("value"))
+    return rows.unionByName(valid).select("check", "level", "value")
 
 
 def column_profile(df: DataFrame, cols: list[str] = PROFILE_COLUMNS) -> DataFrame:

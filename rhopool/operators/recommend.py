@@ -26,8 +26,9 @@ RULE_SHARE, ML_SHARE, HIGH_LEVEL, OUTLIER_LEVEL = 0.7, 0.3, 0.8, 0.6
 DEFAULT_TOP, MAX_TOP = 20, 50
 
 
-def _top(n: int | None) -> int:
-    return min(n if n and n > 0 else DEFAULT_TOP, MAX_TOP)
+def _top(n: int | None, most: int | None = None) -> int:
+    n = n if n and n > 0 else DEFAULT_TOP
+    return n if most is None else min(n, most)
 
 
 def _measures():
@@ -147,7 +148,10 @@ class PairAnalyzer:
         return points, materialize(labels, "labels")
 
     def predict(self, df: DataFrame, top_n: int | None = None, min_methods: int = 3) -> tuple[DataFrame, DataFrame]:
-        """(recommendations, one-row summary)."""
+        """(recommendations, one-row summary); the described analyzer returns ``MAX_TOP`` rows at most.
+
+        Silhouette and Calinski-Harabasz are -1 unless there is more than one cluster besides noise.
+        """
         points, labels = self.ensemble(df)
         flagged = consensus(labels, ["anomaly_label", "cluster_label", "gmm_label"], min_methods)
         d = RU.apply_rules(df, self.rules, "count").join(
@@ -157,20 +161,23 @@ class PairAnalyzer:
         d = d.withColumns({"ml_confidence": level, "is_outlier": F.col("anomaly_label") == -1})
         d = materialize(d.withColumn("combined_score", RULE_SHARE * F.col("rules_score") + ML_SHARE * F.col("ml_confidence")), "scored")
         # The best rule scores are the candidates; the combined score orders them.
-        best = d.orderBy(F.desc("rules_score"), "pair_id").limit(_top(top_n))
-        recs = _ranked(best, _top(top_n)).select(
+        best = d.orderBy(F.desc("rules_score"), "pair_id").limit(_top(top_n, MAX_TOP))
+        recs = _ranked(best, _top(top_n, MAX_TOP)).select(
             "pair_id", F.col("GeneAName").alias("gene_a"), F.col("GeneBName").alias("gene_b"), "rules_score", "ml_confidence",
             "combined_score", "is_high_confidence", "is_outlier", "rank", _measures().alias("statistical_measures"))
         control = RU.control_percentile(d, self.control).select("validated").scalar()
-        sil = silhouette(points, labels)
+        clusters = labels.agg(F.countDistinct(F.when(F.col("cluster_label") != -1, F.col("cluster_label")))).first()[0]
+        if clusters > 1:
+            quality = {"silhouette_score": silhouette(points, labels).select("silhouette").scalar(),
+                       "calinski_harabasz": calinski_harabasz(points, labels).select("calinski_harabasz").scalar()}
+        else:
+            quality = {"silhouette_score": F.lit(-1.0), "calinski_harabasz": F.lit(-1.0)}
         summary = d.agg(
             F.count(F.lit(1)).alias("total_pairs"), F.count_if("is_outlier").alias("outliers_detected"),
             F.count_if(F.col("p_ss") < 0.05).alias("significant_pairs_ss"), F.count_if(F.col("p_soth") < 0.01).alias("significant_pairs_soth"),
             F.count_if((F.abs("dz_ss_mean") > 0.5) & (F.abs("dz_soth_mean") > 1.0)).alias("large_effect_pairs"))
         summary = summary.withColumns({
-            "clusters_found": labels.agg(F.countDistinct(F.when(F.col("cluster_label") != -1, F.col("cluster_label")))).scalar(),
-            "silhouette_score": sil.select("silhouette").scalar(),
-            "calinski_harabasz": calinski_harabasz(points, labels).select("calinski_harabasz").scalar(),
+            "clusters_found": F.lit(clusters).cast("bigint"), **quality,
             "mean_consensus": consensus_summary(labels, ["anomaly_label", "cluster_label", "gmm_label"]).scalar(),
             "positive_control_validated": control})
         return recs, summary

@@ -203,7 +203,7 @@ def load_rules(spark: SparkSession, path: str, default: list[Rule] = AGENT_RULES
     """Valid rules of a JSON table; invalid ones are skipped; the defaults when nothing usable is there."""
     from pyspark.errors import AnalysisException
     try:
-        lines = spark.read.text(path, wholetext=True).limit(64).collect()
+        lines = spark.read.text(path, wholetext=True).collect()
     except AnalysisException:
         return list(default)
     out: list[Rule] = []

@@ -56,9 +56,9 @@ def retain(df: DataFrame, at: str, days: int, now: Column | None = None) -> Data
     return df.where(F.col(at) >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-def unmatched_keys(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+def unmatched_keys(facts: DataFrame, dim: DataFrame, *key: str) -> DataFrame:
     """Distinct fact keys absent from the dimension."""
-    return facts.select(key).distinct().join(dim.select(key), key, "left_anti")
+    return facts.select(*key).distinct().join(dim.select(*key), list(key), "left_anti")
 
 
 def resolve_keys(facts: DataFrame, dim: DataFrame, natural: str, surrogate: str) -> DataFrame:

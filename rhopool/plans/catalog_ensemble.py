@@ -94,7 +94,7 @@ def kmeans_distance(spark, sf):
 
 @query("gaussian_mixture")
 def gaussian_mixture(spark, sf):
-    return rounded(MX.mixture(embedding_points(spark, sf), max_iter=20))
+    return rounded(MX.mixture(embedding_points(spark, sf)))
 
 
 @query("cosine_distance", Q.with_(_EMB + ", c AS (SELECT v AS w FROM pt WHERE id = '0')",

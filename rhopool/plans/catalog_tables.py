@@ -118,7 +118,7 @@ def row_predicates(spark, sf):
 # --- quality --------------------------------------------------------------------
 
 @query("table_metrics", f"""SELECT count(*) AS total_records, count(*) FILTER (nulls = 0) AS complete_cases,
-  {r('sum(nulls) * 100.0 / (count(*) * 3)', 'missing_percentage')}, count(DISTINCT (least(p_brand, t), greatest(p_brand, t))) AS unique_pairs
+  {r('sum(nulls) * 100.0 / (count(*) * 3)', 'missing_percentage')}, count(DISTINCT (p_brand, t)) AS unique_pairs
 FROM (SELECT p_brand, t, x, CASE WHEN t IS NULL THEN 1 ELSE 0 END + CASE WHEN x IS NULL THEN 1 ELSE 0 END AS nulls
       FROM (SELECT p_brand, p_type AS t, CASE WHEN p_size > 10 THEN p_size END AS x FROM part))""")
 def table_metrics(spark, sf):
@@ -126,9 +126,10 @@ def table_metrics(spark, sf):
     return rounded(QU.table_metrics(p, ("p_brand", "t")))
 
 
-@query("validate_pairs", Q.with_(DIRTY, """SELECT 'q_soth_out_of_range' AS "check", 'warning' AS level, CAST(count(*) AS DOUBLE) AS value FROM dirty WHERE q_soth > 1 HAVING count(*) > 0
+@query("validate_pairs", Q.with_(DIRTY, """SELECT 'q_soth_out_of_range' AS "check", 'error' AS level, CAST(count(*) AS DOUBLE) AS value FROM dirty WHERE q_soth > 1 HAVING count(*) > 0
 UNION ALL SELECT 'total_records', 'info', count(*) FROM dirty
-UNION ALL SELECT 'unique_pairs', 'info', count(DISTINCT pair_id) FROM dirty"""))
+UNION ALL SELECT 'unique_pairs', 'info', count(DISTINCT (GeneAName, GeneBName)) FROM dirty
+UNION ALL SELECT 'is_valid', 'info', CASE WHEN count(*) FILTER (q_soth > 1) = 0 THEN 1 ELSE 0 END FROM dirty"""))
 def validate_pairs(spark, sf):
     v = QU.validate_pairs(dirty(spark, sf))
     return v.where(~F.col("check").isin("complete_cases", "missing_percentage"))
@@ -721,10 +722,12 @@ def whole_column_coercion(spark, sf):
     return C.coerce_columns(c, ["good", "bad"])
 
 
-@query("column_aliases", "SELECT p_name AS GeneAName, p_type AS GeneBName, p_retailprice AS p_ss, p_brand AS brand FROM part")
+@query("column_aliases", '''SELECT p_name AS GeneAName, p_type AS GeneBName, p_retailprice AS p_ss, p_brand AS brand, p_size AS "dz_ss_se", p_size + 1 AS kappa_ss,
+  p_size + 2 AS "rank_score", p_size + 3 AS "Rank-Score" FROM part''')
 def column_aliases(spark, sf):
     p = X.table(spark, sf, "part").select(F.col("p_name").alias("Gene A"), F.col("p_type").alias("gene_b_symbol"),
-                                          F.col("p_retailprice").alias("P-Value SS"), F.col("p_brand").alias("brand"))
+                                          F.col("p_retailprice").alias("P-Value SS"), F.col("p_brand").alias("brand"), F.col("p_size").alias("DZ SS SE"), (F.col("p_size") + 1).alias("Kappa-SS"),
+                                          (F.col("p_size") + 2).alias("rank_score"), (F.col("p_size") + 3).alias("Rank-Score"))
     return C.rename_aliases(p)
 
 

@@ -82,7 +82,7 @@ def fact_expression(spark, sf):
     return rounded(E.transform(study_input(spark, sf))["fact_expression"], 5)
 
 
-@query("unmapped_keys", f"""WITH {_SQL} SELECT 'sample' AS kind, count(DISTINCT sample) AS unmapped FROM x WHERE sample NOT IN (SELECT accession_code FROM a) UNION ALL SELECT 'gene', 0""")
+@query("unmapped_keys", f"""WITH {_SQL} SELECT 'sample' AS kind, count(DISTINCT (study, sample)) AS unmapped FROM x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.study = x.study AND accession_code = sample) UNION ALL SELECT 'gene', 0""")
 def unmapped_keys(spark, sf):
     d = study_input(spark, sf)
     return E.unmapped(d, E.transform(d))

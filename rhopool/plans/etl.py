@@ -102,11 +102,11 @@ def transform(data: StudyInput, extended: bool = False) -> dict[str, DataFrame]:
 
 
 def unmapped(data: StudyInput, star: dict[str, DataFrame]) -> DataFrame:
-    """Per kind the number of expression keys without a dimension row."""
-    s = data.expression.select(F.col("sample").alias("accession_code"))
+    """Per kind the number of expression keys without a dimension row; a sample belongs to its study."""
+    s = data.expression.select("study", F.col("sample").alias("accession_code"))
     g = data.expression.select(F.col("gene").alias("gene_symbol"))
     count = lambda d, k: d.agg(F.count(F.lit(1)).alias("unmapped")).select(F.lit(k).alias("kind"), "unmapped")
-    return count(unmatched_keys(s, star["dim_sample"], "accession_code"), "sample").unionByName(
+    return count(unmatched_keys(s, star["dim_sample"], "study", "accession_code"), "sample").unionByName(
         count(unmatched_keys(g, star["dim_gene"], "gene_symbol"), "gene"))
 
 
