@@ -154,8 +154,9 @@ def run_statistics(executions: DataFrame, quality: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checks"), F.count_if(F.col("result") == "FAIL").alias("errors"),
         F.count_if(F.col("result") == "WARNING").alias("warnings"), F.countDistinct("check").alias("distinct_checks"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return executions.join(q, "execution_id", "left").select(
-        *executions.columns, *[zero(c) for c in ("checks", "errors", "warnings", "distinct_checks")])
+    counts = ("checks", "errors", "warnings", "distinct_checks")
+    own = executions.drop(*counts)
+    return own.join(q, "execution_id", "left").select(*own.columns, *[zero(c) for c in counts])
 
 
 def recent_performance(executions: DataFrame, now, days: int = 7) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,20 +177,34 @@ class Warehouse:
 def run(data: StudyInput, warehouse: Warehouse | None, min_genes: int = 1000, extended: bool = False) -> tuple[DataFrame, DataFrame]:
     """(findings, audit): validate every study, load those without errors, record one audit row per study.
 
-    A failing study never stops the others.  ``warehouse=None`` only validates.
+    A failing study never stops the others: studies with errors aren't loaded, and when the load itself fails the
+    studies in it are audited as FAILED with its message. Findings carry the execution_id of their study's audit row
+    and a result (FAIL, WARNING or PASS). ``warehouse=None`` only validates.
     """
-    started = F.current_timestamp()
+    started = datetime.now(timezone.utc)
     findings = materialize(validate_studies(data.experiments, data.samples, data.annotations, data.expression, min_genes), "findings")
-    score = data.experiments.select("study").distinct().join(quality_score(findings), "study", "left")
+    score = materialize(data.experiments.select("study").distinct().join(quality_score(findings), "study", "left")
+                        .withColumn("execution_id", batch_id("study")), "scores")
     good = score.where(F.coalesce("errors", F.lit(0)) == 0)
     records = data.expression.groupBy("study").agg(F.count(F.lit(1)).alias("records"))
+    failure = None
     if warehouse is not None:
-        warehouse.load(transform(data.only(good), extended))
-    status = F.when(F.coalesce("errors", F.lit(0)) > 0, "FAILED").otherwise("SUCCESS" if warehouse is not None else "VALIDATED")
+        try:
+            warehouse.load(transform(data.only(good), extended))
+        except Exception as e:  # whatever it was, the audit names it
+            failure = f"{type(e).__name__}: {e}"[:1000]
+    finished = datetime.now(timezone.utc)
+    bad = F.coalesce("errors", F.lit(0)) > 0
+    loaded = F.lit("VALIDATED" if warehouse is None else "SUCCESS" if failure is None else "FAILED")
+    count = F.coalesce("records", F.lit(0))
+    seconds = (finished - started).total_seconds()
     audit = materialize(score.join(records, "study", "left").select(
-        batch_id("study").alias("execution_id"), "study", status.alias("status"), started.alias("started"),
-        F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("errors", F.lit(0)).alias("errors"),
-        F.coalesce("warnings", F.lit(0)).alias("warnings"), "quality_score"), "audit")
+        "execution_id", "study", F.when(bad, "FAILED").otherwise(loaded).alias("status"), F.lit(started).alias("started"), F.lit(finished).alias("finished"),
+        F.lit(seconds).alias("seconds"), count.alias("records"), (count / F.lit(max(seconds, 1e-3))).alias("records_per_second"),
+        F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "quality_score",
+        F.when(~bad, F.lit(failure)).alias("message")), "audit")
+    result = F.when(F.col("level") == "error", "FAIL").when(F.col("level") == "warning", "WARNING").otherwise("PASS")
+    findings = findings.join(score.select("study", "execution_id"), "study", "left").withColumn("result", result)
     if warehouse is not None:
         warehouse.append("audit_execution", audit)
         warehouse.append("audit_quality", findings)

@@ -73,11 +73,20 @@ def read_annotations(spark: SparkSession, path: str, prefix: str = "") -> DataFr
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """A wide gene x sample matrix as (study, gene, sample, value text); Spark splits large files itself."""
-    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
-    gene, samples = df.columns[0], df.columns[1:]
-    df = df.withColumn("study", study_of_path(F.input_file_name()))
-    return df.unpivot(["study", F.col(f"`{gene}`").alias("gene")], [F.col(f"`{s}`") for s in samples], "sample", "value")
+    """Wide gene x sample matrices as (study, gene, sample, value text), each file under its own header.
+
+    ``path`` may name many files. The header is a file's first line; cells beyond it are dropped, absent and empty
+    cells are NULL. Lines are split and exploded one by one, so no plan is as wide as a matrix.
+    """
+    cells = F.transform(F.split("value", "\t", -1), lambda c: F.nullif(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit("")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("line"), cells.alias("cells"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("cells", "line").alias("names"), F.min("line").alias("first"))
+    body = lines.join(heads, "file").where("block > 0 or line <> first")
+    pairs = F.arrays_zip(F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))).alias("sample"),
+                         F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("value"))
+    return (body.select(study_of_path(F.col("file")).alias("study"), F.element_at("cells", 1).alias("gene"), F.explode(pairs).alias("p"))
+            .select("study", "gene", "p.sample", "p.value").where("sample is not null and gene is not null"))
 
 
 def study_of_path(path):

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rhopool.operators import reports as R
 from rhopool.plans import etl as E
 from rhopool.sources import files as FI
 from rhopool.sources import metadata as MD
@@ -40,7 +41,7 @@ def read(spark, root):
                       "has_publication", "pubmed_id", "publication_title", "source_first_published", "source_last_modified")
     s = MD.attributes(MD.samples(docs), ["study", "sample"], "accession_code", "organism", "platform_name", "processor_name", "processor_version")
     a = FI.read_annotations(spark, f"{root}/*/annotations.tsv", "src_")
-    x = FI.union_all([FI.read_matrix(spark, f"{root}/{c.study}/matrix.tsv") for c in e.select("study").collect()])
+    x = FI.read_matrix(spark, f"{root}/*/matrix.tsv")
     return docs, E.StudyInput(e, s, a, x.withColumn("value", F.col("value").try_cast("double")))
 
 
@@ -83,3 +84,28 @@ def test_pipeline(spark, tmp_path):
     assert {r.status for r in audit.collect()} == {"VALIDATED", "FAILED"}
     FI.write_report(findings, str(tmp_path / "report"))
     assert spark.read.text(f"{tmp_path}/report/text").count() == findings.count()
+
+
+def test_each_matrix_keeps_its_own_header(spark, tmp_path):
+    for study, head, row in (("SRP1", "Gene\tA1\tA2", "G1\t1\t"), ("SRP2", 'id\t"B1"\tB2\tB3', "G1\t3\t4")):
+        (tmp_path / study).mkdir()
+        (tmp_path / study / "matrix.tsv").write_text(f"{head}\n{row}\n")
+    got = {(r.study, r.gene, r.sample): r.value for r in FI.read_matrix(spark, f"{tmp_path}/*/matrix.tsv").collect()}
+    assert got == {("SRP1", "G1", "A1"): "1", ("SRP1", "G1", "A2"): None, ("SRP2", "G1", "B1"): "3", ("SRP2", "G1", "B2"): "4", ("SRP2", "G1", "B3"): None}
+
+
+def test_failing_load_is_audited_with_its_studies(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_study(tmp_path / "in", "SRP1", "top")
+
+    class Broken(E.Warehouse):
+        def load(self, star):
+            raise OSError("disk full")
+
+    _, audit = E.run(read(spark, tmp_path / "in")[1], Broken(spark, str(tmp_path / "wh")), min_genes=3)
+    (row,) = audit.collect()
+    assert row.status == "FAILED" and "disk full" in row.message and row.seconds >= 0 and row.finished >= row.started
+    stored = spark.read.parquet(f"{tmp_path}/wh/audit_execution")
+    assert R.pipeline_summary(stored).first().failed == 1
+    quality = spark.read.parquet(f"{tmp_path}/wh/audit_quality")
+    assert R.run_statistics(stored, quality).first().checks == quality.count() > 0
