@@ -54,6 +54,7 @@ def sample_number(title) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in tries]).try_cast("long")
 
 
+# The marks of each kind and their order, in which the first match wins (gene_type, platform_type, technology).
 def gene_type(symbol) -> Column:
     s = F.upper(_c(symbol))
     return (F.when(s.startswith("MIR") | s.startswith("LET"), "miRNA")

@@ -16,20 +16,21 @@ SIGN_NOISE = 1e-12
 CONDITIONS = ["control", "sepsis", "septic shock"]
 
 # Published column order of the pair metrics table.
-_DZ = ["dz_{c}_mean", "dz_{c}_se", "dz_{c}_ci_low", "dz_{c}_ci_high", "dz_{c}_Q", "dz_{c}_I2", "dz_{c}_z", "p_{c}"]
-_GROUP = ["{g}_weighted_r", "{g}_se_r", "{g}_I2", "{g}_z_stat", "{g}_p_value", "{g}_n_samples"]
-_DELTA = ["delta_r_{d}", "se_diff_{d}", "z_diff_{d}", "p_diff_{d}"]
-METRIC_COLUMNS = (
-    ["pair_id", "n_studies_ss", "n_studies_soth"]
-    + [t.format(c=c) for c in ("ss", "soth") for t in _DZ]
-    + ["kappa_ss", "kappa_soth", "abs_dz_ss", "abs_dz_soth"]
-    + [t.format(g=g) for g in ("control", "sepsis", "septic_shock") for t in _GROUP]
-    + [t.format(d=d) for d in ("shock_control", "shock_sepsis", "sepsis_control") for t in _DELTA]
-    + ["combined_p_value", "combined_effect_size", "combined_z_score", "power_score", "consistency_score",
-       "direction_consistency", "magnitude_consistency", "geneA_log2fc", "geneB_log2fc",
-       "expression_change_magnitude", "expression_asymmetry", "total_samples", "q_ss", "q_soth", "rank_score",
-       "GeneAName", "GeneBName", "GeneAKey", "GeneBKey"]
-)
+METRIC_COLUMNS = [
+    "pair_id", "n_studies_ss", "n_studies_soth", "dz_ss_mean", "dz_ss_se", "dz_ss_ci_low", "dz_ss_ci_high", "dz_ss_Q",
+    "dz_ss_I2", "dz_ss_z", "p_ss", "dz_soth_mean", "dz_soth_se", "dz_soth_ci_low", "dz_soth_ci_high", "dz_soth_Q",
+    "dz_soth_I2", "dz_soth_z", "p_soth", "kappa_ss", "kappa_soth", "abs_dz_ss", "abs_dz_soth", "control_weighted_r",
+    "control_se_r", "control_I2", "control_z_stat", "control_p_value", "control_n_samples", "sepsis_weighted_r",
+    "sepsis_se_r", "sepsis_I2", "sepsis_z_stat", "sepsis_p_value", "sepsis_n_samples", "septic_shock_weighted_r",
+    "septic_shock_se_r", "septic_shock_I2", "septic_shock_z_stat", "septic_shock_p_value", "septic_shock_n_samples",
+    "delta_r_shock_control", "se_diff_shock_control", "z_diff_shock_control", "p_diff_shock_control",
+    "delta_r_shock_sepsis", "se_diff_shock_sepsis", "z_diff_shock_sepsis", "p_diff_shock_sepsis",
+    "delta_r_sepsis_control", "se_diff_sepsis_control", "z_diff_sepsis_control", "p_diff_sepsis_control",
+    "combined_p_value", "combined_effect_size", "combined_z_score", "power_score", "consistency_score",
+    "direction_consistency", "magnitude_consistency", "geneA_log2fc", "geneB_log2fc", "expression_change_magnitude",
+    "expression_asymmetry", "total_samples", "q_ss", "q_soth", "rank_score", "GeneAName", "GeneBName", "GeneAKey",
+    "GeneBKey",
+]
 
 # Numeric codes of the condition labels.
 LABEL_CODES = {2: "control", 1: "septic shock", 3: "sepsis"}

@@ -79,6 +79,7 @@ def top_with_percentiles(recs: DataFrame, n: int = 20, score: str = "combined_sc
         "score_percentile": S.div(F.col(score), s["best"]) * 100.0})
 
 
+# The names of the exported columns.
 def flat_recommendations(recs: DataFrame) -> DataFrame:
     m = "statistical_measures."
     return recs.select(
@@ -89,6 +90,7 @@ def flat_recommendations(recs: DataFrame) -> DataFrame:
         F.col(m + "dz_ss_mean").alias("Effect_Size_SS"), F.col(m + "dz_soth_mean").alias("Effect_Size_SOTH"))
 
 
+# The limits of the checks.
 def result_checks(summary: DataFrame, n_recommendations: DataFrame) -> DataFrame:
     """Dashboard validation of a one-row summary(total_pairs, outliers_detected, silhouette_score,
     positive_control_validated) and a one-row (n) recommendation count."""

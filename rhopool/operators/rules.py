@@ -133,6 +133,7 @@ def rule_score(rules: list[Rule], columns: list[str], normalise: str = "weight")
     return F.least(F.greatest(total / F.lit(float(base)), F.lit(0.0)), F.lit(1.0))
 
 
+# The wording of explanations.
 def explanations(rules: list[Rule], columns: list[str]) -> Column:
     """One text per enabled rule, satisfied or not."""
     return F.array(*[

@@ -291,7 +291,7 @@ def feature_selection(spark, sf):
     m = X.metrics(spark, sf).select("dz_ss_mean", "p_ss", "rank_score").withColumns(
         {"flat": F.lit(1.0), "hollow": F.when(F.col("p_ss") < -1, 1.0)})
     kept = SC.select_features(m, ["dz_ss_mean", "p_ss", "rank_score", "flat", "hollow"])
-    return X.metrics(spark, sf).select(F.explode(F.array(*map(F.lit, kept))).alias("feature")).distinct()
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
 _CORR_COLS = ["p_ss", "q_ss", "kappa_ss", "abs_dz_ss", "dz_ss_se", "dz_ss_Q"]
@@ -302,8 +302,7 @@ _CORR_COLS = ["p_ss", "q_ss", "kappa_ss", "abs_dz_ss", "dz_ss_se", "dz_ss_Q"]
 def top_correlated_features(spark, sf):
     m = X.metrics(spark, sf)
     top = SC.top_correlated(m, _CORR_COLS, "rank_score", 4)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(v).alias("abs_corr")) for c, v in top])
-    return rounded(m.limit(1).select(F.inline(pairs)))
+    return rounded(spark.createDataFrame([(c, float(v)) for c, v in top], "feature string, abs_corr double"))
 
 
 # --- rules ------------------------------------------------------------------------
