@@ -26,7 +26,9 @@ BLOCK_BITS = 16
 MAX_BITS = 1 << 29   # 64 MiB, the bound of what is broadcast
 SHARE = 64           # one bigram in so many is counted beforehand, to size the filter
 PRIOR, POWER = 3.0, 0.75  # the unigram estimate weighs PRIOR * (context count + 1) ** POWER counts: new words follow frequent ones too
-HEAD = 1 << 17       # words whose exact counts every task holds; the others are counted by a join
+HEAD = 1 << 19       # words whose exact counts every task holds (8 MiB); the others are counted by a join
+CHUNK = 1 << 22      # tokens gathered before their counts leave a task
+RANGE_KEYS = 1 << 20  # bigram tokens for each range of hashes that is built at once, on average
 
 
 def level(count):
@@ -56,71 +58,112 @@ def _rows(order, key, n):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["order", "key", "n"])
 
 
-def _count(batches):
-    """All unigrams, and the bigrams of one share of the hashes."""
+def _chunks(batches, *views):
+    """Sorted distinct values and counts of each view of the tokens, for about CHUNK tokens at a time."""
+    held, size = [[] for _ in views], 0
     for _, data, offsets in text_blocks(batches):
         h, _ = tokens(data, offsets)
-        yield _rows(1, *np.unique(h, return_counts=True))
-        two = pairs(h)
-        yield _rows(2, *np.unique(two[two % np.uint64(SHARE) == 0], return_counts=True))
+        for k, view in enumerate(views):
+            held[k].append(np.unique(view(h), return_counts=True))
+        size += len(h)
+        if size >= CHUNK:
+            yield [_merged(x) for x in held]
+            held, size = [[] for _ in views], 0
+    if size:
+        yield [_merged(x) for x in held]
 
 
-def _grams(batches):
-    for _, data, offsets in text_blocks(batches):
-        h, _ = tokens(data, offsets)
-        yield _rows(1, *np.unique(h, return_counts=True))
-        yield _rows(2, *np.unique(pairs(h), return_counts=True))
+def _merged(parts):
+    """One sorted (keys, counts) from several."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _places(keys: np.ndarray, q, blocks: int):
-    """Byte number and bit of every probe: rows of PROBES."""
-    block = (keys >> np.uint64(32)) % np.uint64(blocks)
-    spread = mix(keys + np.asarray(q, np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    bit = (spread[:, None] >> (np.arange(PROBES, dtype=np.uint64) * np.uint64(BLOCK_BITS))) & np.uint64((1 << BLOCK_BITS) - 1)
-    return ((block << np.uint64(BLOCK_BITS - 3))[:, None] + (bit >> np.uint64(3))).astype(np.int64), (bit & np.uint64(7)).astype(np.uint8)
+def _count(batches):
+    """All unigrams, and the bigrams of one share of the hashes."""
+    for one, two in _chunks(batches, lambda h: h, lambda h: (p := pairs(h))[p % np.uint64(SHARE) == 0]):
+        yield _rows(1, *one)
+        yield _rows(2, *two)
+
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-def _build(blocks, least):
-    """Blocks of the filter from rows sorted by (block, order, key); equal keys are summed across batches."""
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _grams(ranges):
+    """Uni- and bigrams of each chunk, packed: a row for each range of hashes, with key differences and counts."""
+    shift = np.uint64(64 - int(ranges).bit_length() + 1)
 
     def run(batches):
-        size = 1 << (BLOCK_BITS - 3)
-        bits, current, rest = np.zeros(size, np.uint8), None, None
+        for one, two in _chunks(batches, lambda h: h, pairs):
+            keys, n = _merged([one, two])
+            at = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else np.array([0, len(keys)])
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some), pa.array([_planes(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary()),
+                pa.array([_planes(n[at[r]:at[r + 1]].astype(np.uint32)) for r in some], pa.binary())], ["range", "keys", "counts"])
 
-        def put(keys, n):
-            keys, n = keys[n >= least], n[n >= least]
-            q = level(n) if len(n) else n
-            while len(keys):
-                byte, bit = _places(keys, q, blocks)
-                np.bitwise_or.at(bits, (byte % size).ravel(), (1 << bit).astype(np.uint8).ravel())
-                q = q - 1
-                keys, q = keys[q > 0], q[q > 0]
+    return run
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
 
+def _places(keys: np.ndarray, q, blocks: int):
+    """Byte at which the key's line of 64 bytes starts, and the bits of every probe in it: rows of PROBES."""
+    shift = np.uint64(64 - int(blocks).bit_length() + 1)
+    block = keys >> shift if blocks > 1 else np.zeros(len(keys), np.uint64)
+    line = (block << np.uint64(BLOCK_BITS - 3)) + ((keys & np.uint64((1 << (BLOCK_BITS - 9)) - 1)) << np.uint64(6))
+    return line.astype(np.int64), mix(keys + np.asarray(q, np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _probe(line, spread, k):
+    """Byte number and bit of the k-th probe."""
+    bit = (spread >> np.uint64(9 * k)) & np.uint64(511)
+    return line + (bit >> np.uint64(3)).astype(np.int64), (bit & np.uint64(7)).astype(np.uint8)
+
+
+def _build(blocks, ranges, fine, least):
+    """``ranges`` parts of the filter from packed rows sorted by their fine range; one fine range is held at a time."""
+    each = (blocks // ranges) << (BLOCK_BITS - 3)
+
+    def put(bits, number, parts):
+        keys, n = _merged(parts)
+        keys, n = keys[n >= least], n[n >= least]
+        q = level(n) if len(n) else n
+        while len(keys):
+            line, spread = _places(keys, q, blocks)
+            for k in range(PROBES):
+                byte, bit = _probe(line, spread, k)
+                np.bitwise_or.at(bits, byte - number * each, np.uint8(1) << bit)
+            q = q - 1
+            keys, q = keys[q > 0], q[q > 0]
+
+    def done(number, bits):
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["range", "bits"])
+
+    def run(batches):
+        current, number, bits, parts = None, None, None, []
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            block, key, n = (rows.column(c).to_numpy() for c in ("block", "key", "n"))
-            key = key.view(np.uint64)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            for a, b in zip(edge[:-1], edge[1:]):
-                k, c = key[a:b], n[a:b]
-                if block[a] != current:
-                    if current is not None:
-                        put(*rest)
-                        yield done()
-                    current, bits = int(block[a]), np.zeros(size, np.uint8)
-                else:
-                    k, c = np.concatenate([rest[0], k]), np.concatenate([rest[1], c])
-                first = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
-                k, c = k[first], np.add.reduceat(c, first)
-                put(k[:-1], c[:-1])       # the last key may go on in the next batch
-                rest = k[-1:], c[-1:]
-        if current is not None:
-            put(*rest)
-            yield done()
+            for here, keys, n in zip(*(rows.column(c).to_pylist() for c in ("range", "keys", "counts"))):
+                if here != current:
+                    if parts:
+                        put(bits, number, parts)
+                    current, parts = here, []
+                    if here // (fine // ranges) != number:
+                        if number is not None:
+                            yield done(number, bits)
+                        number, bits = here // (fine // ranges), np.zeros(each, np.uint8)
+                parts.append((np.cumsum(_from_planes(keys, np.uint64), dtype=np.uint64), _from_planes(n, np.uint32)))
+        if parts:
+            put(bits, number, parts)
+            yield done(number, bits)
 
     return run
 
@@ -142,8 +185,11 @@ class Model:
         q = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         while len(live) and q[live[0]] < _top - 1:
-            byte, bit = _places(keys[live], q[live] + 1, self.blocks)
-            live = live[((self.bits[byte] >> bit) & 1).all(axis=1)]
+            line, spread = _places(keys[live], q[live] + 1, self.blocks)
+            for k in range(PROBES):
+                byte, bit = _probe(line, spread, k)
+                hit = np.flatnonzero((self.bits[byte] >> bit) & 1)
+                live, line, spread = live[hit], line[hit], spread[hit]
             q[live] += 1
         return VALUE[q]
 
@@ -180,12 +226,13 @@ def fit(train: DataFrame, max_bits: int = MAX_BITS, head: int = HEAD):
             break
         bits = max_bits
     blocks = bits >> BLOCK_BITS
-    grams = train.mapInArrow(_grams, "order int, key bigint, n bigint")
-    block = F.expr(f"shiftrightunsigned(key, 32) % {blocks}")
-    made = grams.select(block.alias("block"), "key", "n").repartition("block").sortWithinPartitions("block", "key").mapInArrow(_build(blocks, least), "block bigint, bits binary")
-    filled = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in made.toLocalIterator():
-        filled[r.block] = np.frombuffer(r.bits, np.uint8)
+    fine = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * int(total) / RANGE_KEYS)))))
+    ranges = min(blocks, fine)
+    made = (train.mapInArrow(_grams(fine), "range bigint, keys binary, counts binary").repartition((F.col("range") / (fine // ranges)).cast("bigint"))
+            .sortWithinPartitions("range").mapInArrow(_build(blocks, ranges, fine, least), "range bigint, bits binary").toArrow())
+    filled = np.zeros((ranges, bits // 8 // ranges), np.uint8)
+    for number, raw in zip(made.column("range").to_pylist(), made.column("bits")):
+        filled[number] = np.frombuffer(raw.as_buffer(), np.uint8)
     top = words.orderBy(F.desc("n"), "key").limit(head).toArrow()
     keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
@@ -225,8 +272,8 @@ def score(docs: DataFrame, fitted) -> DataFrame:
     model = shared.value
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = store(docs.mapInArrow(_score(shared), "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>"), "scored")
-    rare = found.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    more = (rare.join(words, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("base")))
+    rare = found.select("row", F.explode("rest").alias("key"))
+    more = rare.join(words, "key").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("base"))
     out = found.drop("rest").join(more, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
                       (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
