@@ -211,7 +211,7 @@ def combined_columns() -> dict[str, Column]:
     cz2 = z[0] * z[0] + z[1] * z[1] + z[2] * z[2]
     mean = (a[0] + a[1] + a[2]) / 3.0
     var = sum(((x - mean) * (x - mean) for x in a), F.lit(0.0)) / 3.0
-    neg = [(F.when(x.isNotNull(), (x < 0).cast("int"))) for x in r]
+    neg = [(F.when(x.isNotNull(), (x < -SIGN_NOISE).cast("int"))) for x in r]  # a pooled zero is rounding, not a direction
     n_neg = neg[0] + neg[1] + neg[2]
     return {
         "combined_p_value": F.sqrt(p[0] * p[1] * p[2]),

@@ -193,7 +193,7 @@ m1 AS (SELECT wide.*, pairs.* EXCLUDE (pair_id, ac, aq, bc, bq), abs(dz_ss_mean)
               sqrt({' * '.join(f'{u}_p_value' for _, u in groups)}) AS combined_p_value,
               sqrt({' * '.join(a3)}) AS combined_effect_size, sqrt({cz2}) AS combined_z_score,
               1 / (1 + ({i2sum}) / 300) AS consistency_score,
-              CASE WHEN {' + '.join(r3)} IS NOT NULL THEN CASE WHEN {' AND '.join(f'{x} < 0' for x in r3)} OR {' AND '.join(f'{x} >= 0' for x in r3)}
+              CASE WHEN {' + '.join(r3)} IS NOT NULL THEN CASE WHEN {' AND '.join(f'{x} < -1e-12' for x in r3)} OR {' AND '.join(f'{x} >= -1e-12' for x in r3)}
                    THEN 1.0 ELSE 0.0 END END AS direction_consistency,
               CASE WHEN {mean3} > 0 THEN greatest(0, 1 - {sd3} / ({mean3} + 1e-10)) END AS magnitude_consistency
        FROM wide JOIN pairs USING (pair_id)),
