@@ -2,8 +2,9 @@
 
 Spark counts the n-grams of all training texts. An n-gram of count c enters the filter at levels 1 to q(c), where q is
 logarithmic; probing level after level until one is missing gives the quantised count back. The filter is cut into
-blocks that are built where their n-grams meet, and is the only thing of the model that is broadcast: its size is
-bounded by a parameter, and the least count that enters follows from the counts so that the filter never overfills.
+blocks that are built where their n-grams meet; it grows with the n-grams, and every count enters. Up to a bound of
+bytes it is broadcast. A larger one stays cut by ranges of hashes: the n-grams of the scored texts are sent to their
+range, probed there, and their levels sent back. Both ways probe the same bits and give the same scores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ BASE = 1.5           # ratio of neighbouring levels
 PROBES = 4           # bits of an entry
 FILL = 0.3           # share of bits set, at most about
 BLOCK_BITS = 16
-MAX_BITS = 1 << 29   # 64 MiB, the bound of what is broadcast
+MAX_BITS = 1 << 29   # 64 MiB, the bound of what is broadcast; a larger filter is probed in shards
+SHARD_BITS = 1 << 23  # 1 MiB of the filter, at most about, are probed at once
+STREAM = 1 << 21     # tokens, at least, whose distinct n-grams are sent to the shards together, but for the last of a task
 SHARE = 64           # one bigram in so many is counted beforehand, to size the filter
 PRIOR, POWER = 3.0, 0.75  # the unigram estimate weighs PRIOR * (context count + 1) ** POWER counts: new words follow frequent ones too
 HEAD = 1 << 19       # words whose exact counts every task holds (8 MiB); the others are counted by a join
@@ -168,9 +171,23 @@ def _build(blocks, ranges, fine, least):
     return run
 
 
+def _levels(bits: np.ndarray, blocks: int, keys: np.ndarray, begin: int = 0) -> np.ndarray:
+    """The highest level of each key, by probing one level after the other; ``bits`` are the filter from byte ``begin``."""
+    q = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys))
+    while len(live) and q[live[0]] < _top - 1:
+        line, spread = _places(keys[live], q[live] + 1, blocks)
+        for k in range(PROBES):
+            byte, bit = _probe(line - begin, spread, k)
+            hit = np.flatnonzero((bits[byte] >> bit) & 1)
+            live, line, spread = live[hit], line[hit], spread[hit]
+        q[live] += 1
+    return q
+
+
 @dataclass
 class Model:
-    """What a task needs: the filter, the totals, and exact counts of the most frequent words."""
+    """What a task needs: the filter (no bytes if it is kept in shards), the totals, and exact counts of the most frequent words."""
 
     bits: np.ndarray
     blocks: int
@@ -181,33 +198,40 @@ class Model:
     head_counts: np.ndarray
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts, by probing one level after the other."""
-        q = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
-        while len(live) and q[live[0]] < _top - 1:
-            line, spread = _places(keys[live], q[live] + 1, self.blocks)
-            for k in range(PROBES):
-                byte, bit = _probe(line, spread, k)
-                hit = np.flatnonzero((self.bits[byte] >> bit) & 1)
-                live, line, spread = live[hit], line[hit], spread[hit]
-            q[live] += 1
-        return VALUE[q]
+        """Estimated counts from the broadcast filter."""
+        return VALUE[_levels(self.bits, self.blocks, keys)]
 
-    def log_probability(self, h: np.ndarray) -> np.ndarray:
-        """log10 P(token | token before), for tokens with an end after each text."""
+    def log_probability(self, h: np.ndarray, count=None) -> np.ndarray:
+        """log10 P(token | token before), for tokens with an end after each text; ``count`` gives estimated counts."""
+        count = count or self.count
         word, which = np.unique(h, return_inverse=True)
-        c = self.count(word)[which]
-        before = np.concatenate([self.count(np.array([END])), c[:-1]])
+        c = count(word)[which]
+        before = np.concatenate([count(np.array([END])), c[:-1]])
         one = (c + 1) / (self.total + self.distinct + 1)
-        both = np.minimum(self.count(pairs(h)), np.minimum(before, c))
+        both = np.minimum(count(pairs(h)), np.minimum(before, c))
         prior = PRIOR * (before + 1) ** POWER
         return np.log10((both + prior * one) / (before + prior))
 
 
-def fit(train: DataFrame, max_bits: int = MAX_BITS, head: int = HEAD):
-    """(model, counts): the model of ``train(text)`` and the stored exact unigram counts (key, n).
+@dataclass
+class Fitted:
+    """The broadcast model, the stored exact unigram counts (key, n), and a filter kept in shards: its parts (range, bits)."""
+
+    shared: object
+    words: DataFrame
+    parts: DataFrame | None = None
+    ranges: int = 1
+
+    def __iter__(self):
+        return iter((self.shared, self.words))
+
+
+def fit(train: DataFrame, max_bits: int | None = None, head: int = HEAD, broadcast_bits: int = MAX_BITS) -> Fitted:
+    """The model of ``train(text)``; unpacked it gives the model and the stored exact unigram counts (key, n).
 
-    Null texts are empty texts. An empty table gives a model of 0 tokens.
+    A filter above ``broadcast_bits`` is kept in shards. Every n-gram enters, unless the caller bounds the filter by
+    ``max_bits``: then the least count that enters is raised. Null texts are empty texts. An empty table gives a model of
+    0 tokens.
     """
     spark = train.sparkSession
     train = train.select("text")
@@ -222,45 +246,170 @@ def fit(train: DataFrame, max_bits: int = MAX_BITS, head: int = HEAD):
         entries = sum(r.q * r.grams * (SHARE if r.order == 2 else 1) for r in kept)
         bits = 1 << max(BLOCK_BITS, int(np.ceil(np.log2(max(1, entries * PROBES / FILL)))))
         least = min((r.least for r in kept), default=1) if q > 1 else 1
-        if bits <= max_bits:
+        if max_bits is None or bits <= max_bits:
             break
         bits = max_bits
     blocks = bits >> BLOCK_BITS
     fine = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * int(total) / RANGE_KEYS)))))
-    ranges = min(blocks, fine)
+    ranges = min(blocks, max(fine, bits // SHARD_BITS) if bits > broadcast_bits else fine)
+    fine = max(fine, ranges)
     made = (train.mapInArrow(_grams(fine), "range bigint, keys binary, counts binary").repartition((F.col("range") / (fine // ranges)).cast("bigint"))
-            .sortWithinPartitions("range").mapInArrow(_build(blocks, ranges, fine, least), "range bigint, bits binary").toArrow())
-    filled = np.zeros((ranges, bits // 8 // ranges), np.uint8)
-    for number, raw in zip(made.column("range").to_pylist(), made.column("bits")):
-        filled[number] = np.frombuffer(raw.as_buffer(), np.uint8)
+            .sortWithinPartitions("range").mapInArrow(_build(blocks, ranges, fine, least), "range bigint, bits binary"))
+    parts, filled = None, np.zeros((1, 0), np.uint8)
+    if bits > broadcast_bits:
+        parts = store(made, "filter")
+    else:
+        made = made.toArrow()
+        filled = np.zeros((ranges, bits // 8 // ranges), np.uint8)
+        for number, raw in zip(made.column("range").to_pylist(), made.column("bits")):
+            filled[number] = np.frombuffer(raw.as_buffer(), np.uint8)
     top = words.orderBy(F.desc("n"), "key").limit(head).toArrow()
     keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     model = Model(filled.ravel(), blocks, least, int(total), int(distinct), keys[order], n[order])
-    return spark.sparkContext.broadcast(model), words
+    return Fitted(spark.sparkContext.broadcast(model), words, parts, ranges)
+
+
+def _scored(m: Model, row, doc_id, h, at, count=None) -> pa.RecordBatch:
+    """Texts of the tokens ``h`` from each of ``at`` to the next: their scores, and the words that have no count in the task."""
+    one = np.log10(m.total + m.distinct + 1)
+    score = np.add.reduceat(m.log_probability(h, count), at[:-1])
+    spot = np.searchsorted(m.head_keys, h).clip(max=max(len(m.head_keys) - 1, 0))
+    known = (m.head_keys[spot] == h) if len(m.head_keys) else np.zeros(len(h), bool)
+    n = np.where(known, m.head_counts[spot], 0) if len(m.head_keys) else np.zeros(len(h), np.int64)
+    base = np.add.reduceat(np.where(known, np.log10(n + 1), 0.0) - one, at[:-1])
+    rest = np.flatnonzero(~known)
+    stops = np.searchsorted(rest, at).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [row, doc_id, pa.array(np.diff(at)), pa.array(np.add.reduceat(known.astype(np.int64), at[:-1])), pa.array(base), pa.array(score),
+         pa.ListArray.from_arrays(pa.array(stops), pa.array(h[rest].view(np.int64)))],
+        ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
 
 
 def _score(shared):
     def run(batches):
-        m = shared.value
-        one = np.log10(m.total + m.distinct + 1)
         for rows, data, offsets in text_blocks(batches):
-            h, at = tokens(data, offsets)
-            score = np.add.reduceat(m.log_probability(h), at[:-1])
-            spot = np.searchsorted(m.head_keys, h).clip(max=max(len(m.head_keys) - 1, 0))
-            known = (m.head_keys[spot] == h) if len(m.head_keys) else np.zeros(len(h), bool)
-            n = np.where(known, m.head_counts[spot], 0) if len(m.head_keys) else np.zeros(len(h), np.int64)
-            base = np.add.reduceat(np.where(known, np.log10(n + 1), 0.0) - one, at[:-1])
-            rest = np.flatnonzero(~known)
-            stops = np.searchsorted(rest, at).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:-1], pa.array(np.diff(at)), pa.array(np.add.reduceat(known.astype(np.int64), at[:-1])), pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(stops), pa.array(h[rest].view(np.int64)))],
-                [*rows.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "rest"])
+            yield _scored(shared.value, rows.column("row"), rows.column("doc_id"), *tokens(data, offsets))
+
+    return run
+
+
+_STREAM = "chunk bigint, row array<bigint>, doc_id array<bigint>, sizes binary, words binary, places binary"
+
+
+def _streams(batches):
+    """The tokens of about STREAM at a time as one row: the ids and sizes of the texts, distinct words, and each token's place among them."""
+    held, size = [], 0
+
+    def made():
+        row, ids, h, sizes = zip(*held)
+        words, places = np.unique(np.concatenate(h), return_inverse=True)
+        row, ids = pa.concat_arrays(row), pa.concat_arrays(ids)
+        of = pa.array([0, len(row)], pa.int32())
+        packed = (_planes(np.concatenate(sizes).astype(np.int64)), _planes(np.diff(words, prepend=np.uint64(0))), _planes(places.astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([row[:1], pa.ListArray.from_arrays(of, row), pa.ListArray.from_arrays(of, ids), *(pa.array([x], pa.binary()) for x in packed)],
+                                          [x.split()[0] for x in _STREAM.split(", ")])
+
+    for rows, data, offsets in text_blocks(batches):
+        h, at = tokens(data, offsets)
+        held.append((rows.column("row"), rows.column("doc_id"), h, np.diff(at)))
+        size += len(h)
+        if size >= STREAM:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _tokens_of(words: bytes, places: bytes):
+    """The tokens of a stream, and its sorted distinct uni- and bigrams."""
+    words = np.cumsum(_from_planes(words, np.uint64), dtype=np.uint64)
+    h = words[_from_planes(places, np.uint32)]
+    return h, np.unique(np.concatenate([words, pairs(h)]))
+
+
+def _requests(shards):
+    """The distinct n-grams of each stream, a row for each shard."""
+    shift = np.uint64(64 - int(shards).bit_length() + 1)
+
+    def run(batches):
+        for rows in batches:
+            for chunk, words, places in zip(*(rows.column(c).to_pylist() for c in ("chunk", "words", "places"))):
+                _, keys = _tokens_of(words, places)
+                at = np.searchsorted(keys >> shift, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
+                some = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array(np.ones(len(some), np.int32)), pa.array(np.full(len(some), chunk, np.int64)),
+                     pa.array([_planes(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary())], ["shard", "kind", "number", "raw"])
+
+    return run
+
+
+def _answers(shards, ranges, blocks):
+    """The levels of requested n-grams; the parts of a shard come before the requests to it."""
+    each, part = (blocks // shards) << (BLOCK_BITS - 3), (blocks // ranges) << (BLOCK_BITS - 3)
+
+    def run(batches):
+        current, bits = None, np.zeros(each, np.uint8)
+        for rows in batches:
+            out = []
+            for shard, kind, number, raw in zip(*(rows.column(c).to_pylist() for c in ("shard", "kind", "number", "raw"))):
+                if shard != current:
+                    current = shard
+                    bits[:] = 0
+                begin = shard * each
+                if kind == 0:
+                    bits[number * part - begin:(number + 1) * part - begin] = np.frombuffer(raw, np.uint8)
+                else:
+                    keys = np.cumsum(_from_planes(raw, np.uint64), dtype=np.uint64)
+                    out.append((number, shard, _levels(bits, blocks, keys, begin).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "shard", "levels"])
 
     return run
 
 
+def _score_streams(shared):
+    """The scores of each stream from its levels, which follow it by shard."""
+
+    def done(stream, levels):
+        h, keys = _tokens_of(stream["words"], stream["places"])
+        q = np.frombuffer(b"".join(levels), np.uint8)
+        at = np.concatenate([[0], np.cumsum(_from_planes(stream["sizes"], np.int64))])
+        return _scored(shared.value, pa.array(stream["row"], pa.int64()), pa.array(stream["doc_id"], pa.int64()), h, at, lambda x: VALUE[q[np.searchsorted(keys, x)]])
+
+    def run(batches):
+        stream, levels = None, []
+        for rows in batches:
+            for r in range(len(rows)):
+                if rows.column("shard")[r].as_py() < 0:
+                    if stream:
+                        yield done(stream, levels)
+                    stream, levels = {c: rows.column(c)[r].as_py() for c in rows.schema.names}, []
+                else:
+                    levels.append(rows.column("levels")[r].as_py())
+        if stream:
+            yield done(stream, levels)
+
+    return run
+
+
+_SCORED = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>"
+
+
+def _score_in_shards(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """The rows of _score where the filter is kept in shards; n-grams are sent once for each stream that has them."""
+    blocks, ranges = fitted.shared.value.blocks, fitted.ranges
+    shards = min(ranges, max(1, (blocks << BLOCK_BITS) // SHARD_BITS))
+    streams = store(docs.mapInArrow(_streams, _STREAM), "streams")
+    parts = fitted.parts.select((F.col("range") / (ranges // shards)).cast("bigint").alias("shard"), F.lit(0).alias("kind"), F.col("range").alias("number"), F.col("bits").alias("raw"))
+    asked = streams.select("chunk", "words", "places").mapInArrow(_requests(shards), "shard bigint, kind int, number bigint, raw binary")
+    answers = (parts.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "number")
+               .mapInArrow(_answers(shards, ranges, blocks), "chunk bigint, shard bigint, levels binary"))
+    return (streams.withColumn("shard", F.lit(-1).cast("bigint")).unionByName(answers, allowMissingColumns=True)
+            .repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_score_streams(fitted.shared), _SCORED))
+
+
 def score(docs: DataFrame, fitted) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs(doc_id, text)``.
 
@@ -271,7 +420,7 @@ def score(docs: DataFrame, fitted) -> DataFrame:
     shared, words = fitted
     model = shared.value
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = store(docs.mapInArrow(_score(shared), "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>"), "scored")
+    found = store(_score_in_shards(docs, fitted) if fitted.parts is not None else docs.mapInArrow(_score(shared), _SCORED), "scored")
     rare = found.select("row", F.explode("rest").alias("key"))
     more = rare.join(words, "key").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("base"))
     out = found.drop("rest").join(more, "row", "left")

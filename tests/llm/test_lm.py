@@ -60,3 +60,20 @@ def test_empty_tables(spark):
     assert lm.score(df, lm.fit(df)).count() == 0
     (r,) = lm.score(spark.createDataFrame([(1, "a b", None, None, None)], SCHEMA), lm.fit(df)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_a_filter_beyond_the_broadcast_keeps_every_ngram_and_scores_alike(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, " ".join(f"a{r.randint(0, 5000)}" for _ in range(r.randint(0, 300))), None, None, None) for k in range(400)]
+    rows += [(None, None, None, None, None), (7, rows[8][1], None, None, None), (900, "", None, None, None), (901, "x" * 100_000, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    train = df.where("doc_id < 300")
+    whole, cut = lm.fit(train, head=50), lm.fit(train, head=50, broadcast_bits=1 << 16)
+    monkeypatch.setattr(lm, "SHARD_BITS", 1 << 18)
+    small = lm.fit(train, head=50, broadcast_bits=1 << 16)
+    assert whole.parts is None and cut.shared.value.bits.nbytes == 0 and small.ranges == 4
+    assert whole.shared.value.least == cut.shared.value.least == 1
+    found = [sorted((g.doc_id is None, g.doc_id or 0, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 8), round(g.score, 8)) for g in lm.score(df, f).collect())
+             for f in (whole, cut, small)]
+    assert len(found[0]) == 404 and found[0] == found[1] == found[2]
+    assert lm.score(df.limit(0), small).count() == 0
