@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from functools import reduce
 
@@ -14,7 +15,8 @@ from rhopool.operators.clean import MANDATORY, missing_columns, null_tokens, sta
 
 # Reader format by file suffix.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".txt": "tsv", ".json": "json", ".parquet": "parquet"}
-MD5_LIMIT = 512 * 1024 * 1024
+MD5_LIMIT = 512 * 1024 * 1024  # larger files are hashed in chunks
+MD5_CHUNK = 4 * 1024 * 1024
 
 
 def format_of(path: str, file_type: str = "auto") -> str:
@@ -109,11 +111,31 @@ def discover_studies(spark: SparkSession, path: str, documents: DataFrame | None
 
 
 def fingerprints(spark: SparkSession, path: str, limit: int = MD5_LIMIT) -> DataFrame:
-    """(path, length, modified, md5); files above ``limit`` are told by length and time, not loaded whole."""
+    """(path, length, modified, md5) of every file; files above ``limit`` are read in chunks in tasks, not loaded whole.
+
+    Those are opened by pyarrow: stores that it doesn't know raise an error.
+    """
     f = _files(spark, path)
     small = f.where(F.col("length") <= limit).select("path", "length", F.col("modificationTime").alias("modified"), F.md5("content").alias("md5"))
-    large = f.where(F.col("length") > limit).select("path", "length", F.col("modificationTime").alias("modified"), F.lit(None).cast("string").alias("md5"))
-    return small.unionByName(large)
+    large = f.where(F.col("length") > limit).select("path", "length", F.col("modificationTime").alias("modified"))
+    return small.unionByName(large.mapInArrow(_hashed, T.StructType([*large.schema.fields, T.StructField("md5", T.StringType())])))
+
+
+def _hashed(batches):
+    """Adds md5, the hash of the file at ``path``."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def md5(path):
+        store, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+        h = hashlib.md5()
+        with store.open_input_stream(at, compression=None) as f:
+            while part := f.read(MD5_CHUNK):
+                h.update(part)
+        return h.hexdigest()
+
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([md5(p) for p in rows.column("path").to_pylist()], pa.string())], [*rows.schema.names, "md5"])
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -153,3 +153,18 @@ def test_recommendation_paths(spark):
     assert recs.count() == 20 and s.total_pairs == 120 and abs(s.outliers_detected / 120 - 0.1) < 0.03
     other, _ = a.predict(df.limit(40))
     assert other.count() == 20
+
+
+def test_a_large_file_of_equal_length_and_time_is_seen_as_changed(spark, tmp_path):
+    import hashlib
+    import os
+
+    for name, text in (("a é b%20.bin", b"x" * 10_000_000), ("small", b"y"), ("same", b"z" * 2000)):
+        (tmp_path / name).write_bytes(text)
+        os.utime(tmp_path / name, (1e9, 1e9))
+    before = spark.createDataFrame(FI.fingerprints(spark, str(tmp_path), limit=1000).collect())
+    assert {r.md5 for r in before.collect()} == {hashlib.md5(x).hexdigest() for x in (b"x" * 10_000_000, b"y", b"z" * 2000)}
+    (tmp_path / "a é b%20.bin").write_bytes(b"x" * 9_999_999 + b"w")
+    os.utime(tmp_path / "a é b%20.bin", (1e9, 1e9))
+    now = FI.fingerprints(spark, str(tmp_path), limit=1000)
+    assert [r.path.rpartition("/")[2] for r in FI.changed_files(now, before).collect()] == ["a é b%20.bin"]
