@@ -106,12 +106,14 @@ def pair_correlations(expression: DataFrame, *, cells_per_block: int = CELLS_PER
                       max_block_genes: int = MAX_BLOCK_GENES, longest_vector: int = LONGEST_VECTOR) -> DataFrame:
     """(gene_key, study_key, condition, sample, value) -> one row per pair, study and condition.
 
+    A cell given more than once counts once, as the mean of its values.
     Ranks are taken over the samples common to the pair.  rho is NULL when the
     pair has fewer than two common samples or one side is constant.  Groups
     with very many samples take a path that also cuts along the samples.
     """
     cells = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
         "study_key", "condition", "gene_key", "sample", "value")
+    cells = cells.groupBy("study_key", "condition", "gene_key", "sample").agg(F.avg("value").alias("value"))
     sizes = (cells.groupBy("study_key", "condition", "gene_key").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("study_key", "condition").agg(F.max("n").alias("longest")))
     if (sizes.agg(F.max("longest")).first()[0] or 0) <= longest_vector:

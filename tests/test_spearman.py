@@ -46,6 +46,18 @@ def test_against_pandas(spark, cells, missing, longest):
     assert seen == len(got)
 
 
+@pytest.mark.parametrize("longest", [4_000_000, 10])
+def test_repeated_cells_count_once_as_their_mean(spark, longest):
+    rng = np.random.default_rng(4)
+    schema = "gene_key long, study_key long, condition string, sample string, value double"
+    rows = [(g, 1, "sepsis", f"s{s}", float(rng.integers(0, 9))) for g in range(4) for s in range(20) if g < 3 or s]
+    again = [(g, k, c, s, v + 5.0) for g, k, c, s, v in rows[::6]]
+    plain = pd.DataFrame(rows + again, columns=list("gkcsv")).groupby(["g", "k", "c", "s"], as_index=False).v.mean()
+    out = [sorted((r.gene_a_key, r.gene_b_key, r.n_samples, round(r.rho_spearman, 9)) for r in pair_correlations(
+        spark.createDataFrame(x, schema), max_block_genes=2, longest_vector=longest).collect()) for x in (rows + again, plain.values.tolist())]
+    assert len(out[0]) == 6 and out[0] == out[1] and {n for _, _, n, _ in out[0]} == {19, 20}
+
+
 def test_directions(spark):
     df = spark.createDataFrame([(1, "A", "sepsis", 3.0), (1, "A", "control", 1.0), (2, "B", "sepsis", 1.0), (2, "B", "control", 1.0),
                                 (3, "C", "sepsis", 1.0)], "gene_key long, gene string, condition string, value double")
