@@ -40,8 +40,8 @@ _NUMERIC = "0123456789().-"
 _EDGES = " \"'`()[]{}<>.,;:!?*#$%&|="
 
 SPAN = "struct<kind:string,start:int,end:int>"
-_FOUND = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("value", "long").add("patterns", T.ArrayType(T.LongType())))
-_FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+_FOUND = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("value", "long").add("patterns", T.ArrayType(T.LongType())).add("placed", "boolean"))
+_FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64())), ("placed", pa.bool_())]))
 
 
 def luhn(digits: str) -> bool:
@@ -127,7 +127,10 @@ def contexts(words: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _scan(names):
-    """Adds found: the base spans and candidates (null kind) of each text with value hash and patterns."""
+    """Adds found: the base spans and candidates (null kind) of each text with value hash and patterns.
+
+    The first span that starts in a word is placed there; so a place has one instance at most.
+    """
 
     def run(batches):
         for rows, data, offsets in text_blocks(batches):
@@ -148,10 +151,12 @@ def _scan(names):
                     if not spans:
                         continue
                     bytes_at = _byte_places(raw[offsets[k]:offsets[k + 1]]) + offsets[k]
+                    filled = set()
                     for kind, a, b in spans:
                         w = np.searchsorted(starts, bytes_at[a], "right") - 1
                         value = span_hashes(data, np.array([bytes_at[a]]), np.array([bytes_at[b]]), lower=True).view(np.int64)[0]
-                        found[k].append({"kind": kind, "start": a, "end": b, "value": int(value), "patterns": patterns[w].tolist() if w >= 0 else []})
+                        found[k].append({"kind": kind, "start": a, "end": b, "value": int(value), "patterns": patterns[w].tolist() if w >= 0 else [], "placed": w not in filled})
+                        filled.add(w)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, _FOUND_ARROW)], names)
 
     return run
@@ -183,8 +188,8 @@ def _occurrences(shared):
 def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, kind, score) of the candidates that good patterns point at."""
     spark = docs.sparkSession
-    mentions = scanned.select(F.explode("_pii_found").alias("f")).select("f.kind", "f.value", F.explode("f.patterns").alias("pattern"))
-    edges = store(mentions.distinct(), "edges")
+    mentions = scanned.select(F.explode("_pii_found").alias("f")).select("f.kind", "f.value", "f.placed", F.explode("f.patterns").alias("pattern"))
+    edges = store(mentions.groupBy("kind", "value", "pattern").agg(F.count_if("placed").alias("places")), "edges")
     seeded = edges.where("kind is not null").groupBy("pattern").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
     seeded = store(seeded, "patterns")
     shared = spark.sparkContext.broadcast(seed_filter(seeded.withColumnRenamed("pattern", "seed")))
@@ -193,10 +198,11 @@ def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     graph = store(edges.join(total, "pattern"), "graph")
     scores = graph.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     values = graph.where("kind is null").select("value", "pattern").distinct()
+    placed = store(graph.groupBy("pattern", "value", "n").agg(F.sum("places").alias("places")), "placed")
     for _ in range(ROUNDS):
-        # An instance is counted once for a pattern; a pattern's occurrences include the words that are no instance.
-        placed = graph.select("pattern", "value", "n").distinct().join(scores, "value")
-        confidence = placed.groupBy("pattern", "kind").agg((F.sum("score") / (F.first("n") + SMOOTHING)).alias("confidence"))
+        # Places of instances over all places of the pattern, words that are no instance included; repeats count on both sides.
+        scored = placed.join(scores, "value")
+        confidence = scored.groupBy("pattern", "kind").agg((F.sum(F.col("score") * F.col("places")) / (F.first("n") + SMOOTHING)).alias("confidence"))
         confidence = store(confidence.withColumn("confidence", F.least("confidence", F.lit(0.999))), "confidence")
         new = (values.join(confidence, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")))
         known = scores.where("score = 1.0")

@@ -47,3 +47,13 @@ def test_empty_table_and_long_text(spark):
     long = "a" * 300_000 + "1" * 300_000 + " me@x.example " + "b.c" * 100_000
     (r,) = pii.extract(spark.createDataFrame([(1, long, None, None, None)], SCHEMA)).collect()
     assert [tuple(s) for s in r.base] == [("email", 600_001, 600_013)]
+
+
+def test_repeated_documents_discover_what_single_ones_do(spark):
+    texts = [f"Filler words here. please phone me on +1 555 010 {1000 + i} after noon, room {i}" for i in range(12)]
+    texts += ["Odd ones: please phone me on 555-0199-77 after noon", "The answer was 555-0199-78 in the book", "two in a word: me@x.example,you@y.example"]
+    for times in (1, 2, 40):
+        df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts * times)], SCHEMA)
+        found = {r.doc_id: [s.kind for s in r.spans] for r in pii.extract(df).collect()}
+        assert len(found) == 15 * times
+        assert all(kinds == (["phone"] if i % 15 <= 12 else [] if i % 15 == 13 else ["email", "email"]) for i, kinds in found.items()), times
