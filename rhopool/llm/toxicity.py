@@ -256,7 +256,8 @@ def learn_terms(sample: DataFrame, toxic: int, other: int, size: int = LEXICON)
              .orderBy(F.desc("gain"), "word", "open").limit(size).collect())
     out: list[tuple[str, bool, float]] = []
     for r in found:
-        covered = any(o and r.word.startswith(t) and len(r.word) >= len(t) + (not r.open) and w >= 0.7 * r.weight for t, o, w in out)
+        # A whole word stays beside its stem, which allows no edit.
+        covered = r.open and any(o and r.word.startswith(t) and w >= 0.7 * r.weight for t, o, w in out)
         if not covered:
             out.append((r.word, r.open, min(r.weight, 6.0)))
     return out

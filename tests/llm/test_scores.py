@@ -150,3 +150,13 @@ def test_network_is_calibrated(sign):
     p = 1 / (1 + np.exp(-sign * 2 * x[:, 0]))
     net = quality.train_network(x, (rng.random(4000) < p).astype(int))
     assert np.abs(net.probability(x) - p).mean() < 0.08
+
+
+def test_learned_words_are_found_with_an_error_in_their_first_letters(spark):
+    rows = [(i, f"a{i % 7} b{i % 5} " + ("you clown here" if i % 3 == 0 else "fine day here"), *[None] * 4) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 3 == 0), 1, None) for i in range(300)], LABELS)
+    model = toxicity.fit(docs, labels)
+    words = ["clown", "clowns", "c1own", "clwn", "cloown", "lown", "plant", "cl"]
+    data, stop = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w) for w in words])
+    state = model.automaton.run(data, np.append(0, stop[:-1]), stop)
+    assert (model.automaton.term[state] >= 0).tolist() == [True] * 6 + [False] * 2
