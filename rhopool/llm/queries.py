@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhopool.llm import lm, pii, quality, quality_rules, toxicity, warc
+from rhopool.llm import langid, lm, pii, quality, quality_rules, toxicity, warc, whitening
 from rhopool.llm.bpe import transcode
 from rhopool.llm.chat import format_chat, read_chat
 from rhopool.llm.decontam import contaminated
 from rhopool.llm.dedup import near_duplicates
+from rhopool.llm.phrases import collocations
 from rhopool.llm.sampling import remainder
 
 QUERIES: dict = {}
@@ -170,3 +171,39 @@ FROM o
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.fit(docs.where(remainder("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    read = langid.predict(docs.select("doc_id", "text"), learned)
+    return read.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM t),
+g AS (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+p AS (SELECT * FROM f WHERE a >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM p WHERE m >= 2),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM c JOIN p x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+      JOIN p y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN totals ON totals.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s),
+d AS (SELECT * FROM b WHERE o = 1 AND NOT EXISTS (
+        SELECT 1 FROM p q WHERE q.lang = b.lang AND q.a >= b.a AND len(q.phrase) > len(b.phrase) AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d) WHERE rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
