@@ -1,6 +1,7 @@
 """Phrase collocations from depth-truncated suffix trees over vertically partitioned texts.
 
-Every word starts a suffix of its piece, cut off after DEPTH words or before the first word too rare for any phrase.
+Every word starts a suffix of its piece, cut off after DEPTH words or before the first word, or pair of neighbours, too
+rare for any phrase. Pairs are counted by a short hash beforehand: what shares a cell with others is only cut less.
 As in elastic-range suffix tree construction, suffixes are divided by variable-length word prefixes: a prefix is made
 longer until no more suffixes than the memory budget begin with it, and neighbouring prefixes share a group up to that
 budget. The groups are independent: a task sorts the suffixes of a group, which is their tree, and reads the count of
@@ -27,7 +28,9 @@ TOP = 2000            # phrases of each language
 BUDGET = 1 << 20      # occurrences of suffixes in a group, about
 CHUNK = 1 << 21       # words gathered before their suffixes leave a task
 CELLS = (10, 20)      # least and most bits of the histograms of prefixes
-FILTER = (16, 29)     # least and most bits of the filter of frequent words (64 MiB); a full one only prunes less
+FILTER = (16, 29)     # least and most bits of the filters of frequent words and pairs (64 MiB); a full one only prunes less
+PAIR_BITS = 32        # of the hash that pairs are counted by, at most
+RANGE = 1 << 22       # pairs counted together, about
 SALTS = 64
 
 _BETWEEN = np.zeros(256, bool)
@@ -80,19 +83,40 @@ def _word_counts(batches):
         yield merged()
 
 
+@dataclass
+class Filter:
+    """Set bits at the low bits of 64-bit keys; no bits let everything through."""
+
+    ones: np.ndarray | None = None
+    bits: int = 0
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.ones is None:
+            return np.ones(len(keys), bool)
+        slot = keys & np.uint64((1 << self.bits) - 1)
+        return (self.ones[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
+
+    @staticmethod
+    def of(keys: DataFrame, n: int) -> Filter:
+        """From the column ``key`` of n rows; words of 64 bits are put together by Spark, so at most 2**bits / 64 rows arrive."""
+        bits = int(np.clip(np.ceil(np.log2(16 * max(n, 1))), *FILTER))
+        slot = F.col("key").bitwiseAND((1 << bits) - 1)
+        got = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("ones")).toArrow()
+        out = np.zeros((1 << bits) >> 6, np.uint64)
+        out[got.column("at").to_numpy()] = got.column("ones").to_numpy().view(np.uint64)
+        return Filter(out, bits)
+
+
 @dataclass
 class Division:
-    """What tasks need to cut and route suffixes: the filter of frequent words, the heavy cells of each depth, the group of each cell."""
+    """What tasks need to cut and route suffixes: the filters of frequent words and pairs, the heavy cells of each depth, the group of each cell."""
 
-    filter: np.ndarray
-    bits: int
+    words: Filter
+    pairs: Filter
+    pair_bits: int
     heavy: list        # of booleans, one array for each depth that has heavy cells
     groups: np.ndarray  # depth by cell
 
-    def frequent(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys & np.uint64((1 << self.bits) - 1)
-        return (self.filter[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
-
     def cell(self, prefix: np.ndarray) -> np.ndarray:
         """The histogram cell of prefix hashes."""
         return (mix(prefix) & np.uint64(self.groups.shape[1] - 1)).astype(np.int64)
@@ -127,11 +151,18 @@ class Division:
         return out
 
 
+def _pairs(division: Division, keys: np.ndarray, piece: np.ndarray):
+    """Where two frequent words are neighbours in a piece, and the short hashes of these pairs."""
+    often = division.words(keys)
+    at = np.flatnonzero(often[:-1] & often[1:] & (piece[:-1] == piece[1:]))
+    return at, chain(keys[at], keys[at + 1]) >> np.uint64(64 - division.pair_bits)
+
+
 def _suffixes(division: Division, keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """The suffixes of two words or more, a row of DEPTH keys each, 0 past the end."""
-    often = division.frequent(keys)
+    at, pairs = _pairs(division, keys, piece)
     on = np.zeros(len(keys) + DEPTH, bool)
-    on[:max(len(keys) - 1, 0)] = often[:-1] & often[1:] & (piece[:-1] == piece[1:])
+    on[at[division.pairs(pairs)]] = True
     at = np.flatnonzero(on)
     rows = np.zeros((len(at), DEPTH), np.uint64)
     padded = np.concatenate([keys, np.zeros(DEPTH, np.uint64)])
@@ -195,15 +226,22 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def loosen(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack(rows: np.ndarray, n: np.ndarray):
     """Distinct words of sorted suffixes, each suffix as places among them, and the counts; compressed."""
     words, place = np.unique(rows, return_inverse=True)
-    squeeze = lambda x: len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
     return squeeze(_planes(np.diff(words, prepend=np.uint64(0)))), squeeze(_planes(place.reshape(rows.shape).T.ravel().astype(np.uint32))), squeeze(_planes(n.astype(np.uint64)))
 
 
 def unpack(words: bytes, places: bytes, n: bytes):
-    words, places, n = (pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in (words, places, n))
+    words, places, n = map(loosen, (words, places, n))
     words = np.cumsum(_from_planes(words, np.uint64), dtype=np.uint64)
     return words[_from_planes(places, np.uint32).reshape(DEPTH, -1).T], _from_planes(n, np.uint64).astype(np.int64)
 
@@ -290,12 +328,68 @@ def _trees(shared, least):
     return run
 
 
-def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """The column ``slot`` as set bits: words of 64 are put together by Spark, so at most 2**bits / 64 rows arrive."""
-    got = (slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("ones"))).toArrow()
-    out = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
-    out[got.column("at").to_numpy()] = got.column("ones").to_numpy().view(np.uint64)
-    return out
+def _pair_counts(shared, ranges):
+    """Counts of the pairs of about CHUNK words at a time: a row for each range of their hashes, with differences and counts."""
+
+    def run(batches):
+        division, held, size = shared.value, [], 0
+        shift = np.uint64(division.pair_bits - int(ranges).bit_length() + 1)
+
+        def made():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(at))
+            return pa.RecordBatch.from_arrays([
+                pa.array(some), pa.array([squeeze(_planes(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0)).astype(np.uint32))) for r in some], pa.binary()),
+                pa.array([squeeze(_planes(n[at[r]:at[r + 1]].astype(np.uint32))) for r in some], pa.binary())], ["range", "keys", "counts"])
+
+        for rows, data, offsets in text_blocks(batches):
+            keys, _, _, _, piece = _keys(rows, data, offsets)
+            if len(keys):
+                held.append(_pairs(division, keys, piece)[1])
+                size += len(keys)
+            if size >= CHUNK:
+                yield made()
+                held, size = [], 0
+        if held:
+            yield made()
+
+    return run
+
+
+def _summed(parts):
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _often(least):
+    """The pairs that count ``least`` or more; the rows of a range follow one another."""
+
+    def run(batches):
+        at, held, size = None, [], 0
+
+        def done():
+            keys, n = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(keys[n >= least].astype(np.int64))], ["key"])
+
+        for batch in batches:
+            for number, keys, n in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "counts"))):
+                if number != at and held:
+                    yield done()
+                    held, size = [], 0
+                at = number
+                held.append((np.cumsum(_from_planes(loosen(keys), np.uint32), dtype=np.uint64), _from_planes(loosen(n), np.uint32).astype(np.int64)))
+                size += len(held[-1][0])
+                if size > 2 * RANGE and len(held) > 1:
+                    held = [_summed(held)]
+                    size = len(held[0][0])
+        if held:
+            yield done()
+
+    return run
 
 
 def _loads(counts: DataFrame, cells: int) -> np.ndarray:
@@ -315,20 +409,24 @@ def _cells(shared):
     return run
 
 
-def divide(texts: DataFrame, frequent: DataFrame, words: int, total: int, budget: int = BUDGET) -> Division:
+def divide(texts: DataFrame, frequent: DataFrame, words: int, total: int, least: int = MIN_COUNT, budget: int = BUDGET) -> Division:
     """The vertical partition of ``texts(lang, text)``: each round counts the prefixes one word longer than the heavy ones."""
     spark = texts.sparkSession
-    bits = int(np.clip(np.ceil(np.log2(16 * max(words, 1))), *FILTER))
     size = 1 << int(np.clip(np.ceil(np.log2(max(total / budget, 1))) + 6, *CELLS))
-    division = Division(_bitmap(frequent.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("slot")), bits), bits, [], np.zeros((1, size), np.int64))
+    pair_bits = int(np.clip(np.ceil(np.log2(max(total, 1))) + 4, 16, PAIR_BITS))
+    division = Division(Filter.of(frequent.select("key"), words), Filter(), pair_bits, [], np.zeros((1, size), np.int64))
+    ranges = 1 << int(np.clip(np.ceil(np.log2(max(total / RANGE, 1))), 0, 16))
+    often = store(texts.mapInArrow(_pair_counts(spark.sparkContext.broadcast(division), ranges), "range bigint, keys binary, counts binary")
+                  .repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_often(least), "key bigint"), "pairs")
+    division.pairs = Filter.of(often, often.count())
     loads = [_loads(frequent.select("key", "n").mapInArrow(_cells(spark.sparkContext.broadcast(division)), "cell bigint, n bigint"), size)]
     while (loads[-1] > budget).any() and len(loads) < DEPTH:
-        division = Division(division.filter, bits, [*division.heavy, loads[-1] > budget], np.zeros((1, size), np.int64))
+        division = Division(division.words, division.pairs, pair_bits, [*division.heavy, loads[-1] > budget], np.zeros((1, size), np.int64))
         counted = texts.mapInArrow(_histogram(spark.sparkContext.broadcast(division), len(loads) + 1), "cell bigint, n bigint")
         loads.append(_loads(counted, size))
     light = np.stack([np.where(x > budget, 0, x) for x in loads[:-1]] + [np.minimum(loads[-1], budget)])
     groups = ((np.cumsum(light.ravel()) - light.ravel()) // budget).reshape(light.shape)
-    return Division(division.filter, bits, division.heavy, groups)
+    return Division(division.words, division.pairs, pair_bits, division.heavy, groups)
 
 
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET):
@@ -348,7 +446,7 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET)
     words, total = frequent.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not words:
         return frequent, totals, spark.createDataFrame([], _NODE).drop("whole")
-    division = divide(texts, frequent, words, total, budget)
+    division = divide(texts, frequent, words, total, least, budget)
     shared = spark.sparkContext.broadcast(division)
     parts = min(int(division.groups.max()) + 1, 1 << 16)
     found = store(texts.mapInArrow(_routed(shared), _PACKED).repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_trees(shared, least), _NODE), "nodes")

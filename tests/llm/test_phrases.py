@@ -45,6 +45,7 @@ def _rows(seed, n):
 @pytest.mark.parametrize("least, top, budget, size", [(8, 2000, 1 << 20, 120), (8, 25, 100, 120), (3, 2000, 20, 60)])
 def test_equals_plain_counting_at_any_budget(spark, least, top, budget, size, monkeypatch):
     monkeypatch.setattr(phrases, "CELLS", (4, 8))
+    monkeypatch.setattr(phrases, "RANGE", 500)
     rows = _rows(size + least, size)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = phrases.collocations(df, least, top, budget)
@@ -57,7 +58,7 @@ def test_heavy_prefixes_are_lengthened_and_groups_keep_the_budget(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     words, _, found = phrases.phrase_counts(df, 100, 150)
     texts = df.select("text", "lang")
-    division = phrases.divide(texts, words, words.count(), 1800, 150)
+    division = phrases.divide(texts, words, words.count(), 1800, 100, 150)
     assert len(division.heavy) >= 2 and division.groups.max() > 0
     assert {r["n"] for r in found.collect()} == {200, 400}
 
