@@ -110,7 +110,9 @@ def significance(spark, sf):
   count(*) FILTER (p_soth < 0 OR p_soth > 1) AS p_soth_out_of_range, count(*) FILTER (q_ss < 0 OR q_ss > 1) AS q_ss_out_of_range,
   count(*) FILTER (q_soth < 0 OR q_soth > 1) AS q_soth_out_of_range, count(*) FILTER (n_studies_ss <= 0) AS n_studies_ss_not_positive,
   count(*) FILTER (n_studies_soth <= 0) AS n_studies_soth_not_positive, count(*) FILTER (abs(dz_ss_mean) > 10) AS dz_ss_mean_extreme,
-  count(*) FILTER (abs(dz_soth_mean) > 10) AS dz_soth_mean_extreme FROM dirty"""))
+  count(*) FILTER (abs(dz_soth_mean) > 10) AS dz_soth_mean_extreme, """ + ", ".join(
+    f"count(*) FILTER ({c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL) AS {c}_not_numeric"
+    for c in ("p_ss", "p_soth", "q_ss", "q_soth", "n_studies_ss", "n_studies_soth", "dz_ss_mean", "dz_soth_mean")) + " FROM dirty"))
 def row_predicates(spark, sf):
     return QU.row_predicates(dirty(spark, sf))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from rhopool.operators.quality import quality_score, validate_studies
 from rhopool.plans import etl as E
 from rhopool.plans import fixtures as X
 from rhopool.plans.registry import query, r, rounded
-from rhopool.session import materialize_once
+from rhopool.session import checkpoint_root, materialize_once
 
 _SQL = """x AS MATERIALIZED (SELECT 'SRP' || n_regionkey AS study, p_brand AS gene, 'SRR' || strftime(l_shipdate, '%Y%m') || ascii(l_returnflag) AS sample,
   l_returnflag AS rf, strftime(l_shipdate, '%Y%m') AS ym, avg(l_quantity) AS value FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -107,3 +111,72 @@ def study_validation(spark, sf):
 def study_quality_score(spark, sf):
     d = study_input(spark, sf)
     return quality_score(validate_studies(d.experiments, d.samples, d.annotations, d.expression, min_genes=10))
+
+
+def _warehouse(spark) -> E.Warehouse:
+    return E.Warehouse(spark, os.path.join(checkpoint_root(spark), f"warehouse-{uuid.uuid4().hex}"))
+
+
+# The study of region 3 can't be read, that of region 4 has no name for its organism and no accession.
+def _partly_broken(spark, sf) -> E.StudyInput:
+    d = study_input(spark, sf)
+    sick = F.when(F.col("study") == "SRP3", F.raise_error(F.lit("unreadable block")).cast("double")).otherwise(F.col("value"))
+    e = d.experiments.withColumns({"organism": F.when(F.col("study") != "SRP4", F.col("organism")), "accession_code": F.when(F.col("study") != "SRP4", F.col("accession_code"))})
+    return E.StudyInput(e, d.samples, d.annotations, d.expression.withColumn("value", sick))
+
+
+@query("study_outcomes", f"""WITH {_SQL} SELECT 'SRP' || r_regionkey AS study, CASE WHEN r_regionkey IN (3, 4) THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+  r_regionkey = 3 AS unreadable, CASE WHEN r_regionkey = 3 THEN 0 ELSE (SELECT count(*) FROM x WHERE study = 'SRP' || r_regionkey) END AS records FROM region""")
+def study_outcomes(spark, sf):
+    """Two of five studies are broken, one unreadable and one invalid; the others load."""
+    _, audit = E.run(_partly_broken(spark, sf), _warehouse(spark), min_genes=10)
+    return audit.select("study", "status", F.coalesce(F.contains("message", F.lit("unreadable block")), F.lit(False)).alias("unreadable"), "records")
+
+
+@query("stage_summaries", f"""WITH {_SQL}, loaded AS (SELECT * FROM x JOIN (SELECT DISTINCT study AS st, accession_code FROM a) ON st = study AND accession_code = sample)
+SELECT 'extract' AS step, 'experiments' AS "table", count(*) AS records, 0::BIGINT AS warnings, 0::BIGINT AS errors FROM region
+UNION ALL SELECT 'extract', 'samples', count(*), 0, 0 FROM s
+UNION ALL SELECT 'extract', 'annotations', count(*), count(*) FILTER (organism IS NULL), 0 FROM a
+UNION ALL SELECT 'extract', 'expression', count(*), count(*) FILTER (value IS NULL), 0 FROM x
+UNION ALL SELECT 'load', 'dim_study', count(*), 0, 0 FROM region
+UNION ALL SELECT 'load', 'dim_platform', count(DISTINCT CASE rf WHEN 'R' THEN 'I' ELSE 'A' END || substr(ym, 1, 4)), 0, 0 FROM s
+UNION ALL SELECT 'load', 'dim_illness', count(DISTINCT rf), 0, 0 FROM a
+UNION ALL SELECT 'load', 'dim_sample', count(*), count(*) FILTER (rf NOT IN ('R', 'N')), 0 FROM a
+UNION ALL SELECT 'load', 'dim_gene', count(DISTINCT gene), count(DISTINCT gene), 0 FROM x
+UNION ALL SELECT 'load', 'fact_expression', count(*), 0, 0 FROM loaded""")
+def stage_summaries(spark, sf):
+    """Counts taken by the writes of a whole run, against recounting."""
+    w = _warehouse(spark)
+    E.run(study_input(spark, sf), w, min_genes=10)
+    return spark.read.parquet(f"{w.root}/audit_stage").select("step", "table", "records", "warnings", "errors")
+
+
+@query("staged_fact", f"""WITH {_SQL} SELECT x.study, sample AS accession_code, x.gene AS gene_symbol, {r("value + CASE WHEN x.study = 'SRP1' THEN 1 ELSE 0 END", 'expression_value', 4)}
+FROM x JOIN a ON a.study = x.study AND accession_code = sample""")
+def staged_fact(spark, sf):
+    """Two loads: all studies, then one of them with other values; its folder alone is rewritten."""
+    w, d = _warehouse(spark), study_input(spark, sf)
+    w.load(E.transform(d))
+    first = w.manifest()["facts"]
+    one = d.only(["SRP1"])
+    w.load(E.transform(E.StudyInput(one.experiments, one.samples, one.annotations, one.expression.withColumn("value", F.col("value") + 1))))
+    now = w.manifest()["facts"]
+    if {s for s in now if now[s] != first.get(s)} != {"SRP1"}:
+        raise AssertionError("a load rewrote studies that it doesn't hold")
+    w.cleanup()
+    f = w.read("fact_expression").join(w.read("dim_sample").select("study", "accession_code", "sample_key"), ["study", "sample_key"]).join(
+        w.read("dim_gene").select("gene_symbol", "gene_key"), "gene_key")
+    return rounded(f.select("study", "accession_code", "gene_symbol", F.col("expression_value").cast("double").alias("expression_value")), 4)
+
+
+@query("log_retention", """WITH l AS (SELECT event_id, ts, max(ts) OVER () AS now FROM events)
+SELECT 'a' AS log, event_id FROM l WHERE ts >= now - INTERVAL 10 DAY UNION ALL SELECT 'b', event_id FROM l WHERE ts >= now - INTERVAL 10 DAY""")
+def log_retention(spark, sf):
+    """Log tables older than ten days, dropped twice."""
+    w, events = _warehouse(spark), X.table(spark, sf, "events").select("event_id", "ts")
+    now = events.agg(F.max("ts").alias("t")).select(F.unix_micros(F.col("t").cast("timestamp")).alias("t")).first()["t"]
+    for log in ("a", "b"):
+        w.append(log, events, "ts")
+    for _ in range(2):
+        w.retain_logs(10, {"a": "ts", "b": "ts"}, datetime.fromtimestamp(now / 1e6, timezone.utc))
+    return spark.read.parquet(f"{w.root}/a").select(F.lit("a").alias("log"), "event_id").unionByName(spark.read.parquet(f"{w.root}/b").select(F.lit("b").alias("log"), "event_id"))

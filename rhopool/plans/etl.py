@@ -1,9 +1,14 @@
-"""Study warehouse: validated star schema, idempotent load, audit. All studies go through one job."""
+"""Study warehouse: validated star schema, staged and idempotent load, audit, retention. All studies go through one job."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from rhopool.functions import text as T
 from rhopool.operators.clean import batch_id, coerce_number, parse_bool
 from rhopool.operators.quality import quality_score, validate_studies
+from rhopool.operators.summary import StageSummary
 from rhopool.operators.upsert import latest_rows, number_rows, unmatched_keys, upsert
 from rhopool.session import materialize
 
@@ -25,11 +31,29 @@ class StudyInput:
     annotations: DataFrame
     expression: DataFrame
 
-    def only(self, studies: DataFrame) -> "StudyInput":
-        keep = lambda d: d.join(studies.select("study"), "study", "left_semi")
+    def stored(self, write: Callable[..., DataFrame]) -> "StudyInput":
+        """The inputs read back from where ``write(df, table, warning, error)`` puts them."""
+        null = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+        number = F.col("value").try_cast("double")
+        return StudyInput(
+            write(self.experiments, "experiments", null("organism") if "organism" in self.experiments.columns else None, null("accession_code")),
+            write(self.samples, "samples", null("organism") if "organism" in self.samples.columns else None, null("sample")),
+            write(self.annotations, "annotations", null("title") | null("organism"), null("accession_code")),
+            write(self.expression, "expression", F.col("value").isNull(), F.col("value").isNotNull() & number.isNull()))
+
+    def only(self, studies: list[str]) -> "StudyInput":
+        """The inputs of the named studies. A short list is a filter that reaches the sources, so that others aren't read."""
+        if len(studies) <= LISTED:
+            keep = lambda d: d.where(F.col("study").isin(studies) if studies else F.lit(False))
+        else:
+            names = self.experiments.sparkSession.createDataFrame([(s,) for s in studies], "study string")
+            keep = lambda d: d.join(names, "study", "left_semi")
         return StudyInput(*map(keep, (self.experiments, self.samples, self.annotations, self.expression)))
 
 
+LISTED = 1000  # studies named in a filter; more are joined
+
+
 def _get(df: DataFrame, name: str, default=None):
     return F.col(name) if name in df.columns else F.lit(default).cast("string")
 
@@ -118,94 +142,257 @@ NATURAL = {"dim_study": (["accession_code"], "study_key"), "dim_platform": (["pl
 
 
 class Warehouse:
-    """Versioned parquet tables: a load writes version n+1 and readers switch once it is complete."""
+    """Tables below ``root`` whose current state is named by the last manifest.
+
+    A load writes its tables to a folder of its own (the stage) and then commits a manifest that names them; until then,
+    and if it never comes to that, readers see the state before. The fact is kept in one folder for each study, so a
+    load rewrites the studies it touches and no others. Dimensions are rewritten whole.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self, table: str) -> int:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _list(self, *parts: str) -> list[str]:
+        path = self._path(*parts)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return 0
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path)
-                if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self._version(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v{v}") if v else None
-
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{table}/v{self._version(table) + 1}"
-        df.write.mode("overwrite").parquet(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _remove(self, *parts: str) -> None:
+        path = self._path(*parts)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def manifest(self) -> dict:
+        """{"number", "tables": table -> folder, "facts": study -> folder} of the last complete commit."""
+        for name in reversed(self._list("_manifests")):
+            path = self._path("_manifests", name)
+            stream = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(path)
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            if text.endswith("\n"):          # a writer that died left no line end
+                return json.loads(text)
+        return {"number": 0, "tables": {}, "facts": {}}
+
+    def commit(self, tables: dict[str, str], facts: dict[str, str]) -> int:
+        """Makes the given folders current in one step; fails if another load commits the same number."""
+        old = self.manifest()
+        number = max([old["number"], *(int(n) for n in self._list("_manifests"))]) + 1
+        new = {"number": number, "tables": {**old["tables"], **tables}, "facts": {**old["facts"], **facts}}
+        path = self._path("_manifests", f"{number:09d}")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False)
+        try:
+            out.write(bytearray(json.dumps(new).encode() + b"\n"))
+        finally:
+            out.close()
+        return number
+
+    def begin(self) -> str:
+        return f"{self.manifest()['number'] + 1:09d}-{uuid.uuid4().hex[:12]}"
+
+    def cleanup(self) -> list[str]:
+        """Removes the stages that the current manifest doesn't use; not to be run beside a load. Older states go with them."""
+        now = self.manifest()
+        used = {f.split("/")[1] for f in (*now["tables"].values(), *now["facts"].values())}
+        gone = [name for name in self._list("_data") if name not in used]
+        for name in gone:
+            self._remove("_data", name)
+        return gone
+
+    def read(self, table: str, studies: list[str] | None = None) -> DataFrame | None:
+        """A table as of the last commit; of the fact only the given studies, if named."""
+        now = self.manifest()
+        if table != "fact_expression":
+            return self.spark.read.parquet(f"{self.root}/{now['tables'][table]}") if table in now["tables"] else None
+        folders = [f for s, f in now["facts"].items() if studies is None or s in set(studies)]
+        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders)) if folders else None
+
+    def stage(self, load: str, table: str, df: DataFrame, summary: StageSummary | None = None, step: str = "load",
+              warning=None, error=None, partition_by: str | None = None) -> DataFrame:
+        """Writes ``df`` to the load's stage and reads it back; the summary counts what passes."""
+        path = f"{self.root}/_data/{load}/{table}"
+        (summary or StageSummary()).write(df, path, step, table, warning, error, partition_by)
         return self.spark.read.parquet(path)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{table}")
-
-    def load_dimension(self, table: str, incoming: DataFrame) -> DataFrame:
+    def append(self, table: str, df: DataFrame, at: str = "at") -> None:
+        """Adds rows to a log table, in a folder for each day of the timestamp ``at``."""
+        df.withColumn("log_date", F.to_date(at)).write.mode("append").partitionBy("log_date").parquet(f"{self.root}/{table}")
+
+    def retain_logs(self, days: int, logs: dict[str, str] | None = None, now: datetime | None = None) -> None:
+        """Log rows older than ``days`` go: whole days by their folder, the day that holds the limit by rewriting it alone.
+
+        ``logs``: table -> timestamp column (default: LOGS). A second run changes nothing.
+        """
+        limit = (now or datetime.now(timezone.utc)) - timedelta(days=days)
+        for table, at in (logs or LOGS).items():
+            for name in self._list(table):
+                if not name.startswith("log_date=") or name.endswith("__HIVE_DEFAULT_PARTITION__"):
+                    continue
+                day = date.fromisoformat(name.removeprefix("log_date="))
+                if day < limit.date():
+                    self._remove(table, name)
+                elif day == limit.date():
+                    rows = self.spark.read.parquet(f"{self.root}/{table}/{name}")
+                    late = rows.where(F.col(at) < F.lit(limit))
+                    if late.isEmpty():
+                        continue
+                    kept = materialize(rows.where(F.coalesce(F.col(at) >= F.lit(limit), F.lit(False))), "kept")
+                    if kept.isEmpty():
+                        self._remove(table, name)
+                    else:
+                        (kept.withColumn("log_date", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                         .partitionBy("log_date").parquet(f"{self.root}/{table}"))
+
+    def load_dimension(self, load: str, table: str, incoming: DataFrame, summary: StageSummary | None = None) -> DataFrame:
         """Known natural keys keep their surrogate and take the new attributes; new ones continue the numbering."""
         keys, surrogate = NATURAL[table]
         old = self.read(table)
+        warning = F.expr(WARNINGS[table]) if table in WARNINGS else None
         if old is None:
-            return self.write(table, incoming)
+            return self.stage(load, table, incoming, summary, warning=warning)
         top = old.agg(F.coalesce(F.max(surrogate), F.lit(0))).first()[0]
         new = incoming.join(old.select(*keys), keys, "left_anti").drop(surrogate)
         numbered = number_rows(new, keys, surrogate, start=top + 1)
         update = [c for c in incoming.columns if c not in (*keys, surrogate)]
         merged = upsert(old, incoming.join(old.select(*keys), keys, "left_semi"), keys, update)
-        return self.write(table, merged.unionByName(numbered.select(*merged.columns)))
+        return self.stage(load, table, merged.unionByName(numbered.select(*merged.columns)), summary, warning=warning)
+
+    def load(self, star: dict[str, DataFrame], load: str | None = None, summary: StageSummary | None = None) -> dict[str, DataFrame]:
+        """Stages all tables and commits them; the fact is resolved over natural keys to the warehouse's surrogates.
 
-    def load(self, star: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """All tables; the fact is resolved over natural keys to the warehouse's surrogates, latest value per key wins."""
-        out = {t: self.load_dimension(t, star[t]) for t in NATURAL}
+        Only the folders of the star's studies are read and rewritten; the latest value of a key wins.
+        """
+        load = load or self.begin()
+        out = {t: self.load_dimension(load, t, star[t], summary) for t in NATURAL}
         f = star["fact_expression"]
         swap = lambda t, k: star[t].select(*NATURAL[t][0], F.col(k).alias(f"_{k}")).join(out[t].select(*NATURAL[t][0], k), NATURAL[t][0]) \
-            .select(F.col(f"_{k}"), F.col(k).alias(f"_new_{k}"))
+            .select(*(["study"] if t == "dim_sample" else []), F.col(f"_{k}"), F.col(k).alias(f"_new_{k}"))
         for t, k in (("dim_sample", "sample_key"), ("dim_gene", "gene_key")):
             f = f.join(swap(t, k), F.col(k) == F.col(f"_{k}")).drop(k, f"_{k}").withColumnRenamed(f"_new_{k}", k)
-        f = f.select("sample_key", "gene_key", "expression_value").withColumn("processed_at", F.current_timestamp())
-        f = latest_rows(f, ["sample_key", "gene_key"], ["processed_at", "expression_value"])
-        old = self.read("fact_expression")
-        merged = f if old is None else upsert(old, f, ["sample_key", "gene_key"], ["expression_value", "processed_at"])
-        out["fact_expression"] = self.write("fact_expression", merged)
+        f = f.select("study", "sample_key", "gene_key", "expression_value").withColumn("processed_at", F.current_timestamp())
+        f = latest_rows(f, ["study", "sample_key", "gene_key"], ["processed_at", "expression_value"])
+        old = self.read("fact_expression", [r["study"] for r in star["dim_sample"].select("study").distinct().collect()])
+        merged = f if old is None else upsert(old, f, ["study", "sample_key", "gene_key"], ["expression_value", "processed_at"])
+        self.stage(load, "fact_expression", merged.withColumn("_study", F.col("study")), summary, partition_by="_study")
+        folder = f"_data/{load}/fact_expression"
+        facts = {unquote(n.removeprefix("_study=")): f"{folder}/{n}" for n in self._list(folder) if n.startswith("_study=")}
+        self.commit({t: f"_data/{load}/{t}" for t in NATURAL}, facts)
+        out["fact_expression"] = self.read("fact_expression")
         return out
 
 
+#: Log tables and their time.
+LOGS = {"audit_execution": "started", "audit_quality": "at", "audit_stage": "at"}
+#: What counts as a warning in a loaded table.
+WARNINGS = {"dim_study": "organism is null", "dim_sample": "sample_classification = 'unknown'", "dim_gene": "not valid_symbol"}
+
+
+def isolated(studies: list[str], attempt: Callable[[list[str]], None], give_up: int = 20) -> dict[str, tuple]:
+    """study -> (failure or None, started, finished): ``attempt`` is made for all studies at once.
+
+    If it fails they are halved and each half is attempted on its own, so k broken ones among n cost about 2 k log n
+    attempts. After ``give_up`` failures in a row the rest fails unattempted.
+    """
+    done: dict[str, tuple] = {}
+    todo, failed, last = [sorted(studies)] if studies else [], 0, ""
+    while todo:
+        some = todo.pop(0)
+        started = datetime.now(timezone.utc)
+        if failed >= give_up:
+            done.update({s: (f"not attempted after {failed} failures, the last: {last}"[:1000], started, started) for s in some})
+            continue
+        try:
+            attempt(some)
+            failure, failed = None, 0
+        except Exception as e:  # whatever it was, the audit names it
+            failure = last = f"{type(e).__name__}: {e}"[:1000]
+            failed += 1
+            if len(some) > 1:
+                todo[:0] = [some[:len(some) // 2], some[len(some) // 2:]]
+                continue
+        done.update({s: (failure, started, datetime.now(timezone.utc)) for s in some})
+    return done
+
+
+def load_isolated(warehouse: Warehouse, data: StudyInput, studies: list[str], extended: bool = False,
+                  summary: StageSummary | None = None, give_up: int = 20) -> dict[str, tuple]:
+    """Every study that can be loaded is, whatever the others do: one job and one commit for all, in halves where it fails."""
+
+    def attempt(some):
+        own = StageSummary()
+        warehouse.load(transform(data.only(some), extended), summary=own)
+        if summary is not None:
+            summary.counts += own.counts
+
+    return isolated(studies, attempt, give_up)
+
+
+def extract_isolated(warehouse: Warehouse, data: StudyInput, load: str, summary: StageSummary) -> tuple[StudyInput, dict[str, tuple]]:
+    """The inputs stored in the stage ``load``, without the studies that can't be read, and the outcomes of a reading in halves."""
+    parts: list[StudyInput] = []
+
+    def attempt(some):
+        own, place = StageSummary(), f"{load}/{len(parts)}-{uuid.uuid4().hex[:6]}"
+        chosen = data if some is None else data.only(some)
+        parts.append(chosen.stored(lambda df, table, warning, error: warehouse.stage(place, table, df, own, "extract", warning, error)))
+        summary.counts += own.counts
+
+    try:
+        attempt(None)
+        return parts[0], {}
+    except Exception:
+        # Which study it was is told by reading them apart; what no part holds is read as empty.
+        outcome = isolated([r["study"] for r in data.experiments.select("study").distinct().collect()], attempt)
+    names = ("experiments", "samples", "annotations", "expression")
+    if not parts:
+        return data.only([]), outcome
+    return StudyInput(*(reduce(DataFrame.unionByName, [getattr(p, n) for p in parts]) for n in names)), outcome
+
+
 def run(data: StudyInput, warehouse: Warehouse | None, min_genes: int = 1000, extended: bool = False) -> tuple[DataFrame, DataFrame]:
     """(findings, audit): validate every study, load those without errors, record one audit row per study.
 
-    A failing study never stops the others: studies with errors aren't loaded, and when the load itself fails the
-    studies in it are audited as FAILED with its message. Findings carry the execution_id of their study's audit row
-    and a result (FAIL, WARNING or PASS). ``warehouse=None`` only validates.
+    A failing study never stops the others: studies with errors aren't loaded, and a reading or load that fails is repeated in
+    halves until the broken studies stand alone, audited as FAILED with their message and times. Findings carry the execution_id
+    of their study's audit row and a result (FAIL, WARNING or PASS). The inputs are stored once, in a stage that is removed after
+    the load; records, warnings and errors of each step and table go to the log ``audit_stage``. ``warehouse=None``
+    only validates.
     """
     started = datetime.now(timezone.utc)
+    spark, summary = data.experiments.sparkSession, StageSummary()
+    inputs = warehouse.begin() + "-input" if warehouse is not None else None
+    unread: dict[str, tuple] = {}
+    studies = materialize(data.experiments.select("study").distinct(), "studies")
+    if warehouse is not None:
+        data, unread = extract_isolated(warehouse, data, inputs, summary)
+        unread = {s: o for s, o in unread.items() if o[0]}
     findings = materialize(validate_studies(data.experiments, data.samples, data.annotations, data.expression, min_genes), "findings")
-    score = materialize(data.experiments.select("study").distinct().join(quality_score(findings), "study", "left")
+    score = materialize(studies.join(quality_score(findings), "study", "left")
                         .withColumn("execution_id", batch_id("study")), "scores")
-    good = score.where(F.coalesce("errors", F.lit(0)) == 0)
+    good = [r["study"] for r in score.where(F.coalesce("errors", F.lit(0)) == 0).select("study").collect() if r["study"] not in unread]
     records = data.expression.groupBy("study").agg(F.count(F.lit(1)).alias("records"))
-    failure = None
-    if warehouse is not None:
-        try:
-            warehouse.load(transform(data.only(good), extended))
-        except Exception as e:  # whatever it was, the audit names it
-            failure = f"{type(e).__name__}: {e}"[:1000]
+    outcome = {**unread, **load_isolated(warehouse, data, good, extended, summary)} if warehouse is not None else {}
     finished = datetime.now(timezone.utc)
-    bad = F.coalesce("errors", F.lit(0)) > 0
-    loaded = F.lit("VALIDATED" if warehouse is None else "SUCCESS" if failure is None else "FAILED")
-    count = F.coalesce("records", F.lit(0))
-    seconds = (finished - started).total_seconds()
-    audit = materialize(score.join(records, "study", "left").select(
-        "execution_id", "study", F.when(bad, "FAILED").otherwise(loaded).alias("status"), F.lit(started).alias("started"), F.lit(finished).alias("finished"),
-        F.lit(seconds).alias("seconds"), count.alias("records"), (count / F.lit(max(seconds, 1e-3))).alias("records_per_second"),
+    times = spark.createDataFrame([(s, *o) for s, o in outcome.items()], "study string, failure string, began timestamp, ended timestamp")
+    bad, count = F.coalesce("errors", F.lit(0)) > 0, F.coalesce("records", F.lit(0))
+    began, ended = F.coalesce("began", F.lit(started)), F.coalesce("ended", F.lit(finished))
+    seconds = F.col("ended_at").cast("double") - F.col("started").cast("double")
+    loaded = F.lit("VALIDATED") if warehouse is None else F.when(F.col("failure").isNull(), "SUCCESS").otherwise("FAILED")
+    rows = score.join(records, "study", "left").join(times, "study", "left").withColumns({"started": began, "ended_at": ended})
+    audit = materialize(rows.select(
+        "execution_id", "study", F.when(bad, "FAILED").otherwise(loaded).alias("status"), "started", F.col("ended_at").alias("finished"),
+        seconds.alias("seconds"), count.alias("records"), (count / F.greatest(seconds, F.lit(1e-3))).alias("records_per_second"),
         F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "quality_score",
-        F.when(~bad, F.lit(failure)).alias("message")), "audit")
+        F.when(~bad, F.col("failure")).alias("message")), "audit")
     result = F.when(F.col("level") == "error", "FAIL").when(F.col("level") == "warning", "WARNING").otherwise("PASS")
     findings = findings.join(score.select("study", "execution_id"), "study", "left").withColumn("result", result)
     if warehouse is not None:
-        warehouse.append("audit_execution", audit)
-        warehouse.append("audit_quality", findings)
+        findings = materialize(findings, "named_findings")
+        warehouse.append("audit_execution", audit, "started")
+        warehouse.append("audit_quality", findings.withColumn("at", F.lit(started)))
+        warehouse.append("audit_stage", summary.rows(spark).withColumns({"load": F.lit(inputs), "at": F.lit(started)}))
+        warehouse._remove("_data", inputs)
     return findings, audit

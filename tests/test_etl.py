@@ -99,7 +99,7 @@ def test_failing_load_is_audited_with_its_studies(spark, tmp_path):
     write_study(tmp_path / "in", "SRP1", "top")
 
     class Broken(E.Warehouse):
-        def load(self, star):
+        def load(self, star, load=None, summary=None):
             raise OSError("disk full")
 
     _, audit = E.run(read(spark, tmp_path / "in")[1], Broken(spark, str(tmp_path / "wh")), min_genes=3)
@@ -109,3 +109,77 @@ def test_failing_load_is_audited_with_its_studies(spark, tmp_path):
     assert R.pipeline_summary(stored).first().failed == 1
     quality = spark.read.parquet(f"{tmp_path}/wh/audit_quality")
     assert R.run_statistics(stored, quality).first().checks == quality.count() > 0
+
+
+def test_one_broken_study_fails_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for code in ("SRP1", "SRP2", "SRP3", "SRP4", "SRP5"):
+        write_study(tmp_path / "in", code, "top")
+
+    class Fragile(E.Warehouse):
+        def load(self, star, load=None, summary=None):
+            sick = F.when(F.col("study") == "SRP3", F.raise_error(F.lit("unreadable block")).cast("string")).otherwise(F.col("study"))
+            return super().load({**star, "dim_sample": star["dim_sample"].withColumn("study", sick)}, load, summary)
+
+    w = Fragile(spark, str(tmp_path / "wh"))
+    _, audit = E.run(read(spark, tmp_path / "in")[1], w, min_genes=3)
+    rows = {r.study: r for r in audit.collect()}
+    assert {s: r.status for s, r in rows.items()} == {s: "FAILED" if s == "SRP3" else "SUCCESS" for s in rows} and len(rows) == 5
+    assert "unreadable block" in rows["SRP3"].message and rows["SRP1"].message is None
+    assert {r.study for r in w.read("fact_expression").select("study").distinct().collect()} == set(rows) - {"SRP3"}
+    assert len({r.started for r in rows.values()}) > 1
+    stages = {(r.step, r.table): r.records for r in spark.read.parquet(f"{w.root}/audit_stage").collect()}
+    assert stages["extract", "expression"] == 5 * 16
+
+
+def test_give_up_after_failures_in_a_row(spark, tmp_path):
+    class Full(E.Warehouse):
+        def load(self, star, load=None, summary=None):
+            raise OSError("disk full")
+
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        write_study(tmp_path / "in", f"SRP{k}", "top")
+    done = E.load_isolated(Full(spark, str(tmp_path / "wh")), read(spark, tmp_path / "in")[1], [f"SRP{k}" for k in range(4)], give_up=3)
+    assert len(done) == 4 and all("disk full" in f for f, *_ in done.values()) and sum("not attempted" in f for f, *_ in done.values()) == 3
+
+
+def test_a_load_rewrites_its_studies_only_and_a_crash_changes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for code in ("SRP1", "SRP2"):
+        write_study(tmp_path / "in", code, "top")
+    w = E.Warehouse(spark, str(tmp_path / "wh"))
+    E.run(read(spark, tmp_path / "in")[1], w, min_genes=3)
+    before = w.manifest()
+    more = tmp_path / "more"
+    more.mkdir()
+    write_study(more, "SRP2", "top", value=90.0)
+    E.run(read(spark, more)[1], w, min_genes=3)
+    after = w.manifest()
+    assert after["facts"]["SRP1"] == before["facts"]["SRP1"] and after["facts"]["SRP2"] != before["facts"]["SRP2"]
+    rows = w.read("fact_expression").count()
+    # Staged but never committed.
+    load = w.begin()
+    w.stage(load, "dim_study", w.read("dim_study").limit(0))
+    assert w.manifest() == after and w.read("fact_expression").count() == rows and w.read("dim_study").count() == 2
+    # A manifest cut off while it was written.
+    (tmp_path / "wh" / "_manifests" / "000000099").write_text('{"number": 99')
+    assert w.manifest() == after
+    assert load in w.cleanup() and w.cleanup() == [] and w.read("fact_expression").count() == rows
+    E.run(read(spark, more)[1], w, min_genes=3)
+    assert w.manifest()["number"] == 100 and w.read("fact_expression").count() == rows
+
+
+def test_retention_drops_old_rows_once_and_for_all(spark, tmp_path):
+    from datetime import datetime, timezone
+    w = E.Warehouse(spark, str(tmp_path / "wh"))
+    now = datetime(2024, 5, 20, 12, tzinfo=timezone.utc)
+    logs = {t: "at" for t in ("a", "b", "c")}
+    for t in logs:
+        w.append(t, spark.sql("select id, timestamp'2024-05-01 06:00:00' + make_dt_interval(0, id) as at from range(480) union all select -1, null"))
+    want = {r.id for r in spark.sql("select id from range(480) where timestamp'2024-05-01 06:00:00' + make_dt_interval(0, id) >= timestamp'2024-05-13 12:00:00'").collect()} | {-1}
+    for _ in range(2):
+        w.retain_logs(7, logs, now)
+        assert all({r.id for r in spark.read.parquet(f"{w.root}/{t}").collect()} == want for t in logs)
+    w.retain_logs(0, logs, datetime(2030, 1, 1, tzinfo=timezone.utc))
+    assert {r.id for r in spark.read.parquet(f"{w.root}/a").collect()} == {-1}
