@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +19,6 @@ def consensus(df: DataFrame, labels: list[str], min_methods: int | None = None)
     Rows agree in a set of methods exactly when they share that set's label
     tuple, so each set needs one count per tuple instead of a row-by-row matrix.
     """
-    from itertools import combinations
-
     need = min_methods or len(labels)
     flags = F.lit(False)
     out = df
@@ -41,6 +43,29 @@ def consensus_summary(df: DataFrame, labels: list[str]) -> DataFrame:
     return sizes.agg(pairs.alias("p")).select(S.div("p", F.lit(float(len(labels))) * n * n).alias("mean_consensus"))
 
 
+def consensus_distribution(df: DataFrame, labels: list[str]) -> DataFrame:
+    """(agreement, cells): how many cells of the row-by-row matrix have each number of agreeing methods, 0 to all.
+
+    A cell counts the methods in which two rows share a label other than -1; the diagonal has 0. No pairs are made: the
+    rows of each label tuple are counted for every set of methods, which gives the ordered pairs that agree in at least
+    that set, and inclusion and exclusion turns these into pairs that agree in exactly so many. One number for each set
+    of methods reaches the driver.
+    """
+    square = F.sum((F.col("n").cast("decimal(38,0)") * (F.col("n") - 1)).cast("decimal(38,0)"))
+    tuples = df.groupBy(*[F.col(c).cast("long").alias(c) for c in labels]).agg(F.count(F.lit(1)).alias("n"))
+    rows = int(tuples.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    at_least = [rows * (rows - 1)]
+    for size in range(1, len(labels) + 1):
+        total = 0
+        for pick in combinations(labels, size):
+            real = tuples.where(" and ".join(f"`{c}` <> -1" for c in pick)).groupBy(*pick).agg(F.sum("n").alias("n"))
+            total += int(real.agg(square.alias("p")).first()["p"] or 0)
+        at_least.append(total)
+    exactly = [sum((-1) ** (j - k) * comb(j, k) * at_least[j] for j in range(k, len(at_least))) for k in range(len(at_least))]
+    exactly[0] += rows
+    return df.sparkSession.createDataFrame([(k, Decimal(v)) for k, v in enumerate(exactly)], "agreement int, cells decimal(38,0)")
+
+
 def cluster_density(df: DataFrame, label: str = "cluster_label") -> DataFrame:
     """Adds density: 1 / cluster size, 0 for noise."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))

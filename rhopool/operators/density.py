@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import Cells, distances, make_cells, sides, stack, unit_vectors
+from rhopool.operators.points import Cells, distances, in_metric, make_cells, sides, stack, unit_vectors
 from rhopool.operators.upsert import number_rows
 from rhopool.session import materialize
 
 
 def _neighbour_counts(cells: Cells, eps: float) -> DataFrame:
+    metric = cells.metric
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = sides(pdf)
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "n": []})
-        near = distances(stack(a["v"]), stack(b["v"])) <= eps
+        near = distances(stack(a["v"]), stack(b["v"]), metric) <= eps
         left = pd.DataFrame({"id": a["id"].to_numpy(), "n": near @ b["w"].to_numpy(float)})
         if same:
             return left
@@ -45,6 +47,8 @@ def _roots(near: np.ndarray) -> np.ndarray:
 
 def _links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
     """(id, root, kind): a spanning forest of core points per task, and the cores next to other points."""
+    metric = cells.metric
+
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.drop_duplicates("id").sort_values("id", kind="stable")
         ids, is_core = d["id"].to_numpy(), d["core"].to_numpy(bool)
@@ -52,11 +56,11 @@ def _links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
         if not is_core.any():
             return empty
         v = stack(d["v"])
-        root = _roots(distances(v[is_core], v[is_core]) <= eps)
+        root = _roots(distances(v[is_core], v[is_core], metric) <= eps)
         names = ids[is_core]
         out = [pd.DataFrame({"id": names, "root": names[root], "kind": "core"})]
         if (~is_core).any():
-            near = distances(v[~is_core], v[is_core]) <= eps
+            near = distances(v[~is_core], v[is_core], metric) <= eps
             i, j = np.nonzero(near)
             out.append(pd.DataFrame({"id": ids[~is_core][i], "root": names[j], "kind": "border"}))
         return pd.concat(out).drop_duplicates()
@@ -86,20 +90,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, metric: str = "euclidean", block: int | None = None) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, metric: str = "euclidean", block: int | None = None,
+           weights: list[float] | None = None) -> DataFrame:
     """(id, cluster_label, is_core): noise is -1, clusters are numbered by their smallest member.
 
     A border point next to several clusters joins the one with the smallest
     member.  Cosine distance d equals Euclidean sqrt(2d) between unit vectors.
+    Other metrics: euclidean, mahalanobis, and manhattan with ``weights``.
     """
     if metric == "cosine":
-        work, radius = unit_vectors(points), math.sqrt(2.0 * eps)
-    elif metric == "euclidean":
-        work, radius = points, eps
+        work, radius, plain = unit_vectors(points), math.sqrt(2.0 * eps), "euclidean"
     else:
-        raise ValueError(f"unknown metric {metric!r}")
+        (work, plain), radius = in_metric(points, metric, weights), eps
     work = materialize(work, "dbscan")
-    cells = make_cells(work, **({"block": block} if block else {}))
+    cells = make_cells(work, metric=plain, **({"block": block} if block else {}))
     core = materialize(_neighbour_counts(cells, radius).select("id", (F.col("n") >= min_samples).alias("core")), "core")
     links = materialize(_links(cells, core, radius), "links")
     comp = connected_components(links.where("kind = 'core'").select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import Cells, distances, make_cells, sides, stack
+from rhopool.operators.points import Cells, distances, in_metric, make_cells, sides, stack
 from rhopool.session import materialize
 
 _CAND = "id string, cand array<struct<d:double,nid:string,w:double>>"
@@ -28,7 +28,7 @@ def _candidates(ids, d, bound, other_ids, other_w, self_pos, k):
     return out
 
 
-def _knn_kernel(k: int):
+def _knn_kernel(k: int, metric: str = "euclidean"):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = sides(pdf)
         if len(a) == 0 or len(b) == 0:
@@ -36,7 +36,7 @@ def _knn_kernel(k: int):
         ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
         aw, bw = a["w"].to_numpy(float), b["w"].to_numpy(float)
         au, bu = a["u"].to_numpy(float), b["u"].to_numpy(float)
-        d = distances(stack(a["v"]), stack(b["v"]))
+        d = distances(stack(a["v"]), stack(b["v"]), metric)
         left = pd.DataFrame({"id": ai, "cand": _candidates(ai, d, au, bi, bw, np.arange(len(ai)) if same else None, k)})
         if same:
             return left
@@ -52,7 +52,7 @@ def nearest(cells: Cells, k: int) -> DataFrame:
     """
     free = F.lit(float("inf"))
     own = (cells.points.withColumns({"bi": F.col("blk"), "bj": F.col("blk"), "u": free}).groupBy("bi", "bj")
-           .applyInPandas(_knn_kernel(k), _CAND))
+           .applyInPandas(_knn_kernel(k, cells.metric), _CAND))
     if int(cells.blocks.sum()) > 1:
         total = F.aggregate("cand", F.lit(0.0), lambda s, x: s + x["w"])
         bound = F.when(total >= k, F.element_at("cand", -1).getField("d")).otherwise(free)
@@ -60,7 +60,7 @@ def nearest(cells: Cells, k: int) -> DataFrame:
         reach = {r["cell"]: r["u"] for r in bounded
                  .groupBy("cell").agg(F.max("u").alias("u")).collect()}
         reach = np.array([reach.get(c, 0.0) for c in range(len(cells.pivots))])
-        parts = cells.block_pairs(bounded, reach).groupBy("bi", "bj").applyInPandas(_knn_kernel(k), _CAND)
+        parts = cells.block_pairs(bounded, reach).groupBy("bi", "bj").applyInPandas(_knn_kernel(k, cells.metric), _CAND)
         # A task keeps only candidates inside the point's own bound, so the lists merged here stay near k.
         own = parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("cand"))).alias("cand"))
     # Running weight, then multiplicities cut at k.
@@ -74,10 +74,12 @@ def nearest(cells: Cells, k: int) -> DataFrame:
     return own.select("id", walk.alias("near")).withColumn("kdist", F.element_at("near", -1).getField("d"))
 
 
-def local_outlier_factor(points: DataFrame, k: int = 20, block: int | None = None) -> DataFrame:
-    """(id, lof) with k capped at n - 1."""
+def local_outlier_factor(points: DataFrame, k: int = 20, block: int | None = None, metric: str = "euclidean",
+                         weights: list[float] | None = None) -> DataFrame:
+    """(id, lof) with k capped at n - 1; metrics: euclidean, mahalanobis, and manhattan with ``weights``."""
+    points, plain = in_metric(points, metric, weights)
     points = materialize(points, "lof")
-    cells = make_cells(points, **({"block": block} if block else {}))
+    cells = make_cells(points, metric=plain, **({"block": block} if block else {}))
     n = points.count()
     k = min(k, n - 1)
     if k < 1:

@@ -41,13 +41,89 @@ def stack(series: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(x, float) for x in series])
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences per dimension (exact zeros for copies)."""
+def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Euclidean or Manhattan distances by differences per dimension (exact zeros for copies)."""
     out = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         d = a[:, j][:, None] - b[:, j][None, :]
-        out += d * d
-    return np.sqrt(out)
+        out += np.abs(d) if metric == "manhattan" else d * d
+    return out if metric == "manhattan" else np.sqrt(out)
+
+
+def _sums(batches):
+    """n, sums and products of all dimensions of a task, about its first point."""
+    at, total, n = None, None, 0
+    for pdf in batches:
+        if len(pdf):
+            v = stack(pdf["v"])
+            at = v[0] if at is None else at
+            v = v - at
+            part = np.concatenate([v.sum(axis=0)[None], v.T @ v])
+            total, n = part if total is None else total + part, n + len(v)
+    if n:
+        yield pd.DataFrame({"n": [n], "at": [at.tolist()], "total": [total.ravel().tolist()]})
+
+
+def covariance(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of points(id, v) in one pass; a row per task reaches the driver, merged as it comes."""
+    n, mean, cov = 0, None, None
+    for r in points.select("v").mapInPandas(_sums, "n bigint, at array<double>, total array<double>").toLocalIterator():
+        d = len(r["at"])
+        total = np.array(r["total"]).reshape(d + 1, d)
+        m = total[0] / r["n"]
+        c = total[1:] / r["n"] - np.outer(m, m)
+        m = m + np.array(r["at"])
+        if not n:
+            n, mean, cov = r["n"], m, c
+        else:
+            share, gap = r["n"] / (n + r["n"]), m - mean
+            cov = (1 - share) * cov + share * c + share * (1 - share) * np.outer(gap, gap)
+            mean, n = mean + share * gap, n + r["n"]
+    return (mean, cov) if n else (np.zeros(0), np.zeros((0, 0)))
+
+
+def _mapped(points: DataFrame, turn: np.ndarray) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(v=list(stack(pdf["v"]) @ turn)) if len(pdf) else pdf
+
+    return points.select("id", "v").mapInPandas(run, "id string, v array<double>")
+
+
+def mahalanobis_points(points: DataFrame) -> DataFrame:
+    """Points whose Euclidean distances are the Mahalanobis distances of ``points`` under their population covariance.
+
+    They are turned by the Cholesky factor of its inverse; where the covariance is singular, by its pseudo-inverse:
+    directions without variance don't count.
+    """
+    mean, cov = covariance(points)
+    if not len(mean):
+        return points
+    values, axes = np.linalg.eigh(cov)
+    if values.min() > 1e-12 * max(values.max(), 0.0):
+        turn = np.linalg.cholesky(np.linalg.inv(cov))
+    else:
+        some = values > 1e-12 * max(values.max(), 1e-300)
+        turn = axes * np.where(some, 1 / np.sqrt(np.where(some, values, 1)), 0)
+    return _mapped(points, turn)
+
+
+def in_metric(points: DataFrame, metric: str, weights: list[float] | None = None) -> tuple[DataFrame, str]:
+    """Points and the plain metric ("euclidean" or "manhattan") that measures ``metric`` between ``points``.
+
+    "manhattan" takes a weight of at least 0 for each dimension (default 1).
+    """
+    if metric == "mahalanobis":
+        return mahalanobis_points(points), "euclidean"
+    if metric == "manhattan":
+        if weights is None:
+            return points, metric
+        if min(weights) < 0:
+            raise ValueError("weights must not be negative")
+        return _mapped(points, np.diag(weights)), metric
+    if metric == "euclidean":
+        return points, metric
+    raise ValueError(f"unknown metric {metric!r}")
 
 
 @dataclass
@@ -59,10 +135,11 @@ class Cells:
     first_block: np.ndarray
     blocks: np.ndarray
     n: int
+    metric: str = "euclidean"
 
     def partners(self, reach: np.ndarray | float) -> dict[int, list[int]]:
         """Block numbers each cell must meet; ``reach`` may differ per cell."""
-        gap = distances(self.pivots, self.pivots) - self.radius[:, None] - self.radius[None, :]
+        gap = distances(self.pivots, self.pivots, self.metric) - self.radius[:, None] - self.radius[None, :]
         need = gap <= np.broadcast_to(np.asarray(reach, float)[..., None] if np.ndim(reach) else reach, gap.shape) * (1 + 1e-9) + 1e-9
         need |= need.T
         ids = [np.arange(f, f + b) for f, b in zip(self.first_block, self.blocks)]
@@ -80,7 +157,7 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return points.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVOTS, seed: int = 42) -> Cells:
+def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVOTS, seed: int = 42, metric: str = "euclidean") -> Cells:
     distinct = materialize(distinct_points(points), "points")
     n = distinct.count()
     k = int(min(max_pivots, max(1, n // (2 * block))))
@@ -91,7 +168,7 @@ def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVO
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            d = distances(stack(pdf["v"]), pivots)
+            d = distances(stack(pdf["v"]), pivots, metric)
             pdf["cell"] = d.argmin(1).astype("int32")
             pdf["dist"] = d.min(1)
             yield pdf
@@ -106,7 +183,7 @@ def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVO
     table = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(max(blocks[c], 1)))])
     start = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(first[c]))])
     blk = F.element_at(start, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(table, F.col("cell"))).cast("int")
-    return Cells(placed.withColumn("blk", blk.cast("int")).drop("dist"), pivots, radius, first, blocks, n)
+    return Cells(placed.withColumn("blk", blk.cast("int")).drop("dist"), pivots, radius, first, blocks, n, metric)
 
 
 def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:

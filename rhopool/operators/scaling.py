@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rhopool.functions import stats as S
 
-EXACT_LIMIT = 1_000_000
+DIGITS = (22, 21, 21)   # bits of a double that each pass of a quantile fixes
+HELD = 1 << 20          # counts gathered before they leave a task
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -50,64 +53,95 @@ def column_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     return {**{c: dict(empty) for c in cols}, **{r["c"]: r.asDict() for r in got}}
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    limit: int = EXACT_LIMIT, stats: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles, exact at any row count.
+def _keys(column: pa.Array) -> np.ndarray:
+    """The non-null values as unsigned integers of the same order (-0.0 as 0.0, nan last)."""
+    x = column.drop_null().to_numpy(zero_copy_only=False) + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
-    A quantile is pinned between two approximate quantiles, the slice between
-    them is counted, and the bracket is tightened until the slice is small
-    enough for the exact aggregate.  Each round is one mergeable aggregation;
-    only bracket ends and counts reach the driver.
+
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _histograms(cols: list[str], wanted: dict[str, list[int]] | None, width: int, shift: int):
+    """Counts of the next ``width`` bits below the wanted prefixes of each column: rows (c, prefix, digit, n)."""
+
+    def run(batches):
+        held: dict[str, list] = {c: [] for c in cols}
+        size = 0
+
+        def flush():
+            for c, parts in held.items():
+                if parts:
+                    keys, n = (np.concatenate(x) for x in zip(*parts))
+                    found, which = np.unique(keys, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([c] * len(found), pa.string()), pa.array((found >> np.uint64(width)).astype(np.int64)),
+                        pa.array((found & np.uint64((1 << width) - 1)).astype(np.int64)), pa.array(np.bincount(which, n, len(found)).astype(np.int64))], ["c", "prefix", "digit", "n"])
+                    parts.clear()
+
+        for batch in batches:
+            for c in cols:
+                keys = _keys(batch.column(c)) >> np.uint64(shift)
+                if wanted is not None:
+                    keys = keys[np.isin(keys >> np.uint64(width), np.array(wanted.get(c, []), np.uint64))]
+                if len(keys):
+                    held[c].append(np.unique(keys, return_counts=True))
+                    size += len(held[c][-1][0])
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], stats: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles, exact at any row count and alike at every size; nan counts as the largest value.
+
+    Doubles are read as integers of the same order. A pass counts, for all columns and probabilities together, the next
+    bits of the values that share the higher bits found so far with a wanted order statistic; three passes fix all 64.
+    Tasks emit counts; the driver gets one row for each wanted order statistic. The number of jobs depends on neither
+    columns nor probabilities.
     """
     if not cols:
         return {}
     counts = {c: s["n"] for c, s in (stats or column_stats(df, cols)).items()}
+    full = [c for c in cols if counts[c]]
+    # Both neighbours of each position: (column, prefix so far, rank among the values with that prefix) -> what asks for it.
+    asked = {(c, int(p * (counts[c] - 1)) + k) for c in full for p in probs for k in (0, 1)}
+    state = {(c, min(k, counts[c] - 1)): (0, min(k, counts[c] - 1)) for c, k in asked}
+    wide, left = df.select(*[F.col(c).cast("double").alias(c) for c in full]), 64
+    for width in DIGITS:
+        if not full:
+            break
+        left -= width
+        wanted: dict[str, list[int]] = {}
+        for (c, _), (prefix, _) in state.items():
+            wanted.setdefault(c, []).append(prefix)
+        wanted = {c: sorted(set(p)) for c, p in wanted.items()}
+        ranks = sorted({(c, prefix, rank) for (c, _), (prefix, rank) in state.items()})
+        found = wide.mapInArrow(_histograms(full, None if left + width == 64 else wanted, width, left), "c string, prefix bigint, digit bigint, n bigint")
+        found = found.groupBy("c", "prefix", "digit").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("c", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        table = df.sparkSession.createDataFrame(ranks, "c string, prefix bigint, rank bigint")
+        hit = (found.withColumn("upto", upto).join(table, ["c", "prefix"]).where("rank < upto and rank >= upto - n")
+               .select("c", "prefix", "rank", "digit", (F.col("upto") - F.col("n")).alias("before")).collect())
+        at = {(r["c"], r["prefix"], r["rank"]): (r["prefix"] << width | r["digit"], r["rank"] - r["before"]) for r in hit}
+        state = {(c, k): at[(c, prefix, rank)] for (c, k), (prefix, rank) in state.items()}
+    value = {ck: _value(prefix) for ck, (prefix, _) in state.items()}
     out: dict[str, list] = {c: [None] * len(probs) for c in cols}
-    small = [c for c in cols if 0 < counts[c] <= limit]
-    if small:
-        long = df.select(*[F.col(c).cast("double").alias(c) for c in small]).unpivot([], small, "c", "x")
-        for row in long.groupBy("c").agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect():
-            out[row["c"]] = list(row["q"])
-    for c in cols:
-        if counts[c] > limit:
-            for i, p in enumerate(probs):
-                pos = p * (counts[c] - 1)
-                lo = int(pos)
-                a = _order_statistic(df, c, lo, counts[c], limit)
-                b = a if pos == lo else _order_statistic(df, c, lo + 1, counts[c], limit)
-                out[c][i] = a + (pos - lo) * (b - a)
+    for c in full:
+        for i, p in enumerate(probs):
+            pos = p * (counts[c] - 1)
+            a, b = value[c, int(pos)], value[c, min(int(pos) + 1, counts[c] - 1)]
+            out[c][i] = a if pos == int(pos) or a == b else a + (pos - int(pos)) * (b - a)
     return out
 
 
-def _order_statistic(df: DataFrame, col: str, k: int, n: int, limit: int) -> float:
-    """The k-th smallest value (0-based) of a non-null column with n values."""
-    x = F.col(col).cast("double")
-    rows, below, size = df.where(F.col(col).isNotNull()).select(x.alias("x")), 0, n
-    while size > limit:
-        frac = (k - below) / max(size - 1, 1)
-        ends = [max(0.0, frac - 1e-3), min(1.0, frac + 1e-3)]
-        lo, hi = rows.agg(F.percentile_approx("x", F.array(*map(F.lit, ends)), 10_000).alias("q")).first()["q"]
-        less, inside = rows.agg(F.count_if(F.col("x") < lo), F.count_if((F.col("x") >= lo) & (F.col("x") <= hi))).first()
-        if lo == hi and less <= k - below < less + inside:
-            return float(lo)
-        if k - below < less:
-            rows, size = rows.where(F.col("x") < lo), less
-        elif k - below >= less + inside:
-            rows, below, size = rows.where(F.col("x") > hi), below + less + inside, size - less - inside
-        elif inside == size:
-            # Bracket spans everything: halve on the midpoint instead.
-            mid = lo + (hi - lo) / 2.0
-            left = rows.agg(F.count_if(F.col("x") <= mid)).first()[0]
-            if k - below < left:
-                rows, size = rows.where(F.col("x") <= mid), left
-            else:
-                rows, below, size = rows.where(F.col("x") > mid), below + left, size - left
-        else:
-            rows, below, size = rows.where((F.col("x") >= lo) & (F.col("x") <= hi)), below + less, inside
-    frac = (k - below) / max(size - 1, 1)
-    return float(rows.agg(F.percentile("x", F.lit(frac))).first()[0])
-
-
 def fill_median(df: DataFrame, cols: list[str], stats: dict[str, dict] | None = None) -> DataFrame:
     """Replace NULLs by the exact column median; all-null columns stay null.
 

@@ -12,6 +12,7 @@ from rhopool.operators import forest as FO
 from rhopool.operators import mixture as MX
 from rhopool.operators import neighbours as N
 from rhopool.operators import recommend as RC
+from rhopool.operators import ranking as RK
 from rhopool.operators import reports as R
 from rhopool.operators.points import to_points
 from rhopool.operators.scaling import fill_zero, numeric_columns, standard_scale
@@ -57,9 +58,9 @@ def local_outlier_factor(spark, sf):
     return rounded(N.local_outlier_factor(embedding_points(spark, sf), 20))
 
 
-def _dbscan_sql(points: str, eps: str, min_samples: int) -> str:
+def _dbscan_sql(points: str, eps: str, min_samples: int, distance: str = "list_distance(a.v, b.v)") -> str:
     return f"""
-nb AS (SELECT a.id AS p, b.id AS o FROM {points} a JOIN {points} b ON list_distance(a.v, b.v) <= {eps}),
+nb AS (SELECT a.id AS p, b.id AS o FROM {points} a JOIN {points} b ON {distance} <= {eps}),
 core AS (SELECT p FROM nb GROUP BY p HAVING count(*) >= {min_samples}),
 ce AS (SELECT p, o FROM nb WHERE p IN (SELECT p FROM core) AND o IN (SELECT p FROM core)),
 reach AS (SELECT p, o FROM ce UNION SELECT reach.p, ce.o FROM reach JOIN ce ON reach.o = ce.p),
@@ -87,6 +88,71 @@ def dbscan_euclidean(spark, sf):
     return D.dbscan(to_points(p, ["a", "b"], "p_partkey"), 0.5, 8)
 
 
+def _part_points(spark, sf):
+    p = X.table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("a"), (F.col("p_retailprice") / 20.0).alias("b"))
+    return to_points(p, ["a", "b"], "p_partkey")
+
+
+_LABELLED = """SELECT ev.id, CAST(coalesce(c, -1) AS INTEGER) AS cluster_label, ev.id IN (SELECT p FROM core) AS is_core
+FROM ev LEFT JOIN lab ON lab.p = ev.id LEFT JOIN num USING (label)"""
+
+
+@query("dbscan_manhattan", "WITH RECURSIVE " + _EV + "," + _dbscan_sql("ev", "0.4", 6, "0.5 * abs(a.v[1] - b.v[1]) + 2 * abs(a.v[2] - b.v[2])") + _LABELLED)
+def dbscan_manhattan(spark, sf):
+    return D.dbscan(_part_points(spark, sf), 0.4, 6, "manhattan", weights=[0.5, 2.0])
+
+
+_COV = """ev AS (SELECT CAST(p_partkey AS VARCHAR) AS id, [p_size / 10.0, p_retailprice / 20.0] AS v FROM part),
+cv AS (SELECT var_pop(v[1]) AS s, var_pop(v[2]) AS t, covar_pop(v[1], v[2]) AS u FROM ev)"""
+_MAHALANOBIS = """(SELECT sqrt((t * (a.v[1] - b.v[1]) ** 2 - 2 * u * (a.v[1] - b.v[1]) * (a.v[2] - b.v[2]) + s * (a.v[2] - b.v[2]) ** 2) / (s * t - u * u)) FROM cv)"""
+
+
+@query("dbscan_mahalanobis", "WITH RECURSIVE " + _COV + "," + _dbscan_sql("ev", "0.1201", 6, _MAHALANOBIS) + _LABELLED)
+def dbscan_mahalanobis(spark, sf):
+    return D.dbscan(_part_points(spark, sf), 0.1201, 6, "mahalanobis")
+
+
+@query("outlier_factor_manhattan", Q.with_(_EMB + """,
+pr AS (SELECT a.id AS p, b.id AS o, list_sum([abs(a.v[i] - b.v[i]) / i FOR i IN range(1, 65)]) AS d FROM pt a JOIN pt b ON a.id <> b.id),
+nn AS (SELECT p, o, d FROM pr QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, o) <= 20),
+kd AS (SELECT p, max(d) AS kd FROM nn GROUP BY 1),
+lr AS (SELECT nn.p, 1 / (avg(greatest(kd.kd, nn.d)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.p = nn.o GROUP BY 1)""",
+    f"SELECT nn.p AS id, {r('avg(o.lrd) / any_value(s.lrd)', 'lof')} FROM nn JOIN lr o ON o.p = nn.o JOIN lr s ON s.p = nn.p GROUP BY nn.p"))
+def outlier_factor_manhattan(spark, sf):
+    return rounded(N.local_outlier_factor(embedding_points(spark, sf), 20, metric="manhattan", weights=[1 / i for i in range(1, 65)]))
+
+
+_RANKED = "o AS (SELECT o_orderkey AS k, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS a, round(o_totalprice / 500) AS b, o_totalprice AS s, o_orderpriority AS p FROM orders)"
+
+
+def _ranked_orders(spark, sf):
+    return X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.datediff("o_orderdate", F.lit("1990-01-01")).alias("a"), F.round(F.col("o_totalprice") / 500).alias("b"),
+                                               F.col("o_totalprice").alias("s"), F.col("o_orderpriority").alias("p"))
+
+
+@query("kendall_tau", Q.with_(_RANKED + """,
+g AS (SELECT a, b, count(*) AS w FROM o GROUP BY 1, 2),
+t AS (SELECT sum(x.w * y.w) FILTER ((x.a < y.a AND x.b < y.b)) AS c, sum(x.w * y.w) FILTER (x.a < y.a AND x.b > y.b) AS d FROM g x JOIN g y ON x.a < y.a),
+n AS (SELECT count(*)::BIGINT AS n FROM o), ta AS (SELECT sum(m * (m - 1) // 2) AS v FROM (SELECT count(*) AS m FROM o GROUP BY a)),
+tb AS (SELECT sum(m * (m - 1) // 2) AS v FROM (SELECT count(*) AS m FROM o GROUP BY b)), tc AS (SELECT sum(w * (w - 1) // 2) AS v FROM g)""",
+    f"""SELECT n, c::DOUBLE AS concordant, d::DOUBLE AS discordant, ta.v::DOUBLE AS ties_a, tb.v::DOUBLE AS ties_b, tc.v::DOUBLE AS ties_both,
+  {r("(c - d) / (sqrt(n * (n - 1) / 2 - ta.v) * sqrt(n * (n - 1) / 2 - tb.v))", "tau_b")} FROM t, n, ta, tb, tc"""))
+def kendall_tau(spark, sf):
+    return rounded(RK.kendall_tau(_ranked_orders(spark, sf), "a", "b", range_rows=4000))
+
+
+@query("ranking_quality", Q.with_(_RANKED + """, q AS (SELECT *, row_number() OVER (ORDER BY s DESC, k) AS i, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
+  rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM o)""",
+    f"""SELECT 'precision@' || n AS metric, {r("(SELECT avg(CASE WHEN p = '1-URGENT' THEN 1.0 ELSE 0 END) FROM q WHERE i <= n)", "value")} FROM (VALUES (10), (100), (1000)) v(n)
+UNION ALL SELECT 'reciprocal rank', {r("1.0 / min(i)", "value")} FROM q WHERE k % 997 = 3 UNION ALL SELECT 'rank correlation', {r("corr(ra, rb)", "value")} FROM q"""))
+def ranking_quality(spark, sf):
+    o = _ranked_orders(spark, sf)
+    p = RK.precision_at(o, "s", F.col("p") == "1-URGENT", [10, 100, 1000], "k").select(F.concat(F.lit("precision@"), "k").alias("metric"), F.col("precision").alias("value"))
+    first = RK.reciprocal_rank(o, "s", F.col("k") % 997 == 3, "k").select(F.lit("reciprocal rank").alias("metric"), F.col("reciprocal_rank").alias("value"))
+    rho = RK.rank_correlation(o, "a", "b").select(F.lit("rank correlation").alias("metric"), F.col("rank_correlation").alias("value"))
+    return rounded(p.unionByName(first).unionByName(rho))
+
+
 @query("kmeans_distance")
 def kmeans_distance(spark, sf):
     return rounded(MX.kmeans_distance(embedding_points(spark, sf)))
@@ -165,6 +231,13 @@ def ensemble_consensus_two(spark, sf):
     return CO.consensus(_label_rows(spark, sf), ["a", "c", "g"], 2).select("vec_id", "is_high_confidence")
 
 
+@query("consensus_distribution", Q.with_(_LAB + """, m AS (SELECT CASE WHEN x.vec_id = y.vec_id THEN 0 ELSE CASE WHEN x.a = y.a AND x.a <> -1 THEN 1 ELSE 0 END
+  + CASE WHEN x.c = y.c AND x.c <> -1 THEN 1 ELSE 0 END + CASE WHEN x.g = y.g AND x.g <> -1 THEN 1 ELSE 0 END END AS k FROM lb x, lb y)""",
+    "SELECT CAST(v.k AS INTEGER) AS agreement, CAST(count(m.k) AS DOUBLE) AS cells FROM (VALUES (0), (1), (2), (3)) v(k) LEFT JOIN m ON m.k = v.k GROUP BY v.k"))
+def consensus_distribution(spark, sf):
+    return rounded(CO.consensus_distribution(_label_rows(spark, sf), ["a", "c", "g"]))
+
+
 @query("consensus_mean", Q.with_(_LAB, f"""SELECT {r('(SELECT sum((CASE WHEN x.a = y.a AND x.a <> -1 THEN 1 ELSE 0 END + CASE WHEN x.c = y.c AND x.c <> -1 THEN 1 ELSE 0 END + CASE WHEN x.g = y.g AND x.g <> -1 THEN 1 ELSE 0 END) / 3.0) FROM lb x, lb y WHERE x.vec_id <> y.vec_id) / ((SELECT count(*) FROM lb) * (SELECT count(*) FROM lb))', 'mean_consensus')}"""))
 def consensus_mean(spark, sf):
     return rounded(CO.consensus_summary(_label_rows(spark, sf), ["a", "c", "g"]))

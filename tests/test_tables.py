@@ -15,14 +15,36 @@ from rhopool.sources import files as FI
 from rhopool.sources import tables as TB
 
 
-@pytest.mark.parametrize("limit", [50, 10**6])
-def test_exact_quantiles(spark, limit):
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.lognormal(0, 2, 700), np.full(400, 1.0), -rng.uniform(0, 1e9, 5)])
-    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = SC.exact_quantiles(df, ["x"], probs, limit=limit)["x"]
-    assert got == pytest.approx(np.quantile(x, probs).tolist())
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_exact_quantiles(spark, held, monkeypatch):
+    monkeypatch.setattr(SC, "HELD", held)
+    rng = np.random.default_rng(5)
+    cols = {"x": np.round(rng.normal(size=5000), 3), "tie": rng.choice([1.0, 2.0, 2.0, 2.0, 7.0], 5000), "wide": rng.normal(size=5000) * 10.0 ** rng.integers(-300, 300, 5000),
+            "sign": rng.choice([-0.0, 0.0, -5e-324, 5e-324, np.inf, -np.inf], 5000), "gap": np.where(rng.random(5000) < 0.4, None, rng.random(5000)), "one": [3.5] + [None] * 4999, "none": [None] * 5000}
+    rows = list(zip(*[[None if v is None else float(v) for v in c] for c in cols.values()]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.731, 1.0]
+    got = SC.exact_quantiles(df, list(cols), probs)
+    for c, values in cols.items():
+        x = np.sort(np.array([v for v in values if v is not None], float))
+        if not len(x):
+            assert got[c] == [None] * len(probs)
+            continue
+        for p, g in zip(probs, got[c]):
+            pos = p * (len(x) - 1)
+            a, b = x[int(pos)], x[min(int(pos) + 1, len(x) - 1)]
+            assert g == pytest.approx(a if a == b or pos == int(pos) else a + (pos - int(pos)) * (b - a), rel=1e-12), (c, p)
+
+
+def test_quantiles_take_as_many_jobs_for_many_columns(spark):
+    df = spark.range(300).select(*[(F.col("id") * k).cast("double").alias(f"c{k}") for k in range(1, 9)])
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for cols in (["c1"], df.columns):
+        spark.sparkContext.setJobGroup(f"quantiles-{len(cols)}", "")
+        got = SC.exact_quantiles(df, cols, [0.1, 0.5, 0.9], stats={c: {"n": 300} for c in cols})
+        jobs.append(len(tracker.getJobIdsForGroup(f"quantiles-{len(cols)}")))
+        assert got[cols[-1]][1] == 149.5 * int(cols[-1][1:])
+    assert jobs[0] == jobs[1] > 0
 
 
 def test_aliases_and_required(spark):
