@@ -19,6 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rhopool.llm.filters import Filter
+from rhopool.llm.packing import from_planes as _from_planes
+from rhopool.llm.packing import loosen, squeeze
+from rhopool.llm.packing import planes as _planes
 from rhopool.llm.store import store
 from rhopool.llm.words import LOWER, chain, mix, span_hashes, text_blocks, word_table
 
@@ -28,7 +32,6 @@ TOP = 2000            # phrases of each language
 BUDGET = 1 << 20      # occurrences of suffixes in a group, about
 CHUNK = 1 << 21       # words gathered before their suffixes leave a task
 CELLS = (10, 20)      # least and most bits of the histograms of prefixes
-FILTER = (16, 29)     # least and most bits of the filters of frequent words and pairs (64 MiB); a full one only prunes less
 PAIR_BITS = 32        # of the hash that pairs are counted by, at most
 RANGE = 1 << 22       # pairs counted together, about
 SALTS = 64
@@ -83,30 +86,6 @@ def _word_counts(batches):
         yield merged()
 
 
-@dataclass
-class Filter:
-    """Set bits at the low bits of 64-bit keys; no bits let everything through."""
-
-    ones: np.ndarray | None = None
-    bits: int = 0
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if self.ones is None:
-            return np.ones(len(keys), bool)
-        slot = keys & np.uint64((1 << self.bits) - 1)
-        return (self.ones[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
-
-    @staticmethod
-    def of(keys: DataFrame, n: int) -> Filter:
-        """From the column ``key`` of n rows; words of 64 bits are put together by Spark, so at most 2**bits / 64 rows arrive."""
-        bits = int(np.clip(np.ceil(np.log2(16 * max(n, 1))), *FILTER))
-        slot = F.col("key").bitwiseAND((1 << bits) - 1)
-        got = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("ones")).toArrow()
-        out = np.zeros((1 << bits) >> 6, np.uint64)
-        out[got.column("at").to_numpy()] = got.column("ones").to_numpy().view(np.uint64)
-        return Filter(out, bits)
-
-
 @dataclass
 class Division:
     """What tasks need to cut and route suffixes: the filters of frequent words and pairs, the heavy cells of each depth, the group of each cell."""
@@ -217,23 +196,6 @@ def _histogram(shared, depth):
     return run
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that small numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def loosen(raw: bytes) -> bytes:
-    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
-
-
 def pack(rows: np.ndarray, n: np.ndarray):
     """Distinct words of sorted suffixes, each suffix as places among them, and the counts; compressed."""
     words, place = np.unique(rows, return_inverse=True)
