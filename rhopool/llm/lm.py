@@ -2,9 +2,9 @@
 
 Spark counts the n-grams of all training texts. An n-gram of count c enters the filter at levels 1 to q(c), where q is
 logarithmic; probing level after level until one is missing gives the quantised count back. The filter is cut into
-blocks that are built where their n-grams meet; it grows with the n-grams, and every count enters. Up to a bound of
-bytes it is broadcast. A larger one stays cut by ranges of hashes: the n-grams of the scored texts are sent to their
-range, probed there, and their levels sent back. Both ways probe the same bits and give the same scores.
+blocks that are built where their n-grams meet; it grows with the n-grams, and every count enters. It stays cut by
+ranges of hashes: the n-grams of the scored texts are sent to their range, probed there, and their levels sent back.
+A caller who knows that it is small may have it broadcast; both ways probe the same bits and give the same scores.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rhopool.llm.packing import pack, unpack
 from rhopool.llm.store import store
 from rhopool.llm.words import chain, mix, per_text, span_hashes, text_blocks, word_table
 
@@ -24,7 +25,7 @@ BASE = 1.5           # ratio of neighbouring levels
 PROBES = 4           # bits of an entry
 FILL = 0.3           # share of bits set, at most about
 BLOCK_BITS = 16
-MAX_BITS = 1 << 29   # 64 MiB, the bound of what is broadcast; a larger filter is probed in shards
+IDENTITY = ~np.uint64(0xFFFF)  # the bits of its hash that an n-gram of the filter is known by: 48
 SHARD_BITS = 1 << 23  # 1 MiB of the filter, at most about, are probed at once
 STREAM = 1 << 21     # tokens, at least, whose distinct n-grams are sent to the shards together, but for the last of a task
 SHARE = 64           # one bigram in so many is counted beforehand, to size the filter
@@ -92,28 +93,18 @@ def _count(batches):
         yield _rows(2, *two)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that small numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _grams(ranges):
     """Uni- and bigrams of each chunk, packed: a row for each range of hashes, with key differences and counts."""
     shift = np.uint64(64 - int(ranges).bit_length() + 1)
 
     def run(batches):
-        for one, two in _chunks(batches, lambda h: h, pairs):
+        for one, two in _chunks(batches, lambda h: h & IDENTITY, lambda h: pairs(h) & IDENTITY):
             keys, n = _merged([one, two])
             at = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64)) if ranges > 1 else np.array([0, len(keys)])
             some = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays([
-                pa.array(some), pa.array([_planes(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary()),
-                pa.array([_planes(n[at[r]:at[r + 1]].astype(np.uint32)) for r in some], pa.binary())], ["range", "keys", "counts"])
+                pa.array(some), pa.array([pack(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary()),
+                pa.array([pack(n[at[r]:at[r + 1]].astype(np.uint32)) for r in some], pa.binary())], ["range", "keys", "counts"])
 
     return run
 
@@ -122,7 +113,7 @@ def _places(keys: np.ndarray, q, blocks: int):
     """Byte at which the key's line of 64 bytes starts, and the bits of every probe in it: rows of PROBES."""
     shift = np.uint64(64 - int(blocks).bit_length() + 1)
     block = keys >> shift if blocks > 1 else np.zeros(len(keys), np.uint64)
-    line = (block << np.uint64(BLOCK_BITS - 3)) + ((keys & np.uint64((1 << (BLOCK_BITS - 9)) - 1)) << np.uint64(6))
+    line = (block << np.uint64(BLOCK_BITS - 3)) + (((keys >> np.uint64(16)) & np.uint64((1 << (BLOCK_BITS - 9)) - 1)) << np.uint64(6))
     return line.astype(np.int64), mix(keys + np.asarray(q, np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
@@ -163,7 +154,7 @@ def _build(blocks, ranges, fine, least):
                         if number is not None:
                             yield done(number, bits)
                         number, bits = here // (fine // ranges), np.zeros(each, np.uint8)
-                parts.append((np.cumsum(_from_planes(keys, np.uint64), dtype=np.uint64), _from_planes(n, np.uint32)))
+                parts.append((np.cumsum(unpack(keys, np.uint64), dtype=np.uint64), unpack(n, np.uint32)))
         if parts:
             put(bits, number, parts)
             yield done(number, bits)
@@ -199,18 +190,14 @@ class Model:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts from the broadcast filter."""
-        return VALUE[_levels(self.bits, self.blocks, keys)]
-
-    def log_probability(self, h: np.ndarray, count=None) -> np.ndarray:
-        """log10 P(token | token before), for tokens with an end after each text; ``count`` gives estimated counts."""
-        count = count or self.count
-        word, which = np.unique(h, return_inverse=True)
-        c = count(word)[which]
-        before = np.concatenate([count(np.array([END])), c[:-1]])
+        return VALUE[_levels(self.bits, self.blocks, keys & IDENTITY)]
+
+    def log_probability(self, c: np.ndarray, both: np.ndarray, end: float) -> np.ndarray:
+        """log10 P(token | token before) from estimated counts of each token, of the bigram that ends there, and of an end."""
+        before = np.concatenate([[end], c[:-1]])
         one = (c + 1) / (self.total + self.distinct + 1)
-        both = np.minimum(count(pairs(h)), np.minimum(before, c))
         prior = PRIOR * (before + 1) ** POWER
-        return np.log10((both + prior * one) / (before + prior))
+        return np.log10((np.minimum(both, np.minimum(before, c)) + prior * one) / (before + prior))
 
 
 @dataclass
@@ -226,10 +213,10 @@ class Fitted:
         return iter((self.shared, self.words))
 
 
-def fit(train: DataFrame, max_bits: int | None = None, head: int = HEAD, broadcast_bits: int = MAX_BITS) -> Fitted:
+def fit(train: DataFrame, max_bits: int | None = None, head: int = HEAD, broadcast_bits: int = 0) -> Fitted:
     """The model of ``train(text)``; unpacked it gives the model and the stored exact unigram counts (key, n).
 
-    A filter above ``broadcast_bits`` is kept in shards. Every n-gram enters, unless the caller bounds the filter by
+    A filter of up to ``broadcast_bits`` is broadcast, a larger one is kept in shards. Every n-gram enters, unless the caller bounds the filter by
     ``max_bits``: then the least count that enters is raised. Null texts are empty texts. An empty table gives a model of
     0 tokens.
     """
@@ -253,7 +240,7 @@ def fit(train: DataFrame, max_bits: int | None = None, head: int = HEAD, broadca
     fine = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * int(total) / RANGE_KEYS)))))
     ranges = min(blocks, max(fine, bits // SHARD_BITS) if bits > broadcast_bits else fine)
     fine = max(fine, ranges)
-    made = (train.mapInArrow(_grams(fine), "range bigint, keys binary, counts binary").repartition((F.col("range") / (fine // ranges)).cast("bigint"))
+    made = (train.mapInArrow(_grams(fine), "range bigint, keys binary, counts binary").repartition(ranges, (F.col("range") / (fine // ranges)).cast("bigint"))
             .sortWithinPartitions("range").mapInArrow(_build(blocks, ranges, fine, least), "range bigint, bits binary"))
     parts, filled = None, np.zeros((1, 0), np.uint8)
     if bits > broadcast_bits:
@@ -263,33 +250,45 @@ def fit(train: DataFrame, max_bits: int | None = None, head: int = HEAD, broadca
         filled = np.zeros((ranges, bits // 8 // ranges), np.uint8)
         for number, raw in zip(made.column("range").to_pylist(), made.column("bits")):
             filled[number] = np.frombuffer(raw.as_buffer(), np.uint8)
-    top = words.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    # The words of the highest levels, as many whole levels as fit.
+    kept, least_level = 0, _top
+    for r in sorted((r for r in seen if r.order == 1), key=lambda r: -r.q):
+        if kept + r.grams > head:
+            break
+        kept, least_level = kept + r.grams, r.q
+    top = words.where(step >= least_level).toArrow()
     keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     model = Model(filled.ravel(), blocks, least, int(total), int(distinct), keys[order], n[order])
     return Fitted(spark.sparkContext.broadcast(model), words, parts, ranges)
 
 
-def _scored(m: Model, row, doc_id, h, at, count=None) -> pa.RecordBatch:
-    """Texts of the tokens ``h`` from each of ``at`` to the next: their scores, and the words that have no count in the task."""
+def _scored(m: Model, row, doc_id, words, place, at, word_counts, pair_counts) -> pa.RecordBatch:
+    """Texts of the tokens ``words[place]`` from each of ``at`` to the next: their scores, and the words that have no count in the task."""
     one = np.log10(m.total + m.distinct + 1)
-    score = np.add.reduceat(m.log_probability(h, count), at[:-1])
-    spot = np.searchsorted(m.head_keys, h).clip(max=max(len(m.head_keys) - 1, 0))
-    known = (m.head_keys[spot] == h) if len(m.head_keys) else np.zeros(len(h), bool)
-    n = np.where(known, m.head_counts[spot], 0) if len(m.head_keys) else np.zeros(len(h), np.int64)
-    base = np.add.reduceat(np.where(known, np.log10(n + 1), 0.0) - one, at[:-1])
+    end = word_counts[words == END]
+    score = np.add.reduceat(m.log_probability(word_counts[place], pair_counts, float(end[0]) if len(end) else 0.0), at[:-1])
+    spot = np.searchsorted(m.head_keys, words).clip(max=max(len(m.head_keys) - 1, 0))
+    known = (m.head_keys[spot] == words) if len(m.head_keys) else np.zeros(len(words), bool)
+    n = np.where(known, m.head_counts[spot], 0) if len(m.head_keys) else np.zeros(len(words), np.int64)
+    base = np.add.reduceat((np.where(known, np.log10(n + 1), 0.0) - one)[place], at[:-1])
+    known = known[place]
     rest = np.flatnonzero(~known)
     stops = np.searchsorted(rest, at).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [row, doc_id, pa.array(np.diff(at)), pa.array(np.add.reduceat(known.astype(np.int64), at[:-1])), pa.array(base), pa.array(score),
-         pa.ListArray.from_arrays(pa.array(stops), pa.array(h[rest].view(np.int64)))],
+         pa.ListArray.from_arrays(pa.array(stops), pa.array(words[place[rest]].view(np.int64)))],
         ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
 
 
 def _score(shared):
     def run(batches):
+        m = shared.value
         for rows, data, offsets in text_blocks(batches):
-            yield _scored(shared.value, rows.column("row"), rows.column("doc_id"), *tokens(data, offsets))
+            h, at = tokens(data, offsets)
+            words, place = np.unique(h, return_inverse=True)
+            two, which = np.unique(pairs(h), return_inverse=True)
+            yield _scored(m, rows.column("row"), rows.column("doc_id"), words, place, at, m.count(words), m.count(two)[which])
 
     return run
 
@@ -298,15 +297,18 @@ _STREAM = "chunk bigint, row array<bigint>, doc_id array<bigint>, sizes binary,
 
 
 def _streams(batches):
-    """The tokens of about STREAM at a time as one row: the ids and sizes of the texts, distinct words, and each token's place among them."""
+    """The tokens of about STREAM at a time as one row: the ids and sizes of the texts, distinct words from the most frequent on, and each token's place among them."""
     held, size = [], 0
 
     def made():
         row, ids, h, sizes = zip(*held)
-        words, places = np.unique(np.concatenate(h), return_inverse=True)
+        words, places, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         row, ids = pa.concat_arrays(row), pa.concat_arrays(ids)
         of = pa.array([0, len(row)], pa.int32())
-        packed = (_planes(np.concatenate(sizes).astype(np.int64)), _planes(np.diff(words, prepend=np.uint64(0))), _planes(places.astype(np.uint32)))
+        packed = (pack(np.concatenate(sizes).astype(np.int64)), pack(words[order]), pack(rank[places]))
         return pa.RecordBatch.from_arrays([row[:1], pa.ListArray.from_arrays(of, row), pa.ListArray.from_arrays(of, ids), *(pa.array([x], pa.binary()) for x in packed)],
                                           [x.split()[0] for x in _STREAM.split(", ")])
 
@@ -321,11 +323,9 @@ def _streams(batches):
         yield made()
 
 
-def _tokens_of(words: bytes, places: bytes):
-    """The tokens of a stream, and its sorted distinct uni- and bigrams."""
-    words = np.cumsum(_from_planes(words, np.uint64), dtype=np.uint64)
-    h = words[_from_planes(places, np.uint32)]
-    return h, np.unique(np.concatenate([words, pairs(h)]))
+def _asked(words: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The sorted distinct uni- and bigrams of a stream."""
+    return np.unique(np.concatenate([words & IDENTITY, two]))
 
 
 def _requests(shards):
@@ -335,12 +335,13 @@ def _requests(shards):
     def run(batches):
         for rows in batches:
             for chunk, words, places in zip(*(rows.column(c).to_pylist() for c in ("chunk", "words", "places"))):
-                _, keys = _tokens_of(words, places)
+                words = unpack(words, np.uint64)
+                keys = _asked(words, np.unique(pairs(words[unpack(places, np.uint32)]) & IDENTITY))
                 at = np.searchsorted(keys >> shift, np.arange(shards + 1, dtype=np.uint64)) if shards > 1 else np.array([0, len(keys)])
                 some = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some), pa.array(np.ones(len(some), np.int32)), pa.array(np.full(len(some), chunk, np.int64)),
-                     pa.array([_planes(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary())], ["shard", "kind", "number", "raw"])
+                     pa.array([pack(np.diff(keys[at[r]:at[r + 1]], prepend=np.uint64(0))) for r in some], pa.binary())], ["shard", "kind", "number", "raw"])
 
     return run
 
@@ -361,8 +362,8 @@ def _answers(shards, ranges, blocks):
                 if kind == 0:
                     bits[number * part - begin:(number + 1) * part - begin] = np.frombuffer(raw, np.uint8)
                 else:
-                    keys = np.cumsum(_from_planes(raw, np.uint64), dtype=np.uint64)
-                    out.append((number, shard, _levels(bits, blocks, keys, begin).astype(np.uint8).tobytes()))
+                    keys = np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
+                    out.append((number, shard, pack(_levels(bits, blocks, keys, begin).astype(np.uint8))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "shard", "levels"])
 
@@ -373,10 +374,13 @@ def _score_streams(shared):
     """The scores of each stream from its levels, which follow it by shard."""
 
     def done(stream, levels):
-        h, keys = _tokens_of(stream["words"], stream["places"])
-        q = np.frombuffer(b"".join(levels), np.uint8)
-        at = np.concatenate([[0], np.cumsum(_from_planes(stream["sizes"], np.int64))])
-        return _scored(shared.value, pa.array(stream["row"], pa.int64()), pa.array(stream["doc_id"], pa.int64()), h, at, lambda x: VALUE[q[np.searchsorted(keys, x)]])
+        words, place = unpack(stream["words"], np.uint64), unpack(stream["places"], np.uint32)
+        two, which = np.unique(pairs(words[place]) & IDENTITY, return_inverse=True)
+        keys = _asked(words, two)
+        count = VALUE[np.concatenate([unpack(x, np.uint8) for x in levels])]
+        at = np.concatenate([[0], np.cumsum(unpack(stream["sizes"], np.int64))])
+        return _scored(shared.value, pa.array(stream["row"], pa.int64()), pa.array(stream["doc_id"], pa.int64()), words, place, at,
+                       count[np.searchsorted(keys, words & IDENTITY)], count[np.searchsorted(keys, two)][which])
 
     def run(batches):
         stream, levels = None, []
@@ -404,10 +408,10 @@ def _score_in_shards(docs: DataFrame, fitted: Fitted) -> DataFrame:
     streams = store(docs.mapInArrow(_streams, _STREAM), "streams")
     parts = fitted.parts.select((F.col("range") / (ranges // shards)).cast("bigint").alias("shard"), F.lit(0).alias("kind"), F.col("range").alias("number"), F.col("bits").alias("raw"))
     asked = streams.select("chunk", "words", "places").mapInArrow(_requests(shards), "shard bigint, kind int, number bigint, raw binary")
-    answers = (parts.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "number")
+    answers = (parts.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "number")
                .mapInArrow(_answers(shards, ranges, blocks), "chunk bigint, shard bigint, levels binary"))
     return (streams.withColumn("shard", F.lit(-1).cast("bigint")).unionByName(answers, allowMissingColumns=True)
-            .repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_score_streams(fitted.shared), _SCORED))
+            .repartition(max(1, streams.count()), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_score_streams(fitted.shared), _SCORED))
 
 
 def score(docs: DataFrame, fitted) -> DataFrame:

@@ -40,7 +40,7 @@ def test_base_is_exact_and_the_model_is_a_good_one(spark, head):
 
 def test_counts_come_back_within_their_level(spark):
     df = spark.createDataFrame([(k, " ".join([f"x{k}"] * (k + 1)), None, None, None) for k in range(60)], SCHEMA)
-    shared, words = lm.fit(df)
+    shared, words = lm.fit(df, broadcast_bits=1 << 29)
     exact = {r.key: r.n for r in words.collect()}
     keys = np.array(list(exact), np.int64).view(np.uint64)
     estimate = shared.value.count(keys)
@@ -51,7 +51,7 @@ def test_counts_come_back_within_their_level(spark):
 
 def test_a_small_filter_raises_the_least_count_and_stays_in_its_bound(spark):
     df = spark.createDataFrame([(k, " ".join(f"a{k}b{j}" for j in range(400)), None, None, None) for k in range(100)], SCHEMA)
-    shared, _ = lm.fit(df, max_bits=1 << 16)
+    shared, _ = lm.fit(df, max_bits=1 << 16, broadcast_bits=1 << 29)
     assert shared.value.bits.nbytes == 1 << 13 and shared.value.least > 1
 
 
@@ -68,7 +68,7 @@ def test_a_filter_beyond_the_broadcast_keeps_every_ngram_and_scores_alike(spark,
     rows += [(None, None, None, None, None), (7, rows[8][1], None, None, None), (900, "", None, None, None), (901, "x" * 100_000, None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     train = df.where("doc_id < 300")
-    whole, cut = lm.fit(train, head=50), lm.fit(train, head=50, broadcast_bits=1 << 16)
+    whole, cut = lm.fit(train, head=50, broadcast_bits=1 << 29), lm.fit(train, head=50, broadcast_bits=1 << 16)
     monkeypatch.setattr(lm, "SHARD_BITS", 1 << 18)
     small = lm.fit(train, head=50, broadcast_bits=1 << 16)
     assert whole.parts is None and cut.shared.value.bits.nbytes == 0 and small.ranges == 4
