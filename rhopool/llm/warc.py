@@ -15,9 +15,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rhopool.llm.filters import Filter
 from rhopool.llm.store import store
 from rhopool.session import checkpoint_root
 
@@ -40,23 +42,68 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 20_000)
     payloads of at least 1000 bytes the one with the largest page_id is the response and the others revisit it: their
     block is the head alone. Rows without page_id are responses without an id, and so is each further row of a
     repeated page_id with the largest number. Other columns are ignored.
+
+    Which rows are revisits is decided without their html. Filters of at most 64 MiB then tell most responses from
+    revisits where they are read; only the html of rows that two filters leave open (a few in a hundred) meets the list.
     """
+    spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _uri(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"size": F.octet_length("html").cast("bigint"), "sha": F.sha1(F.col("html").cast("binary"))})
     shared = (own.where((F.col("size") >= SMALLEST_SHARED) & F.col("page_id").isNotNull()).groupBy("sha", "size")
               .agg(F.max("page_id").alias("original"), F.count("*").alias("times")).where("times > 1").select("sha", "size", "original"))
-    rows = own.join(shared, ["sha", "size"], "left")
-    revisit = F.coalesce(F.col("page_id") < F.col("original"), F.lit(False))
+    # Rows of one payload may be very many, so the payload's largest number is joined to them rather than gathered.
+    decided = store(own.drop("html").join(shared, ["sha", "size"], "left").withColumns(
+        {"revisit": F.coalesce(F.col("page_id") < F.col("original"), F.lit(False)), "key": F.xxhash64("page_id", "sha", "size")}), "decided")
+    revisits = decided.where("revisit")
+    gone = Filter.of(revisits.select("key"), revisits.count())
+    alike = store(decided.where("not revisit").select("key").mapInArrow(_passing(spark.sparkContext.broadcast(gone)), "key bigint"), "alike")
+    shared_filters = spark.sparkContext.broadcast((gone, Filter.of(alike, alike.count())))
+    own = own.withColumn("key", F.xxhash64("page_id", "sha", "size"))
+    kept = own.mapInArrow(_sorted_out(shared_filters), T.StructType([*own.schema.fields, T.StructField("open", T.BooleanType())]))
+    sure = kept.where("not open").drop("key", "open")
+    checked = kept.where("open").join(revisits.select("page_id", "sha", "size").distinct(), ["page_id", "sha", "size"], "left_anti").select(sure.columns)
+    for rows, revisit in ((sure, False), (checked, False), (revisits, True)):
+        # The writer ends each value with one line feed, the last of the four bytes after a block.
+        rows.select(_record(rows, revisit).alias("value")).write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _record(rows: DataFrame, revisit: bool) -> Column:
+    """The text of a record, short of its last byte."""
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, head).otherwise(F.concat(head, F.col("html")))
+    block = head if revisit else F.concat(head, F.col("html"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    refers = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("original"))) if revisit else F.lit("")
     fields = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
-        F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"), F.col("sha"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("original")))).otherwise(""),
+        F.lit(MAGIC + "WARC-Type: "), F.lit("revisit" if revisit else "response"), F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
+        F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"), F.col("sha"), refers,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
-    # The writer ends each value with one line feed, the last of the four bytes after a block.
-    (rows.select(F.concat(fields, block, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path))
+    return F.concat(fields, block, F.lit("\r\n\r"))
+
+
+def _passing(shared):
+    """The keys that a filter lets through."""
+
+    def run(batches):
+        for rows in batches:
+            keys = rows.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[shared.value(keys.view(np.uint64))])], ["key"])
+
+    return run
+
+
+def _sorted_out(shared):
+    """Rows without those that are certainly revisits; ``open`` where neither filter decides."""
+
+    def run(batches):
+        gone, alike = shared.value
+        for rows in batches:
+            keys = rows.column("key").to_numpy().view(np.uint64)
+            maybe = gone(keys)
+            stay = ~maybe | alike(keys)
+            rows = rows.append_column("open", pa.array(maybe))
+            yield rows if stay.all() else rows.filter(pa.array(stay))
+
+    return run
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +130,9 @@ def _number(text: str | None) -> int:
 
 def _id(text: str | None):
     n = (text or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(n) if n.removeprefix("-").isdigit() and n.isascii() and len(n) < 19 else None
+    if not (n.removeprefix("-").isdigit() and n.isascii() and len(n) <= 20):
+        return None
+    return int(n) if -1 << 63 <= int(n) < 1 << 63 else None
 
 
 def parse(rest: bytes) -> tuple:
@@ -218,8 +267,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = store(scan(spark, path).mapInArrow(_candidates, _CANDIDATE), "candidates")
     # A split's rows start where those of the splits before it end; one row for each split is summed up.
     splits = found.groupBy("file", "split").agg(F.max("end").alias("bytes"))
-    before = splits.alias("a").join(splits.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.split") < F.col("a.split")), "left").groupBy(
-        F.col("a.file").alias("file"), F.col("a.split").alias("split")).agg(F.coalesce(F.sum("b.bytes"), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("file", "split", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
     placed = found.join(before, ["file", "split"]).withColumns({"place": F.col("before") + F.col("at"), "follow": F.when(F.col("next") >= 0, F.col("before") + F.col("next")).otherwise(-1)})
     placed = placed.where("place > 0")     # what precedes the first magic is no candidate
     nodes = placed.select("file", "split", "place", "follow")

@@ -61,3 +61,13 @@ def test_foreign_files_and_broken_chains(spark, tmp_path):
     assert [r.payload_digest for r in got if r.payload_bytes == 3] == [hashlib.sha1(b"abc").hexdigest()] * 2
     assert {r.page_id for r in got} == {None}
     assert not [r for r in got if r.file.endswith("b.warc")]
+
+
+def test_ids_of_nineteen_digits_and_full_filters(spark, monkeypatch):
+    from rhopool.llm import filters
+    monkeypatch.setattr(filters, "BITS", (6, 6))   # nearly all rows are left open
+    top = 2 ** 63 - 1
+    rows = [(k, "u", f"{t}" * 1200, None, None) for k, t in ((top, "a"), (-2 ** 63, "a"), (top - 1, "b"), (-10 ** 17, "a"), (5, "b"))] + [(k, "u", f"page {k} " * 200, None, None) for k in range(10, 90)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {top: ("response", None), -2 ** 63: ("revisit", top), top - 1: ("response", None), -10 ** 17: ("revisit", top), 5: ("revisit", top - 1), **{k: ("response", None) for k in range(10, 90)}}
+    assert warc._id(f"<urn:page:{2 ** 63}>") is None
