@@ -185,8 +185,8 @@ def _occurrences(shared):
     return run
 
 
-def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, kind, score) of the candidates that good patterns point at."""
+def _discovered(scanned: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, kind, score) of the candidates that good patterns point at, and these patterns (pattern, kind)."""
     spark = docs.sparkSession
     mentions = scanned.select(F.explode("_pii_found").alias("f")).select("f.kind", "f.value", "f.placed", F.explode("f.patterns").alias("pattern"))
     edges = store(mentions.groupBy("kind", "value", "pattern").agg(F.count_if("placed").alias("places")), "edges")
@@ -210,25 +210,26 @@ def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     strong = confidence.where(F.col("confidence") >= CONFIDENCE)
     backed = values.join(strong, "pattern", "left_semi").select("value").distinct()
     best = F.max(F.struct("score", F.col("kind").alias("kind")))
-    return (scores.where((F.col("score") < 1.0) & (F.col("score") >= CONFIDENCE)).join(backed, "value", "left_semi")
+    named = (scores.where((F.col("score") < 1.0) & (F.col("score") >= CONFIDENCE)).join(backed, "value", "left_semi")
             .groupBy("value").agg(best.alias("b")).select("value", "b.kind", "b.score"))
+    return store(named, "named"), strong.select("pattern", "kind")
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``spans``, arrays of (kind, start, end) by start, then kind as listed in KINDS.
 
-    Places count code points, end exclusive. ``base`` holds the fixed forms; ``spans`` adds what contexts discover, and
-    never drops or overlaps a base span. A null or empty text has none. Rows that repeat are each answered; columns of
+    Places count code points, end exclusive. ``base`` holds the fixed forms; ``spans`` adds what contexts discover, at the
+    places where a good pattern of that kind stands, not wherever the value occurs; it never drops or overlaps a base span. A null or empty text has none. Rows that repeat are each answered; columns of
     ``docs`` named base or spans are replaced. The texts are read twice: once for seeds and candidates, once to count
     how often the seeds' patterns occur at all.
     """
     kept = docs.drop("base", "spans", "_pii_found", "_pii_row").withColumn("_pii_row", F.monotonically_increasing_id())
     schema = T.StructType([*kept.schema.fields, T.StructField("_pii_found", _FOUND)])
     scanned = store(kept.mapInArrow(_scan(schema.names), schema), "scanned")
-    kinds = _discovered(scanned, docs)
+    kinds, strong = _discovered(scanned, docs)
     open_rows = F.exists("_pii_found", lambda f: f["kind"].isNull())
-    named = (scanned.where(open_rows).select("_pii_row", F.explode("_pii_found").alias("f")).where("f.kind is null").select("_pii_row", "f.start", "f.end", "f.value")
-             .join(kinds, "value").groupBy("_pii_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
+    named = (scanned.where(open_rows).select("_pii_row", F.explode("_pii_found").alias("f")).where("f.kind is null").select("_pii_row", "f.start", "f.end", "f.value", F.explode("f.patterns").alias("pattern"))
+             .join(kinds, "value").join(strong, ["pattern", "kind"]).select("_pii_row", "kind", "start", "end").distinct().groupBy("_pii_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
     base = F.transform(F.filter("_pii_found", lambda f: f["kind"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
     out = scanned.withColumn("base", base.cast(f"array<{SPAN}>"))
     rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(list(KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))

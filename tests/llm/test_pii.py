@@ -57,3 +57,11 @@ def test_repeated_documents_discover_what_single_ones_do(spark):
         found = {r.doc_id: [s.kind for s in r.spans] for r in pii.extract(df).collect()}
         assert len(found) == 15 * times
         assert all(kinds == (["phone"] if i % 15 <= 12 else [] if i % 15 == 13 else ["email", "email"]) for i, kinds in found.items()), times
+
+
+def test_a_value_is_tagged_where_a_good_pattern_stands_only(spark):
+    texts = [f"please dial our desk at +1 415 010 {1000 + i} thanks" for i in range(40)] + ["please dial our desk at 2024 thanks"] + [f"in the spring of 2024 we met {i}" for i in range(300)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in pii.extract(df).collect()}
+    assert found[40] == [("phone", texts[40].index("2024"))] and all(found[i] == [("phone", 24)] for i in range(40))
+    assert all(found[i] == [] for i in range(41, 341))
