@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rhopool.llm.sampling import labelled_sample
+from rhopool.llm.store import store
 from rhopool.llm.words import LOWER, per_text, span_hashes, text_blocks, word_table
 
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "scum", "loser", "worthless", "disgusting", "trash", "bastard")
 REPORTING = ("said", "says", "wrote", "quote", "quoted", "quotes", "called", "calls", "term", "word", "phrase", "slur", "insult")
 ADDRESS = ("you", "your", "you're", "youre", "u", "ur", "yourself")
 TRAIN_ROWS = 20_000   # labelled texts read for fitting, at most about
-LEXICON = 256         # learned terms at most
+LETTERS = 3_000       # of all learned terms together; what finds no room is counted in Model.left_out
+MIN_TEXTS, MIN_LIFT = 5, 2.5  # toxic texts with a learned term, and its log ratio, at least: the same for any sample
 WINDOW = 8            # words on each side
 FUZZY_FROM = 5        # letters from which a whole-word term may differ by one edit
 SEED_WEIGHT = 2.0
@@ -34,7 +36,7 @@ _EDGE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Automaton:
-    """Table of the deterministic product: next state by state and byte class; per state the term it accepts and its edits."""
+    """Table of the deterministic product: next state by state and class of code point; per state the term it accepts and its edits."""
 
     step: np.ndarray
     classes: np.ndarray
@@ -42,16 +44,16 @@ class Automaton:
     edits: np.ndarray
 
     @staticmethod
-    def build(terms: list[tuple[bytes, bool]], fuzzy_from: int = FUZZY_FROM) -> Automaton:
-        """``terms``: (bytes, open). An open term accepts every longer word that starts with it, and no edit."""
+    def build(terms: list[tuple[str, bool]], fuzzy_from: int = FUZZY_FROM) -> Automaton:
+        """``terms``: (word, open). An edit is one code point. An open term accepts every longer word that starts with it, and no edit."""
         children: list[dict[int, int]] = [{}]
         ends: dict[int, list[int]] = {}
         reach = [0]
         for t, (word, is_open) in enumerate(terms):
-            allowed = 1 if not is_open and len(word.decode("utf-8", "ignore")) >= fuzzy_from else 0
+            allowed = 1 if not is_open and len(word) >= fuzzy_from else 0
             node = 0
             reach[0] = max(reach[0], allowed)
-            for b in word:
+            for b in map(ord, word):
                 if b not in children[node]:
                     children.append({})
                     reach.append(0)
@@ -60,7 +62,7 @@ class Automaton:
                 reach[node] = max(reach[node], allowed)
             ends.setdefault(node, []).append(t)
         letters = sorted({b for c in children for b in c})
-        classes = np.zeros(256, np.uint8)
+        classes = np.zeros(0x200000, np.uint16)     # all that three bytes of continuation can spell
         classes[letters] = np.arange(1, len(letters) + 1)
 
         def close(states):
@@ -102,29 +104,45 @@ class Automaton:
         term, edits = np.full(len(order), -1, np.int32), np.zeros(len(order), np.int8)
         for s, state in enumerate(order):
             found = [(0, -1 - n) for n, _ in state if n < 0]
-            found += [(e, t) for n, e in state if n >= 0 for t in ends.get(n, ()) if not terms[t][1] and (e == 0 or len(terms[t][0].decode("utf-8", "ignore")) >= fuzzy_from)]
+            found += [(e, t) for n, e in state if n >= 0 for t in ends.get(n, ()) if not terms[t][1] and (e == 0 or len(terms[t][0]) >= fuzzy_from)]
             if found:
                 edits[s], term[s] = min(found)
         return Automaton(np.array(table, np.int32), classes, term, edits)
 
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The state after each span, 0 where no term can follow any more."""
+    def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state after each span of lower-case code points, 0 where no term can follow any more."""
         state = np.ones(len(starts), np.int32)
         live, at = np.arange(len(starts)), starts.copy()
         while len(live):
             more = at < ends[live]
             live, at = live[more], at[more]
-            state[live] = self.step[state[live], self.classes[LOWER[data[at]]]]
+            state[live] = self.step[state[live], self.classes[points[at]]]
             going = state[live] > 0
             live, at = live[going], at[going] + 1
         return state
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case (A-Z) code points of UTF-8, and the number of those before each byte and the end; broken bytes give some code point."""
+    lead = (data & 0xC0) != 0x80
+    if len(data):
+        lead[0] = True
+    at = np.flatnonzero(lead)
+    first = LOWER[data[at]].astype(np.uint32)
+    more = np.select([first >= 0xF0, first >= 0xE0, first >= 0xC0], [3, 2, 1], 0)
+    value = np.where(more > 0, first & (0x3F >> more), first)
+    for k in (1, 2, 3):
+        some = more >= k
+        value[some] = (value[some] << 6) | (data[np.minimum(at[some] + k, len(data) - 1)] & 0x3F)
+    return value & 0x1FFFFF, np.concatenate([[0], np.cumsum(lead)])
+
+
 @dataclass
 class Model:
     automaton: Automaton
     weights: np.ndarray
     theta: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    left_out: int = 0
 
 
 def cores(data, starts, ends):
@@ -161,7 +179,8 @@ def features(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(starts):
         return out
     core_start, core_end = cores(data, starts, ends)
-    state = model.automaton.run(data, core_start, core_end)
+    points, number = code_points(data)
+    state = model.automaton.run(points, number[core_start], number[core_end])
     term = model.automaton.term[state]
     hits = np.flatnonzero((term >= 0) & (core_end > core_start))
     if not len(hits):
@@ -211,17 +230,39 @@ def _sparse_hashes(data, starts, ends):
 
 
 def _quoted(data, offsets, doc, at):
-    """Whether a place lies inside quotation marks of its text: an odd number of plain ones, or more opened than closed."""
-    plain = np.concatenate([[0], np.cumsum(data == 0x22)])
-    opened = np.zeros(len(data) + 1, np.int64)
+    """Whether a place lies between quotation marks of its line: plain ones in pairs, or an opened one closed later.
+
+    A mark without partner in its line quotes nothing.
+    """
+    fresh = np.zeros(len(data) + 1, np.int64)
+    fresh[1:] += data == 0x0A
+    fresh[offsets[1:-1]] += 1
+    line = np.cumsum(fresh)[:-1]
+    kind = np.zeros(len(data), np.int8)       # 1 plain, 2 opens, 3 closes
+    kind[data == 0x22] = 1
     if len(data) > 2:
         e2 = (data[:-2] == 0xE2) & (data[1:-1] == 0x80)
-        opened[1:-2] += (e2 & (data[2:] == 0x9C)).astype(int) - (e2 & (data[2:] == 0x9D))
+        kind[:-2][e2 & (data[2:] == 0x9C)] = 2
+        kind[:-2][e2 & (data[2:] == 0x9D)] = 3
         c2 = data[:-1] == 0xC2
-        opened[1:-1] += (c2 & (data[1:] == 0xAB)).astype(int) - (c2 & (data[1:] == 0xBB))
-    opened = np.cumsum(opened)
-    begin = offsets[doc]
-    return ((plain[at] - plain[begin]) % 2 == 1) | (opened[at] - opened[begin] > 0)
+        kind[:-1][c2 & (data[1:] == 0xAB)] = 2
+        kind[:-1][c2 & (data[1:] == 0xBB)] = 3
+    inside = np.zeros(len(data) + 1, np.int64)
+    plain = np.flatnonzero(kind == 1)
+    if len(plain) > 1:
+        lines = line[plain]
+        begin = np.searchsorted(lines, lines, "left")
+        opens = (np.arange(len(plain)) - begin) % 2 == 0
+        paired = np.flatnonzero(opens[:-1] & (lines[1:] == lines[:-1]))
+        np.add.at(inside, plain[paired], 1)
+        np.add.at(inside, plain[paired + 1], -1)
+    marks = np.flatnonzero(kind > 1)
+    if len(marks) > 1:
+        # The last one opened before a closing mark belongs to it.
+        paired = np.flatnonzero((kind[marks[:-1]] == 2) & (kind[marks[1:]] == 3) & (line[marks[:-1]] == line[marks[1:]]))
+        np.add.at(inside, marks[paired], 1)
+        np.add.at(inside, marks[paired + 1], -1)
+    return np.cumsum(inside)[at] > 0
 
 
 def _term_counts(batches):
@@ -238,29 +279,34 @@ def _term_counts(batches):
                                           pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "toxic", "other"])
 
 
-def learn_terms(sample: DataFrame, toxic: int, other: int, size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """(term, open, weight): words, and stems of longer words, found far more often in toxic texts of (text, label).
+def learn_terms(sample: DataFrame, toxic: int, other: int, letters: int = LETTERS) -> tuple[list[tuple[str, bool, float]], int]:
+    """(term, open, weight) of words, and stems of longer words, found far more often in toxic texts of (text, label); and how many found no room.
 
-    The counting is Spark's; ``size`` terms at most reach the driver.
+    A term needs MIN_TEXTS toxic texts and a log ratio of MIN_LIFT, whatever the size of the sample. Stems that a shorter
+    stem as good stands for are left out first; the best of the others are taken as long as ``letters`` last. The
+    counting and choosing is Spark's; no more terms than could have room reach the driver.
     """
     words = sample.select("text", "label").mapInArrow(_term_counts, "word string, toxic bigint, other bigint").groupBy("word").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    words = words.where(F.length("word") <= 64)
     stems = (words.where(F.length("word") > 4)
              .select(F.explode(F.expr("transform(sequence(4, least(10, length(word) - 1)), k -> substring(word, 1, k))")).alias("word"), "toxic", "other")
              .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).withColumn("open", F.lit(True)))
     lift = F.log(((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) * F.lit((other + 1.0) / (toxic + 1.0)))
     found = (words.withColumn("open", F.lit(False)).where(F.length("word") >= 3).unionByName(stems).withColumn("weight", lift)
-             .where((F.col("toxic") >= max(5, toxic // 100)) & (F.col("weight") >= 2.5))
-             .withColumn("gain", F.col("toxic") * F.col("weight"))
-             .orderBy(F.desc("gain"), "word", "open").limit(size).collect())
+             .where((F.col("toxic") >= MIN_TEXTS) & (F.col("weight") >= MIN_LIFT)).withColumn("gain", F.col("toxic") * F.col("weight")))
+    found = store(found, "terms")
+    # A whole word stays beside its stem, which allows no edit.
+    shorter = (found.where("open and length(word) > 4").select("word", "weight", "gain", F.explode(F.expr("transform(sequence(4, length(word) - 1), k -> substring(word, 1, k))")).alias("stem"))
+               .join(found.where("open").select(F.col("word").alias("stem"), F.col("weight").alias("by"), F.col("gain").alias("of")), "stem")
+               .where("by >= 0.7 * weight and of >= gain").select("word").distinct().withColumn("open", F.lit(True)))
+    kept = store(found.join(shorter, ["word", "open"], "left_anti"), "terms")
+    best = kept.where(F.length("word") <= letters).orderBy(F.desc("gain"), "word", "open").limit(max(1, letters // 3)).collect()
     out: list[tuple[str, bool, float]] = []
-    for r in found:
-        # A whole word stays beside its stem, which allows no edit.
-        covered = r.open and any(o and r.word.startswith(t) and w >= 0.7 * r.weight for t, o, w in out)
-        if not covered:
+    for r in best:
+        if len(r.word) <= letters:
+            letters -= len(r.word)
             out.append((r.word, r.open, min(r.weight, 6.0)))
-    return out
+    return out, kept.count() - len(out)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -297,10 +343,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seeds=SEEDS)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     of = {r.label > 0: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, other = of.get(True, 0), of.get(False, 0)
-    learned = learn_terms(sample, toxic, other) if toxic and other else []
+    learned, left_out = learn_terms(sample, toxic, other) if toxic and other else ([], 0)
     known = {t for t, o, _ in learned if not o}
     terms = [*learned, *((s, False, SEED_WEIGHT) for s in seeds if s not in known)]
-    model = Model(Automaton.build([(t.encode(), o) for t, o, _ in terms]), np.array([w for *_, w in terms]))
+    model = Model(Automaton.build([(t, o) for t, o, _ in terms]), np.array([w for *_, w in terms]), left_out=left_out)
     if toxic and other:
         shared = spark.sparkContext.broadcast(model)
         got = sample.mapInArrow(_feature_rows(shared), "label int, f array<double>").toArrow()

@@ -21,23 +21,25 @@ def _distance(a, b):
 
 def test_automaton_accepts_terms_within_one_edit_and_open_stems():
     r = random.Random(6)
-    terms = [(b"stupid", False), (b"stupor", False), (b"cad", False), (b"blor", True), (b"worthless", False)]
+    terms = [("stupid", False), ("stupor", False), ("cad", False), ("blor", True), ("worthless", False), ("dümmling", False), ("été𝄞x", False)]
     m = Automaton.build(terms)
-    words = [t for t, _ in terms] + [b"blorx", b"blo", b"STUPID", b"st", b""]
+    words = [t for t, _ in terms] + ["blorx", "blo", "STUPID", "st", "", "dummling", "dümling", "ete𝄞x", "été𝄞"]
     for t, _ in terms * 200:
-        w = bytearray(t)
+        w = list(t)
         for _ in range(r.randint(0, 3)):
             k = r.randint(0, max(len(w) - 1, 0))
             kind = r.randint(0, 2)
             if kind == 0 and w:
                 del w[k]
             elif kind == 1:
-                w.insert(k, r.choice(b"stuxd"))
+                w.insert(k, r.choice("stuxdü"))
             elif w:
-                w[k] = r.choice(b"stuxd")
-        words.append(bytes(w))
-    data, stop = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
-    state = m.run(data, np.append(0, stop[:-1]), stop)
+                w[k] = r.choice("stuxdü")
+        words.append("".join(w))
+    data, stop = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w.encode()) for w in words])
+    points, number = toxicity.code_points(data)
+    assert "".join(map(chr, points)) == "".join(words).replace("STUPID", "stupid")
+    state = m.run(points, number[np.append(0, stop[:-1])], number[stop])
     for w, term, edits in zip(words, m.term[state], m.edits[state]):
         low = w.lower()
         fits = [(_distance(low, t), k) for k, (t, o) in enumerate(terms) if not o and _distance(low, t) <= (len(t) >= 5)]
@@ -158,5 +160,37 @@ def test_learned_words_are_found_with_an_error_in_their_first_letters(spark):
     model = toxicity.fit(docs, labels)
     words = ["clown", "clowns", "c1own", "clwn", "cloown", "lown", "plant", "cl"]
     data, stop = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w) for w in words])
-    state = model.automaton.run(data, np.append(0, stop[:-1]), stop)
+    points, number = toxicity.code_points(data)
+    state = model.automaton.run(points, number[np.append(0, stop[:-1])], number[stop])
     assert (model.automaton.term[state] >= 0).tolist() == [True] * 6 + [False] * 2
+
+
+def test_rare_and_long_terms_are_learned_in_samples_of_any_size(spark):
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    bad = sorted({word(4) for _ in range(120)})
+    long = "q" + word(40)
+    rows, labels = [], []
+    for i in range(2400):
+        words = [f"{r.choice('abcdefgh')}{r.randint(0, 99)}" for _ in range(30)]
+        if i % 2:
+            words[5] = bad[i // 2 % len(bad)]
+            words[9] = long if i % 100 == 1 else "x1"
+        rows.append((i, " ".join(words), i % 2))
+        labels.append((i, i % 2, 0, ""))
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    terms, left_out = toxicity.learn_terms(sample, 1200, 1200)
+    known = {t for t, o, _ in terms if not o}
+    assert left_out == 0 and set(bad) <= known and long in known
+    some, left_out = toxicity.learn_terms(sample, 1200, 1200, letters=100)
+    assert sum(len(t) for t, *_ in some) <= 100 and left_out == len(terms) - len(some)
+
+
+def test_a_quotation_needs_both_marks_in_its_line():
+    texts = ['the 5" pipe you idiot', 'he said "you idiot" and 5" more idiot', 'a "b\nidiot" c', "x \u201cidiot\u201d idiot", "\u201copen idiot", "\u00abidiot\u00bb idiot", 'idiot"', '"idiot"']
+    want = [[False], [True, False], [False], [True, False], [False], [True, False], [False], [True]]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    doc, at = zip(*[(k, offsets[k] + j) for k, b in enumerate(raw) for j in range(len(b)) if b[j:j + 5] == b"idiot"])
+    got = toxicity._quoted(data, offsets, np.array(doc), np.array(at))
+    assert got.tolist() == [x for w in want for x in w]
