@@ -36,7 +36,7 @@ def test_every_decision_takes_effect(spark, folder):
     got = entry.queries()["pipeline"](spark, path).collect()
     text = {r[0]: r[1] for r in rows}
     text[7] = text[7].replace("me@mail.example.com", "[email]").replace("+1 555 010 1234", "[phone]")
-    kept = [1, 4, 7, 8, 9, 10, 11, None]  # 6 is toxic, 2, 3 and 12 are copies, 4 came twice, 5 holds the item in two parts
+    kept = [1, 4, 7, 8, 9, 10, 11]  # 6 is toxic, 2, 3, 12 and the row without id are copies, 4 came twice, 5 holds the item in two parts
     assert sorted((g.doc_id for g in got), key=str) == sorted(kept, key=str)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parse_ranks(rank_bytes()), special_tokens={})
     assert all(g.ids == library.encode_ordinary(text[g.doc_id] or "") and g.n_tokens == len(g.ids) for g in got)
@@ -49,3 +49,16 @@ def test_stages_keep_columns_and_survive_empty_tables(spark, folder):
         out = stage(spark, docs.limit(0), folder[0])
         assert out.count() == 0
         assert name == "tokens" or out.columns == docs.columns
+
+
+def test_repeated_and_missing_ids_are_judged_by_their_texts(spark, folder):
+    r = random.Random(3)
+    item = spark.read.parquet(f"{folder[0]}/benchmark.parquet").where("item_id = 1").first().text
+    fill = lambda n: " ".join(r.choice([f"v{k}" for k in range(3000)]) for _ in range(n))
+    a, b, c = fill(100), fill(100), fill(100)
+    rows = [(1, a), (1, b), (3, b), (5, b + " more"), (None, a), (None, c), (None, c), (7, item), (7, c + " end"), (None, item), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in rows], DOCS)
+    got = P.drop_near_duplicates(spark, docs, folder[0])
+    assert sorted(((g.doc_id, g.text) for g in got.collect()), key=str) == sorted([(1, a), (1, b), (7, item), (7, c + " end"), (8, None), (None, "")], key=str)
+    clean = P.drop_contaminated(spark, docs, folder[0]).collect()
+    assert sorted(((g.doc_id, g.text) for g in clean), key=str) == sorted([x for x in rows if x[1] != item], key=str)
