@@ -28,18 +28,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
 
 
+def _unit(docs: DataFrame) -> DataFrame:
+    """``docs`` with _unit, a hash of id and text: what is told apart is a text under an id, whatever ids repeat or are missing."""
+    return docs.withColumn("_unit", F.xxhash64("doc_id", "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group, once; rows without doc_id all stay, and so do different empty texts."""
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document of least doc_id of each group (without ids: some one); different texts under one id are documents of their own.
+
+    Rows that repeat id and text are one document, and stay once; documents without words stay.
+    """
+    units = _unit(docs)
+    groups = near_duplicates(units.select(F.col("_unit").alias("doc_id"), "text"), shingle=5, percent=80)
+    named = groups.select(F.col("doc_id").alias("_unit"), "component_id").distinct().join(units.select("_unit", "doc_id").distinct(), "_unit")
+    # An absent id comes after all others.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_unit")
+    kept = named.groupBy("component_id").agg(F.min_by("_unit", order).alias("_unit")).select("_unit")
+    return units.join(kept, "_unit", "left_semi").dropDuplicates(["_unit"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a benchmark item in them, whether they have an id or not."""
+    units = _unit(docs)
+    hit = contaminated(units.select(F.col("_unit").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_unit")).distinct()
+    return units.join(hit, "_unit", "left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
