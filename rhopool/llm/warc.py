@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from rhopool.llm.filters import Filter
 from rhopool.llm.store import store
+from rhopool.llm.words import chain, span_hashes
 from rhopool.session import checkpoint_root
 
 MAGIC = "WARC/1.0\r\n"
@@ -233,27 +234,52 @@ def _reassembled(table):
                     names=["file", "place", *_CANDIDATE_NAMES[6:]])
 
 
-def _rows_in_order(batches):
-    """file, split, at, rest of every row of the archives."""
-    key, at = None, 0
+def _place_keys(file: pa.Array, split: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each row's file, split and place in the split."""
+    coded = file.dictionary_encode()
+    names = [n.encode() for n in coded.dictionary.to_pylist()]
+    h = np.array([span_hashes(np.frombuffer(n, np.uint8), np.array([0]), np.array([len(n)]))[0] for n in names], np.uint64)
+    return chain(h[coded.indices.to_numpy()], split.astype(np.uint64), at.astype(np.uint64)) if len(names) else np.zeros(0, np.uint64)
+
+
+def _keyed(batches):
     for rows in batches:
-        places = []
-        for file, split, size in zip(rows.column("file").to_pylist(), rows.column("split").to_pylist(), pc.binary_length(rows.column("rest")).to_pylist()):
-            if (file, split) != key:
-                key, at = (file, split), 0
-            places.append(at)
-            at += size + len(MAGIC)
-        yield pa.RecordBatch.from_arrays([rows.column("file"), rows.column("split"), pa.array(places, pa.int64()), rows.column("rest")], ["file", "split", "at", "rest"])
+        yield pa.RecordBatch.from_arrays([pa.array(_place_keys(*(rows.column("file"), *(rows.column(c).to_numpy() for c in ("split", "at")))).view(np.int64))], ["key"])
+
+
+def _rows_in_order(shared):
+    """file, split, at, rest of the rows of the archives that a filter of places lets through."""
+
+    def run(batches):
+        key, at = None, 0
+        for rows in batches:
+            places = []
+            for file, split, size in zip(rows.column("file").to_pylist(), rows.column("split").to_pylist(), pc.binary_length(rows.column("rest")).to_pylist()):
+                if (file, split) != key:
+                    key, at = (file, split), 0
+                places.append(at)
+                at += size + len(MAGIC)
+            place = pa.array(places, pa.int64())
+            here = shared.value(_place_keys(rows.column("file"), rows.column("split").to_numpy(), place.to_numpy()))
+            if here.any():
+                yield pa.RecordBatch.from_arrays([rows.column("file"), rows.column("split"), place, rows.column("rest")], ["file", "split", "at", "rest"]).filter(pa.array(here))
+
+    return run
 
 
 def _mended(spark, path: str, broken: DataFrame, placed: DataFrame) -> DataFrame:
-    """The records of ``broken(file, place, follow)``: their rows are found by ranges of places and put together again."""
+    """The records of ``broken(file, place, follow)``: their rows are found by ranges of places and put together again.
+
+    Only rows that a filter of these places (64 MiB at most) lets through leave the tasks that read the archives.
+    """
     span = 1 << 20
     grid = lambda a, b: F.explode(F.sequence(F.floor(a / span), F.floor(b / span)))
     ranges = broken.select("file", F.col("place").alias("record"), "follow", grid(F.col("place"), F.col("follow")).alias("cell"))
     inside = (placed.select("file", "split", "at", "place", F.floor(F.col("place") / span).alias("cell")).join(ranges, ["file", "cell"])
               .where("place >= record and place < follow").select("file", "split", "at", "place", "record", "follow"))
-    rows = scan(spark, path).mapInArrow(_rows_in_order, "file string, split bigint, at bigint, rest binary").join(inside, ["file", "split", "at"])
+    inside = store(inside, "inside")
+    places = Filter.of(inside.select("file", "split", "at").mapInArrow(_keyed, "key bigint"), inside.count())
+    rows = scan(spark, path).mapInArrow(_rows_in_order(spark.sparkContext.broadcast(places)), "file string, split bigint, at bigint, rest binary").join(inside, ["file", "split", "at"])
     return rows.groupBy("file", "record").applyInArrow(_reassembled, "file string, place bigint, " + RECORD)
 
 
