@@ -5,7 +5,8 @@ The global ordering is split into value buckets that depend only on p itself
 bucket after a retry.  Ties are collapsed before anything is ordered, which
 removes hot values (p = 1 or p = 0 may be a third of all rows).  Only one row
 per bucket reaches the carry window; its size is bounded by the bucket grid,
-not by the data.
+not by the data.  Values that serve many rows are written back without a
+shuffle of those rows by value.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from rhopool.operators.attach import attach
+
 BUCKETS_PER_OCTAVE = 4096
 ZERO_BUCKET = -(10**9)
 
@@ -66,10 +69,5 @@ def adjust(df: DataFrame, p: str, q: str, keys: list[str] | None = None,
                      .drop("_bv"))
     qs = (ranked.withColumn("_w", F.min("_v").over(frame))
                 .join(carried, [*keys, "_b"])
-                .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_p",
-                        F.least(F.col("_w"), F.col("_carry"), F.lit(1.0)).alias("_q")))
-    cond = F.col(p) == F.col("_p")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
-    kept = [c for c in df.columns if c != q]
-    return df.join(qs, cond, "left").select(*kept, F.col("_q").alias(q))
+                .select(*keys, "_p", "_n", F.least(F.col("_w"), F.col("_carry"), F.lit(1.0)).alias(q)))
+    return attach(df, qs, {**{k: k for k in keys}, p: "_p"}, q, "_n")

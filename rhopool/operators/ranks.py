@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from rhopool.operators.attach import attach
 from rhopool.session import materialize
 
 BUCKETS = 64
@@ -26,5 +27,5 @@ def grouped_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets:
               .withColumn("_before", F.coalesce(F.sum("_bn").over(low), F.lit(0))).drop("_bn")
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = d.join(before, [*keys, "_b"]).select(
-        *keys, "_v", (F.col("_before") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2.0).alias(out))
-    return df.join(ranked.withColumnRenamed("_v", value), [*keys, value])
+        *keys, "_v", "_n", (F.col("_before") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2.0).alias(out))
+    return attach(df, ranked, {**{k: k for k in keys}, value: "_v"}, out, "_n").where(F.col(out).isNotNull())

@@ -17,6 +17,7 @@ from rhopool.operators.clean import MANDATORY, missing_columns, null_tokens, sta
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".txt": "tsv", ".json": "json", ".parquet": "parquet"}
 MD5_LIMIT = 512 * 1024 * 1024  # larger files are hashed in chunks
 MD5_CHUNK = 4 * 1024 * 1024
+MATRIX_WIDTH = 1024  # columns of a matrix that meet their header at once
 
 
 def format_of(path: str, file_type: str = "auto") -> str:
@@ -74,20 +75,28 @@ def read_annotations(spark: SparkSession, path: str, prefix: str = "") -> DataFr
     return null_tokens(df.withColumnsRenamed({a: b for a, b in names.items() if a != b}))
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, width: int = MATRIX_WIDTH) -> DataFrame:
     """Wide gene x sample matrices as (study, gene, sample, value text), each file under its own header.
 
     ``path`` may name many files. The header is a file's first line; cells beyond it are dropped, absent and empty
-    cells are NULL. Lines are split and exploded one by one, so no plan is as wide as a matrix.
+    cells are NULL. Header and lines are cut into ranges of ``width`` columns and meet by split of a file and range, so
+    neither a wide header nor a long file is one key or one broadcast.
     """
     cells = F.transform(F.split("value", "\t", -1), lambda c: F.nullif(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit("")))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                          F.monotonically_increasing_id().alias("line"), cells.alias("cells"))
+
+    def ranges(column, n):
+        last = F.greatest(F.ceil(n / F.lit(float(width))).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(column, i * width + 2, F.least(F.lit(width), F.greatest(n - i * width, F.lit(0)))))
+
     heads = lines.where("block = 0").groupBy("file").agg(F.min_by("cells", "line").alias("names"), F.min("line").alias("first"))
-    body = lines.join(heads, "file").where("block > 0 or line <> first")
-    pairs = F.arrays_zip(F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))).alias("sample"),
-                         F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))).alias("value"))
-    return (body.select(study_of_path(F.col("file")).alias("study"), F.element_at("cells", 1).alias("gene"), F.explode(pairs).alias("p"))
+    heads = lines.select("file", "block").distinct().join(heads.withColumn("n", F.size("names") - 1), "file")
+    names = heads.select("file", "block", F.posexplode(ranges("names", F.col("n"))).alias("range", "names"))
+    body = lines.join(heads.select("file", "block", "first", "n"), ["file", "block"]).where("block > 0 or line <> first")
+    body = body.select("file", "block", F.element_at("cells", 1).alias("gene"), F.posexplode(ranges("cells", F.col("n"))).alias("range", "cells"))
+    pairs = F.arrays_zip(F.col("names").alias("sample"), F.col("cells").alias("value"))
+    return (body.join(names, ["file", "block", "range"]).select(study_of_path(F.col("file")).alias("study"), "gene", F.explode(pairs).alias("p"))
             .select("study", "gene", "p.sample", "p.value").where("sample is not null and gene is not null"))
 
 
