@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rhopool.functions import stats as S
 from rhopool.operators.clean import finite_pairs, significance_class
+from rhopool.operators.consensus import consensus_distribution
 from rhopool.operators.scaling import exact_quantiles, safe_corr, scalars
 
 
@@ -57,6 +58,18 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.col(label).cast("long").alias("label")).agg(F.count(F.lit(1)).alias("size"))
 
 
+def label_sizes(df: DataFrame, labels: list[str]) -> DataFrame:
+    """(method, label, size) of several labelings in one pass; a row without a label isn't counted."""
+    return (df.unpivot([], [F.col(c).cast("long").alias(c) for c in labels], "method", "label").where("label is not null")
+            .groupBy("method", "label").agg(F.count(F.lit(1)).alias("size")))
+
+
+def ranking_rows(recs: DataFrame, n: int = 20) -> DataFrame:
+    """The first n recommendations by rank with what a ranking chart shows."""
+    return recs.orderBy("rank").limit(n).select(
+        "rank", F.concat_ws("-", "gene_a", "gene_b").alias("pair"), "combined_score", "rules_score", "ml_confidence")
+
+
 def cluster_summary(df: DataFrame, label: str = "cluster_label") -> DataFrame:
     lab = F.col(label)
     return df.agg(F.countDistinct(F.when(lab != -1, lab)).alias("n_clusters"), F.count_if(lab == -1).alias("n_noise"))
@@ -148,6 +161,17 @@ def pair_samples(expression: DataFrame, a: int, b: int) -> DataFrame:
             .agg(side(a).alias("expr_a"), side(b).alias("expr_b")))
 
 
+def pair_values(facts: DataFrame, samples: DataFrame, a: int, b: int) -> DataFrame:
+    """Both genes' values for each sample that the sample dimension knows, with its study and classification.
+
+    The two genes' facts are aggregated by sample first, so one row for each sample meets the dimension.
+    """
+    side = lambda g: F.max(F.when(F.col("gene_key") == g, F.col("expression_value")))
+    own = facts.where(F.col("gene_key").isin(a, b)).groupBy("sample_key").agg(side(a).alias("expr_a"), side(b).alias("expr_b"))
+    return own.join(samples.select("sample_key", "study", "sample_classification"), "sample_key").select(
+        "study", "sample_key", "sample_classification", "expr_a", "expr_b")
+
+
 # --- run statistics -----------------------------------------------------------
 
 def run_statistics(executions: DataFrame, quality: DataFrame) -> DataFrame:
@@ -199,12 +223,51 @@ def study_weights(facts: DataFrame, penalty: float = 10.0) -> DataFrame:
                       S.div(eff, eff + F.lit(penalty)).alias("study_weight"))
 
 
-def chart_tables(m: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
-    """The data behind every chart, keyed by chart."""
+def _beside(row: DataFrame, other: DataFrame) -> DataFrame:
+    """A one-row frame with the columns of another one-row frame."""
+    both = other.select(F.struct(*other.columns).alias("s")).scalar()
+    return row.withColumn("_s", both).select(*row.columns, *[F.col(f"_s.{c}").alias(c) for c in other.columns if c not in row.columns])
+
+
+METHODS = ["anomaly_label", "cluster_label", "gmm_label"]
+
+
+def report_tables(m: DataFrame, recs: DataFrame, summary: DataFrame, session: str, charts: dict[str, DataFrame] | None = None,
+                  top_n: int = 20) -> dict[str, DataFrame]:
+    """What a report of one analysis holds, by name: metadata, summary, top recommendations, export records and columns, charts.
+
+    ``summary`` has one row. A ``top_n`` that isn't positive means 20. Charts are named chart_<name>; every table is one
+    aggregation or projection of its input, and nothing is gathered.
+    """
+    top_n = top_n if top_n > 0 else 20
+    metadata = recs.agg(F.count(F.lit(1)).alias("n_recommendations")).select(
+        F.lit(session).alias("session_id"), F.current_timestamp().alias("created_at"),
+        m.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_pairs"), "n_recommendations", F.lit(top_n).alias("top_n"))
+    columns = m.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(m.schema)],
+                                             "position int, column string, type string")
+    return {"metadata": metadata, "summary": _beside(summary, recommendation_metrics(recs)),
+            "top_recommendations": top_with_percentiles(recs.drop("rank"), top_n), "export_records": flat_recommendations(recs),
+            "export_columns": columns, **{f"chart_{name}": t for name, t in (charts or {}).items()}}
+
+
+def chart_tables(m: DataFrame, facts: DataFrame, labels: DataFrame | None = None, recs: DataFrame | None = None,
+                 loadings: DataFrame | None = None, top_n: int = 20) -> dict[str, DataFrame]:
+    """The data behind every chart, keyed by chart.
+
+    ``labels`` (the methods' labels of each pair) adds cluster sizes and the distribution of agreement, ``recs`` the
+    ranking, ``loadings`` (feature, component, loading) the features by their weight on the first component.
+    """
+    more = {}
+    if labels is not None:
+        more = {"cluster_sizes": label_sizes(labels, METHODS), "agreement": consensus_distribution(labels, METHODS)}
+    if recs is not None:
+        more["ranking"] = ranking_rows(recs, top_n)
+    if loadings is not None:
+        more["loadings"] = loadings.where("component = 1").select("feature", F.abs("loading").alias("importance")).orderBy(F.desc("importance"), "feature")
     effects = ["dz_ss_mean", "dz_soth_mean"]
     return {"effect_boxes": box_summary(m, effects), "effect_scatter": scatter_rows(m),
             "rho_boxes": reduce(DataFrame.unionByName, [
                 box_summary(facts.where(F.col("condition") == c).select(F.col("rho_spearman").alias(c)), [c])
                 for c in ("control", "sepsis", "septic shock")]),
             "rho_histogram": histogram(facts, "rho_spearman"),
-            "correlations": correlation_matrix(m, effects + ["p_ss", "p_soth", "kappa_ss", "kappa_soth"])}
+            "correlations": correlation_matrix(m, effects + ["p_ss", "p_soth", "kappa_ss", "kappa_soth"]), **more}

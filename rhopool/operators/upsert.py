@@ -61,6 +61,25 @@ def unmatched_keys(facts: DataFrame, dim: DataFrame, *key: str) -> DataFrame:
     return facts.select(*key).distinct().join(dim.select(*key), list(key), "left_anti")
 
 
+def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, in_left, in_right) for each distinct key of either side, by one aggregation: union, intersection and difference.
+
+    NULL is a key like others.
+    """
+    both = left.select(F.col(key), F.lit(True).alias("_l")).unionByName(right.select(F.col(key), F.lit(False).alias("_l")))
+    return both.groupBy(key).agg(F.bool_or("_l").alias("in_left"), F.bool_or(~F.col("_l")).alias("in_right"))
+
+
+def resolve_stage(stage: DataFrame, dims: list[tuple[DataFrame, str, str]], at: str) -> DataFrame:
+    """Staged rows with the surrogate of each (dimension, natural key, surrogate), one row for each set of surrogates.
+
+    Rows that a dimension doesn't know are dropped (count them with ``unmatched_keys``); ``at`` is the latest of a row's.
+    """
+    for dim, natural, surrogate in dims:
+        stage = resolve_keys(stage, dim, natural, surrogate)
+    return stage.groupBy(*[s for _, _, s in dims]).agg(F.max(at).alias(at))
+
+
 def resolve_keys(facts: DataFrame, dim: DataFrame, natural: str, surrogate: str) -> DataFrame:
     """Swap a natural key for its surrogate; unmatched rows drop (count them with ``unmatched_keys``).
 

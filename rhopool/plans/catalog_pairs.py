@@ -270,9 +270,8 @@ def pair_fetch(spark, sf):
 @query("pair_batch_fetch", Q.with_(Q.CORR, f"""SELECT {_KEYS}, {r('rho_spearman')} FROM corr
   WHERE (gene_a_key, gene_b_key) IN (VALUES (1, 2), (3, 7), (4, 20))"""))
 def pair_batch_fetch(spark, sf):
-    wanted = spark.createDataFrame([(1, 2), (7, 3), (4, 20)], "x long, y long").select(
-        F.least("x", "y").alias("gene_a_key"), F.greatest("x", "y").alias("gene_b_key"))
-    f = X.corr_facts(spark, sf).join(wanted, ["gene_a_key", "gene_b_key"], "left_semi")
+    from rhopool.sources.tables import fetch_pairs
+    f = fetch_pairs(X.corr_facts(spark, sf), spark.createDataFrame([(1, 2), (7, 3), (4, 20)], "x long, y long"))
     return rounded(f.select("gene_a_key", "gene_b_key", "study_key", "condition", "rho_spearman"))
 
 

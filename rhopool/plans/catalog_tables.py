@@ -533,8 +533,9 @@ def stage_key_resolution(spark, sf):
     li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
     o = X.table(spark, sf, "orders").select("o_orderkey")
     p = X.table(spark, sf, "part").select("p_partkey")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("o_orderkey", "p_partkey").agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
+    o, p = o.withColumn("l_orderkey", F.col("o_orderkey")), p.withColumn("l_partkey", F.col("p_partkey"))
+    j = U.resolve_stage(li.withColumnRenamed("l_shipdate", "processed_at"), [(o, "l_orderkey", "o_orderkey"), (p, "l_partkey", "p_partkey")], "processed_at")
+    return j.withColumn("processed_at", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("latest_rows", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) = 1")
@@ -568,9 +569,9 @@ def retention(spark, sf):
 UNION ALL SELECT 'only_f', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
 UNION ALL SELECT 'either', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
 def sample_sets(spark, sf):
-    o = X.table(spark, sf, "orders").where("o_orderstatus in ('F', 'O')")
-    k = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "O").alias("o"))
-    c = k.agg(F.count_if(F.col("f") & F.col("o")).alias("both"), F.count_if(F.col("f") & ~F.col("o")).alias("only_f"), F.count(F.lit(1)).alias("either"))
+    o = X.table(spark, sf, "orders")
+    k = U.key_sets(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
+    c = k.agg(F.count_if(F.col("in_left") & F.col("in_right")).alias("both"), F.count_if(F.col("in_left") & ~F.col("in_right")).alias("only_f"), F.count(F.lit(1)).alias("either"))
     return c.unpivot([], ["both", "only_f", "either"], "part", "n")
 
 

@@ -57,9 +57,9 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*[F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(df.schema.fields, [])])
 
 
-def read_pairs(spark: SparkSession, path: str, file_type: str = "auto") -> DataFrame:
-    """A flattened pair table; an error names absent mandatory columns."""
-    df = flatten(read_table(spark, path, file_type))
+def read_pairs(spark: SparkSession, path: str, file_type: str = "auto", multiline: bool = True) -> DataFrame:
+    """A flattened pair table; an error names absent mandatory columns. JSON is records, or lines with ``multiline`` false."""
+    df = flatten(read_table(spark, path, file_type, multiline=multiline))
     absent = missing_columns(df, MANDATORY)
     if absent:
         raise ValueError(f"missing mandatory columns: {', '.join(absent)}")

@@ -21,6 +21,22 @@ def table_rows(tables: dict[str, DataFrame]) -> DataFrame:
         d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, d in tables.items()])
 
 
+def table_rows_by(tables: dict[str, DataFrame], by: str) -> DataFrame:
+    """(table, ``by``, rows): row counts for each value of a column; a table without it has one line with NULL."""
+    def rows(name, d):
+        d = d.withColumn("_by", F.col(by).cast("string") if by in d.columns else F.lit(None).cast("string"))
+        return d.groupBy("_by").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.col("_by").alias(by), "rows")
+    return reduce(DataFrame.unionByName, [rows(n, d) for n, d in tables.items()])
+
+
+def stored_sizes(spark, paths: dict[str, str]) -> DataFrame:
+    """(table, files, bytes) of stored tables from their listings alone; names that begin with _ or . don't count."""
+    def sizes(name, path):
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+        return f.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(F.lit(name).alias("table"), "files", "bytes")
+    return reduce(DataFrame.unionByName, [sizes(n, p) for n, p in paths.items()])
+
+
 def fetch(df: DataFrame, limit: int | None = None, order: list[str] | None = None, **equals) -> DataFrame:
     """Optional equality filters, then an optional limit made deterministic by ``order``."""
     for c, v in equals.items():
