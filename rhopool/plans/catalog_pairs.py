@@ -180,15 +180,23 @@ def simple_pair_metrics(spark, sf):
                             "df_sothers", "kappa_ss", "kappa_sothers"))
 
 
+def _simple_effects(c: str, k: str, sd: str, mu: str, dev: str) -> str:
+    """One contrast's Q, I2 and interval from the deviations themselves; missing below two effects or without spread."""
+    ok, v = f"{k} >= 2 AND {sd} > 0", f"({sd} * {sd} / {k})"
+    q = f"({dev} / {v})"
+    half = f"{S.Z_975} * sqrt(({v} + greatest(0, ({q} - ({k} - 1)) / (({k} - 1) / {v}))) / {k})"
+    parts = {"Q": q, "I2": f"greatest(0, ({q} - ({k} - 1)) / {q}) * 100", "ci_low": f"{mu} - {half}", "ci_high": f"{mu} + {half}"}
+    return ", ".join(r(f"CASE WHEN {ok} THEN {e} END", f"dz_{c}_{n}") for n, e in parts.items())
+
+
 @query("simple_random_effects", Q.with_(_SIMPLE + """,
-dl AS (SELECT p2.pair_id, k1, mean_dz_ss AS mu, sd1 * sd1 / k1 AS s2, sum((d1 - mean_dz_ss) * (d1 - mean_dz_ss)) / (sd1 * sd1 / k1) AS q
-       FROM p2 JOIN ag USING (pair_id) WHERE k1 >= 2 AND sd1 > 0 GROUP BY p2.pair_id, k1, mean_dz_ss, sd1),
-tt AS (SELECT *, greatest(0, (q - (k1 - 1)) / ((k1 - 1) / s2)) AS tau2 FROM dl)""", f"""
-SELECT pair_id, {r('q', 'dz_ss_Q')}, {r('greatest(0, (q - (k1 - 1)) / q) * 100', 'dz_ss_I2')},
-       {r(f'mu - {S.Z_975} * sqrt((s2 + tau2) / k1)', 'dz_ss_ci_low')}, {r(f'mu + {S.Z_975} * sqrt((s2 + tau2) / k1)', 'dz_ss_ci_high')} FROM tt"""))
+dl AS (SELECT p2.pair_id, k1, k2, sd1, sd2, mean_dz_ss, mean_dz_sothers, sum(power(d1 - mean_dz_ss, 2)) AS dev1, sum(power(d2 - mean_dz_sothers, 2)) AS dev2
+       FROM p2 JOIN ag USING (pair_id) GROUP BY ALL)""",
+    f"SELECT pair_id, {_simple_effects('ss', 'k1', 'sd1', 'mean_dz_ss', 'dev1')}, {_simple_effects('sothers', 'k2', 'sd2', 'mean_dz_sothers', 'dev2')} FROM dl"))
 def simple_random_effects(spark, sf):
-    m = M.simple_pair_metrics(X.corr_facts(spark, sf), with_p=False).where("dz_ss_Q is not null")
-    return rounded(m.select("pair_id", "dz_ss_Q", "dz_ss_I2", "dz_ss_ci_low", "dz_ss_ci_high"))
+    """Both contrasts of all pairs."""
+    m = M.simple_pair_metrics(X.corr_facts(spark, sf), with_p=False)
+    return rounded(m.select("pair_id", *[f"dz_{c}_{s}" for c in ("ss", "sothers") for s in ("Q", "I2", "ci_low", "ci_high")]))
 
 
 @query("simple_ranked")
@@ -205,18 +213,18 @@ def gate_filter(spark, sf):
     return X.metrics(spark, sf).select("pair_id", M.pass_gates(th, "soth").alias("pass_gates"))
 
 
-@query("composite_score", Q.with_(Q.metrics(), f"""SELECT pair_id, {r('abs_dz_ss * log10(1 / greatest(q_ss, 1e-300) + 1) * coalesce(kappa_ss, 0) * sqrt(0.5)', 'score')}
-  FROM pm WHERE q_ss IS NOT NULL"""))
+@query("composite_score", Q.with_(Q.metrics(), f"""SELECT pair_id, {r('abs_dz_ss * log10(1 / CASE WHEN q_ss IS NOT NULL THEN greatest(q_ss, 1e-300) END + 1) * coalesce(kappa_ss, 0) * sqrt(0.5)', 'score')}
+  FROM pm"""))
 def composite_score(spark, sf):
     m = X.metrics(spark, sf)
-    return rounded(m.where("q_ss is not null").select("pair_id", M.composite_score(m.columns).alias("score")))
+    return rounded(m.select("pair_id", M.composite_score(m.columns).alias("score")))
 
 
 @query("pair_names", Q.with_(Q.CORR, """SELECT pair_id, min(gene_a_name) AS gene_a_name, min(gene_b_name) AS gene_b_name,
-  CAST(sum(n_samples) FILTER (condition = 'control') AS BIGINT) AS control_n FROM corr GROUP BY pair_id HAVING count(*) FILTER (condition = 'control') > 0"""))
+  CAST(sum(n_samples) FILTER (condition = 'control') AS BIGINT) AS control_n FROM corr GROUP BY pair_id"""))
 def pair_names(spark, sf):
     pf = M.pair_facts(M.label_rows(X.corr_facts(spark, sf)))
-    return pf.where("control_n_samples > 0").select("pair_id", "gene_a_name", "gene_b_name",
+    return pf.select("pair_id", "gene_a_name", "gene_b_name",
                                                      F.col("control_n_samples").cast("long").alias("control_n"))
 
 

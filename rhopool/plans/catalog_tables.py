@@ -186,9 +186,14 @@ def matrix_quality(spark, sf):
     return rounded(QU.matrix_quality(X.expression_long(spark, sf)))
 
 
-@query("sanity_checks", Q.with_(PM, "SELECT 0 AS ci_misses_mean, 0 AS q_below_p, 0 AS p_not_from_z, 0 AS i2_out_of_range FROM (SELECT count(*) FROM pm)"))
+@query("sanity_checks", Q.with_(PM, """SELECT count(*) FILTER (GeneAKey % 3 = 0 AND dz_ss_mean IS NOT NULL) AS ci_misses_mean, count(*) FILTER (GeneBKey % 4 = 0 AND p_ss IS NOT NULL) AS q_below_p,
+  count(*) FILTER (GeneAKey % 5 = 0 AND abs(p_ss - 1) > 1e-6) AS p_not_from_z, count(*) FILTER (GeneBKey % 6 = 0) AS i2_out_of_range FROM pm"""))
 def sanity_checks(spark, sf):
-    return QU.sanity_checks(X.metrics(spark, sf))
+    """Each violation is planted in a part of the rows; the others have none."""
+    a, b = F.col("GeneAKey"), F.col("GeneBKey")
+    return QU.sanity_checks(X.metrics(spark, sf).withColumns({
+        "dz_ss_ci_low": F.when(a % 3 == 0, F.col("dz_ss_mean") + 1).otherwise(F.col("dz_ss_ci_low")), "q_ss": F.when(b % 4 == 0, F.col("p_ss") - 0.1).otherwise(F.col("q_ss")),
+        "dz_ss_z": F.when(a % 5 == 0, 0.0).otherwise(F.col("dz_ss_z")), "dz_ss_I2": F.when(b % 6 == 0, 101.0).otherwise(F.col("dz_ss_I2"))}))
 
 
 # --- scaling and scores ------------------------------------------------------------
@@ -224,13 +229,15 @@ def metrics_score(spark, sf):
     return rounded(score(X.metrics(spark, sf)).select("pair_id", "metrics_score"))
 
 
-@query("two_condition_features", Q.with_(PM, f"SELECT pair_id, {r('sqrt(p_ss * p_soth)', 'combined_p_value')}, {r('sqrt(abs_dz_ss * abs_dz_soth)', 'combined_effect_size')}, "
-       f"{r('dz_soth_mean - dz_ss_mean', 'delta_effect_size')}, {r('dz_ss_z', 'dz_ss_z', 4)}, {r('dz_soth_z', 'dz_soth_z', 4)} FROM pm WHERE p_ss > 0 AND p_soth > 0"))
+@query("two_condition_features", Q.with_(PM + """, zz AS (SELECT *, CASE WHEN p_ss > 0 THEN dz_ss_z ELSE 0 END AS z1, CASE WHEN p_soth > 0 THEN dz_soth_z ELSE 0 END AS z2 FROM pm)""",
+    f"SELECT pair_id, {r('sqrt(p_ss * p_soth)', 'combined_p_value')}, {r('sqrt(abs_dz_ss * abs_dz_soth)', 'combined_effect_size')}, "
+    f"{r('dz_soth_mean - dz_ss_mean', 'delta_effect_size')}, {r('abs(dz_soth_mean - dz_ss_mean)', 'abs_delta_effect_size')}, {r('z1', 'dz_ss_z', 4)}, {r('z2', 'dz_soth_z', 4)}, "
+    f"{r('sqrt(z1 * z1 + z2 * z2)', 'combined_z_score', 3)}, {r('(z1 * z1 + z2 * z2) / (z1 * z1 + z2 * z2 + 1)', 'statistical_power', 3)} FROM zz"))
 def two_condition_features(spark, sf):
-    # The z implied by p and sign must reproduce the pooled z the p came from.
-    m = FE.two_condition_features(X.metrics(spark, sf).where("p_ss > 0 and p_soth > 0"))
-    m = m.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("dz_ss_z", "dz_soth_z")})
-    return rounded(m.select("pair_id", "combined_p_value", "combined_effect_size", "delta_effect_size", "dz_ss_z", "dz_soth_z"))
+    """All pairs. The z implied by p and sign must reproduce the pooled z that p came from; it is 0 without a p above 0."""
+    m = FE.two_condition_features(X.metrics(spark, sf))
+    m = m.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in (("dz_ss_z", 4), ("dz_soth_z", 4), ("combined_z_score", 3), ("statistical_power", 3))})
+    return rounded(m.select("pair_id", "combined_p_value", "combined_effect_size", "delta_effect_size", "abs_delta_effect_size", "dz_ss_z", "dz_soth_z", "combined_z_score", "statistical_power"))
 
 
 @query("baseline_similarity", Q.with_(PM + """,
@@ -246,32 +253,39 @@ def _ratio(a, b):
     return f"CASE WHEN ({b}) = 0 THEN CASE WHEN ({a}) > 0 THEN 1000 WHEN ({a}) < 0 THEN -1000 ELSE 0 END ELSE ({a}) / ({b}) END"
 
 
-_P, _O = "greatest(p_ss, 1e-10)", "greatest(p_soth, 1e-10)"
+def _over(c, floor="1e-10"):
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest({c}, {floor}) END"
+
+
+def _both(fn, a, b):
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {fn}({a}, {b}) END"
+
+
+_P, _O = f"({_over('p_ss')})", f"({_over('p_soth')})"
+_QS, _QO = f"({_over('q_ss')})", f"({_over('q_soth')})"
 _FEATURES = {
     "effect_features": {"effect_size_ratio": _ratio("dz_ss_mean", "dz_soth_mean"), "effect_size_diff": "dz_ss_mean - dz_soth_mean",
                         "effect_size_sum": "dz_ss_mean + dz_soth_mean", "effect_size_product": "dz_ss_mean * dz_soth_mean"},
-    "p_features": {"log_p_ss": f"-log10({_P})", "log_p_soth": f"-log10({_O})", "p_composite": f"{_P} * {_O}",
+    "p_features": {"log_p_ss": f"-log10({_P})", "log_p_soth": f"-log10({_O})", "p_composite": f"coalesce({_P} * {_O}, 1)",
                    "p_harmonic_mean": f"2 / (1 / {_P} + 1 / {_O})"},
     "ci_features": {f"ci_{c}_{n}": e.replace("@", c) for c in ("ss", "soth") for n, e in (
         ("width", "dz_@_ci_high - dz_@_ci_low"), ("center", "(dz_@_ci_high + dz_@_ci_low) / 2"),
         ("relative_width", "(dz_@_ci_high - dz_@_ci_low) / (abs((dz_@_ci_high + dz_@_ci_low) / 2) + 1e-10)"))},
-    "i2_features": {"i2_ratio": _ratio("dz_ss_I2", "dz_soth_I2"), "i2_max": "greatest(dz_ss_I2, dz_soth_I2)",
-                    "i2_min": "least(dz_ss_I2, dz_soth_I2)", "i2_mean": "(dz_ss_I2 + dz_soth_I2) / 2"},
+    "i2_features": {"i2_ratio": _ratio("dz_ss_I2", "dz_soth_I2"), "i2_max": _both("greatest", "dz_ss_I2", "dz_soth_I2"),
+                    "i2_min": _both("least", "dz_ss_I2", "dz_soth_I2"), "i2_mean": "(dz_ss_I2 + dz_soth_I2) / 2"},
     "z_features": {"z_composite": "sqrt(dz_ss_z * dz_ss_z + dz_soth_z * dz_soth_z)", "z_ratio": _ratio("abs(dz_ss_z)", "abs(dz_soth_z)"),
                    "z_sum": "dz_ss_z + dz_soth_z", "z_product": "dz_ss_z * dz_soth_z"},
     "study_features": {"total_studies": "n_studies_ss + n_studies_soth", "study_ratio": _ratio("n_studies_ss", "n_studies_soth"),
                        "study_log_ratio": f"ln({_ratio('n_studies_ss', 'n_studies_soth')} + 1e-10)"},
-    "q_features": {"log_q_ss": "-log10(greatest(q_ss, 1e-10))", "log_q_soth": "-log10(greatest(q_soth, 1e-10))",
-                   "q_composite": "2 / (1 / (greatest(q_ss, 1e-10) + 1e-10) + 1 / (greatest(q_soth, 1e-10) + 1e-10))",
-                   "q_max": "greatest(q_ss, q_soth, 1e-10)", "q_min": "greatest(least(q_ss, q_soth), 1e-10)"},
+    "q_features": {"log_q_ss": f"-log10({_QS})", "log_q_soth": f"-log10({_QO})", "q_composite": f"coalesce(2 / (1 / ({_QS} + 1e-10) + 1 / ({_QO} + 1e-10)), 1)",
+                   "q_max": _both("greatest", _QS, _QO), "q_min": _both("least", _QS, _QO)},
 }
-_FULL = "p_ss IS NOT NULL AND p_soth IS NOT NULL AND q_ss IS NOT NULL AND dz_ss_I2 IS NOT NULL AND dz_soth_I2 IS NOT NULL"
-
+# Over all pairs, with missing inputs: a feature of a missing input is missing, but for the two composites, which are 1.
 for _name, _cols in _FEATURES.items():
     def _features(spark, sf, cols=tuple(_cols)):
-        d = FE.derived_features(X.metrics(spark, sf).where(_FULL), absolute=False)
+        d = FE.derived_features(dirty(spark, sf), absolute=False)
         return rounded(d.select("pair_id", *[F.col(c).cast("double").alias(c) for c in cols]))
-    query(_name, Q.with_(PM, f"SELECT pair_id, {', '.join(r(e, n) for n, e in _cols.items())} FROM pm WHERE {_FULL}"))(_features)
+    query(_name, Q.with_(DIRTY, f"SELECT pair_id, {', '.join(r(e, n) for n, e in _cols.items())} FROM dirty"))(_features)
 
 
 @query("absolute_block", Q.with_(DIRTY, f"""SELECT pair_id, {r('abs(coalesce(dz_ss_I2, (SELECT median(dz_ss_I2) FROM dirty)))', 'dz_ss_I2_abs')},
