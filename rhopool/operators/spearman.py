@@ -113,7 +113,8 @@ def pair_correlations(expression: DataFrame, *, cells_per_block: int = CELLS_PER
     """
     cells = expression.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
         "study_key", "condition", "gene_key", "sample", "value")
-    cells = cells.groupBy("study_key", "condition", "gene_key", "sample").agg(F.avg("value").alias("value"))
+    # Stored once: group sizes, vectors and blocks read it, not the plan behind it.
+    cells = materialize(cells.groupBy("study_key", "condition", "gene_key", "sample").agg(F.avg("value").alias("value")), "cells")
     sizes = (cells.groupBy("study_key", "condition", "gene_key").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("study_key", "condition").agg(F.max("n").alias("longest")))
     if (sizes.agg(F.max("longest")).first()[0] or 0) <= longest_vector:
