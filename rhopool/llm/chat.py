@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURN = "struct<role:string,text:string>"
-SPAN = "struct<start:bigint,end:bigint>"
 
 
 @dataclass(frozen=True)
@@ -128,6 +127,28 @@ def _plain_role(role: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", r"\\")
 
 
+def _starts(sizes: str) -> Column:
+    """The sum of all sizes before each element of an array column.
+
+    An array is copied whenever it gets an element, so the sums are built in pieces of about the root of its length.
+    """
+    n = F.size(sizes)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+    parts = F.transform(F.when(n > 0, F.sequence(F.lit(1), n, width)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(sizes, k, width))
+    long, longs = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+
+    def inside(part, at):
+        return F.aggregate(part, F.struct(at.alias("at"), longs.alias("all")),
+                           lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))
+
+    def add(acc, part):
+        total = F.aggregate(part, long, lambda t, x: t + x)
+        return F.struct((acc["at"] + total).alias("at"), F.array_append(acc["parts"], inside(part, acc["at"])["all"]).alias("parts"))
+
+    start = F.struct(long.alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
+    return F.flatten(F.aggregate(parts, start, add)["parts"])
+
+
 def format_chat(records: DataFrame, layouts=LAYOUTS, loss_role: str = "assistant") -> DataFrame:
     """``records`` with layout, turns, ``formatted`` and ``loss`` (for each turn its span in ``formatted``, null outside the mask).
 
@@ -137,15 +158,13 @@ def format_chat(records: DataFrame, layouts=LAYOUTS, loss_role: str = "assistant
     lines = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), _role(t["role"]), F.lit("\n")).alias("head"),
                                                     escape(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss")))
     step = canonical(records, layouts).withColumn("_lines", lines)
-    spans = F.aggregate(
-        "_lines", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["head"]) + F.char_length(x["text"]) + len(END)).cast("bigint").alias("at"),
-            F.array_append(acc["spans"], F.when(x["loss"], F.struct(
-                (acc["at"] + F.char_length(x["head"])).cast("bigint").alias("start"),
-                (acc["at"] + F.char_length(x["head"]) + F.char_length(x["text"])).cast("bigint").alias("end")))).alias("spans")))
+    step = step.withColumn("_size", F.transform("_lines", lambda x: F.char_length(x["head"]) + F.char_length(x["text"]) + len(END)))
+    zipped = F.arrays_zip(F.col("_lines").alias("line"), _starts("_size").alias("at"))
+    spans = F.transform(zipped, lambda z: F.when(z["line"]["loss"], F.struct(
+        (z["at"] + F.char_length(z["line"]["head"])).alias("start"),
+        (z["at"] + F.char_length(z["line"]["head"]) + F.char_length(z["line"]["text"])).alias("end"))))
     formatted = F.array_join(F.transform("_lines", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "")
-    return step.withColumns({"formatted": formatted, "loss": spans["spans"]}).drop("_lines")
+    return step.withColumns({"formatted": formatted, "loss": spans}).drop("_lines", "_size")
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
@@ -158,12 +177,13 @@ def read_chat(formatted: DataFrame) -> DataFrame:
         return F.struct(_plain_role(F.substr(head, F.lit(len(START) + 1))).alias("role"),
                         unescape(F.substr(p, F.char_length(head) + 2)).alias("text"))
 
-    zipped = F.arrays_zip(F.col("_pieces").alias("piece"), F.col("loss").alias("span"))
-    under = F.aggregate(
-        zipped, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("texts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["piece"]) + len(END)).cast("bigint").alias("at"),
-            F.when(x["span"].isNull(), acc["texts"]).otherwise(F.array_append(acc["texts"], F.substr(
-                x["piece"], (x["span"]["start"] - acc["at"] + 1).cast("int"), (x["span"]["end"] - x["span"]["start"]).cast("int")))).alias("texts")))
-    texts = F.transform(under["texts"], unescape)
-    return step.withColumns({"read_turns": F.transform("_pieces", turn), "loss_text": F.array_join(texts, "")}).drop("_pieces")
+    step = step.withColumn("_size", F.transform("_pieces", lambda p: F.char_length(p) + len(END)))
+    zipped = F.arrays_zip(F.col("_pieces").alias("piece"), F.col("loss").alias("span"), _starts("_size").alias("at"))
+    texts = F.transform(F.filter(zipped, lambda z: z["span"].isNotNull()), lambda z: unescape(F.substr(
+        z["piece"], (z["span"]["start"] - z["at"] + 1).cast("int"), (z["span"]["end"] - z["span"]["start"]).cast("int"))))
+    return step.withColumns({"read_turns": F.transform("_pieces", turn), "loss_text": F.array_join(texts, "")}).drop("_pieces", "_size")
+
+
+def layout_counts(formatted: DataFrame) -> DataFrame:
+    """layout, records, turns: how many records each layout took; those that no layout, or more than one, claims are under null."""
+    return formatted.groupBy("layout").agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("turns")), F.lit(0)).alias("turns"))

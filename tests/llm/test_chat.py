@@ -48,3 +48,17 @@ def test_spans_cover_the_escaped_texts(spark):
     r = df.first()
     assert [r.formatted[s.start:s.end] if s else None for s in r.loss] == [None, "<\\|x", ""]
     assert df.select(F.char_length("formatted")).first()[0] == len(r.formatted)
+
+
+def test_conversations_of_many_turns(spark):
+    turns = [(("user", "assistant")[k % 2], f"<|{k}é" * (k % 3)) for k in range(30_001)]
+    some = [(n, turns[:n], None) for n in (0, 1, 2, 3, 4, 5, 9, 10, 16, 17, 1000, 30_001)]
+    df = chat.format_chat(spark.createDataFrame(some, MESSAGES))
+    for r in chat.read_chat(df).collect():
+        if r.id == 0:
+            assert r.layout is None and r.loss is None and r.loss_text is None
+            continue
+        assert [tuple(t) for t in r.read_turns] == turns[:r.id]
+        assert [r.formatted[s.start:s.end].replace("<\\|", "<|") for s in r.loss if s] == [t for who, t in turns[:r.id] if who == "assistant"]
+        assert r.loss_text == "".join(t for who, t in turns[:r.id] if who == "assistant")
+    assert {r.layout: (r.records, r.turns) for r in chat.layout_counts(df).collect()} == {None: (1, 0), "messages": (11, sum(n for n, *_ in some))}
