@@ -273,12 +273,23 @@ def _tables(rank_file: bytes):
     return ranks, Decoder(ranks), Merger(ranks), dict(zip(hashes.tolist(), ([r] for r in ranks.values()))), {}
 
 
+def _repaired(data: np.ndarray, offsets: np.ndarray):
+    """Bytes and offsets of the texts with what is no UTF-8 read as U+FFFD."""
+    texts = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def _transcode(shared, names, offsets_wanted, decode_wanted):
     def run(batches):
         rank_file, classes = shared.value
         ranks, decode, merge_all, whole, cache = _tables(rank_file)
         for rows, data, offsets in text_blocks(batches, limit=BLOCK):
-            cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            try:
+                points = data.tobytes().decode("utf-8")
+            except UnicodeDecodeError:
+                data, offsets = _repaired(data, offsets)
+                points = data.tobytes().decode("utf-8")
+            cp = np.frombuffer(points.encode("utf-32-le"), np.uint32)
             at = np.flatnonzero((data & 0xC0) != 0x80)
             first = np.zeros(len(cp) + 1, bool)
             first[np.searchsorted(at, offsets[:-1])] = True
@@ -320,7 +331,7 @@ def transcode(docs: DataFrame, rank_file: bytes, text: str = "text", offsets: bo
     """``docs`` with ``ids`` array<int>, the whole ``text`` encoded by the ranks in ``rank_file``'s bytes.
 
     ``offsets`` adds token_offsets, the byte at which each token starts in its text; ``decode`` adds decoded, the bytes that the
-    ids stand for. A null or empty text has no ids. Columns of ``docs`` with these names are replaced. The ranks and
+    ids stand for. A null or empty text has no ids; bytes that are no UTF-8 are read as U+FFFD. Columns of ``docs`` with these names are replaced. The ranks and
     the class of every codepoint (about 2 MB, fixed) are all that is broadcast.
     """
     spark = docs.sparkSession

@@ -56,3 +56,12 @@ def test_scan_is_the_sequential_composition():
 
 def test_empty_table(spark, rank_file):
     assert bpe.transcode(spark.createDataFrame([], CLASH), rank_file, decode=True).count() == 0
+
+
+def test_bytes_that_are_no_utf8_are_replaced(spark, rank_file, reference):
+    raw = [b"fine \xc3\xa9", b"bad \xff\xfe end", b"\xc3", b"\xa9 starts inside", b"", b"also fine"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "doc_id int, b binary").coalesce(1).selectExpr("doc_id", "cast(b as string) text")
+    got = {r.doc_id: r for r in bpe.transcode(df, rank_file, offsets=True, decode=True).select("doc_id", "ids", "decoded").collect()}
+    for i, b in enumerate(raw):
+        text = b.decode("utf-8", "replace")
+        assert got[i].ids == reference.encode_ordinary(text) and bytes(got[i].decoded) == text.encode()
