@@ -25,7 +25,7 @@ _rng = np.random.default_rng(97)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
-SKETCH = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"
+SKETCH = "doc_id bigint, unit bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -68,9 +68,9 @@ def _sketches(size):
             keys = chain(np.broadcast_to(lane, part.shape[:2]), *(part[:, :, r] for r in range(ROWS))).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(f[:, 0].astype(np.int64)),
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("unit"), pa.array(n), pa.array(f[:, 0].astype(np.int64)),
                                               pa.array(f[:, 1].astype(np.int64)), bands],
-                                             ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                                             ["doc_id", "unit", "n_shingles", "f1", "f2", "bands"])
 
     return run
 
@@ -182,6 +182,19 @@ def _blocks(rows, shingles):
     return F.greatest(F.ceil(rows / PAIR_BLOCK), F.ceil(shingles / PAIR_SHINGLES))
 
 
+def _of_one_id(named: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of different texts under one doc_id."""
+    held = (named.join(several.where("apart"), "doc_id", "left_semi").select("doc_id", "f1", "f2", "n_shingles").distinct()
+            .join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "id"))
+    first = held.groupBy("doc_id").agg(F.min("id").alias("u"))
+    return held.join(first, "doc_id").where("id <> u").select("u", F.col("id").alias("v"))
+
+
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """One row a unit; only those of ids that stand in several rows can repeat and are looked at."""
+    return rows.join(several, "doc_id", "left_anti").unionAll(rows.join(several, "doc_id", "left_semi").dropDuplicates(["unit"]))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
@@ -189,24 +202,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     text without words, empty or null has none and is linked with nothing. Documents are linked when
     100 * intersection >= ``percent`` * union. component_id is the least doc_id reachable, kept tells doc_id =
     component_id. Rows repeating a doc_id each come back, as parts of one document. A row without doc_id takes part in
-    nothing: component_id null, kept true. Other columns are ignored.
+    nothing: component_id null, kept true. Other columns are ignored. Inside, a text under an id goes by a hash of both, so
+    different texts under one id are each compared.
 
     Every row stays distributed: equal sets are one class before any join, a band's classes meet its least class only,
     and the classes still apart afterwards meet in blocks of bounded size.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("unit", F.xxhash64("doc_id", "text"))
     sketches = store(docs.mapInArrow(_sketches(shingle), SKETCH), "sketches")
     named = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = store(named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    rows = (named.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
+    classes = store(named.groupBy("f1", "f2", "n_shingles").agg(F.min("unit").alias("id"), F.min("doc_id").alias("least")), "classes")
+    mark = F.xxhash64("f1", "f2", "n_shingles")
+    several = store(named.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(mark) != F.max(mark)).alias("apart")).where("n > 1").select("doc_id", "apart"), "several")
+    repeats = not several.isEmpty()
+    rows = named.join(classes.select(F.col("id").alias("unit")).distinct(), "unit", "left_semi")
+    rows = ((_once(rows, several) if repeats else rows)
+            .select(F.col("unit").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
     hubs = rows.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub")
     met = store(rows.join(hubs, "band").select("band", "hub", "id", "n"), "met")
     pairs = met.where("hub <> id").select("hub", "id").distinct()
     members = met.select("id").distinct()
-    texts = store(docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-                  .select(F.col("doc_id").alias("id"), "text"), "texts")
-    links = store(_confirmed(pairs, texts, shingle, percent), "confirmed")
+    texts = docs.join(members.withColumnRenamed("id", "unit"), "unit", "left_semi")
+    texts = store((_once(texts, several) if repeats else texts).select(F.col("unit").alias("id"), "text"), "texts")
+    links = _confirmed(pairs, texts, shingle, percent)
+    links = store(links.unionAll(_of_one_id(named, several, classes)) if repeats else links, "confirmed")
     groups = store(components(links), "groups")
 
     # Bands in which several groups are left: their classes have met the hub only, not each other.
@@ -233,8 +253,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not late.isEmpty():
         groups = store(components(links.unionAll(late)), "groups")
 
-    of_class = (classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
-                .select("f1", "f2", "n_shingles", F.coalesce("label", "id").alias("component")))
+    grouped = classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    least = grouped.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
+    of_class = grouped.join(least, "label", "left").select("f1", "f2", "n_shingles", F.coalesce("first", "least").alias("component"))
     out = sketches.join(of_class, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(

@@ -50,6 +50,15 @@ def test_groups_match_brute_force(spark):
         assert {g.doc_id: g.n_shingles for g in got if g.doc_id is not None} == {i: len(_shingles(t, size)) for i, t, *_ in rows}
 
 
+def test_different_texts_under_one_id_are_each_compared(spark):
+    r = random.Random(8)
+    text = lambda: [f"w{r.randint(0, 9999)}" for _ in range(60)]
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (3, b), (5, [*b, "more"]), (7, [*a, "tail"]), (20, c), (9, c), (9, d), (11, [*d, "end"]), (11, [*d, "end"]), (12, text())]
+    got = {g.doc_id: g.component_id for g in near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id int, text string")).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 7: 1, 9: 9, 20: 9, 11: 9, 12: 12}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
