@@ -4,74 +4,148 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import Cells, distances, in_metric, make_cells, sides, stack
+from rhopool.operators.points import Cells, distances, estimate, in_metric, make_cells, pair_distances, row_sides, sides, stack, tile_pairs
 from rhopool.session import materialize
 
-_CAND = "id string, cand array<struct<d:double,nid:string,w:double>>"
-
-
-def _candidates(ids, d, bound, other_ids, other_w, self_pos, k):
-    """Per row the closest others covering weight k and no farther than the row's bound;
-    own copies count as w - 1 at distance 0."""
-    out = []
-    for i in range(len(ids)):
-        w = other_w.copy()
-        if self_pos is not None:
-            w[self_pos[i]] -= 1.0
-        order = np.lexsort((other_ids, d[i]))
-        order = order[(w[order] > 0) & (d[i, order] <= bound[i])]
-        take = order[: int(np.searchsorted(np.cumsum(w[order]), k) + 1)]
-        out.append([(float(d[i, j]), other_ids[j], float(w[j])) for j in take])
+_CAND = "num bigint, d array<double>, n array<bigint>, w array<double>"
+#: Points whose candidates are merged in one group.
+_MERGED = 4096
+
+
+class _Best:
+    """The nearest others of ``size`` rows that cover weight k; no farther than ``u``, which falls as they come in."""
+
+    def __init__(self, size: int, u: np.ndarray, k: int):
+        self.size, self.u, self.k = size, u.copy(), k
+        self.found, self.held, self.limit = [], 0, 2 * k * size + (1 << 18)
+
+    def add(self, row: np.ndarray, d: np.ndarray, num: np.ndarray, w: np.ndarray) -> None:
+        near = d <= self.u[row]
+        self.found.append((row[near], d[near], num[near], w[near]))
+        self.held += len(self.found[-1][0])
+        if self.held > self.limit:
+            self.cut()
+
+    def cut(self):
+        """(row, d, num, w, weight before) by row, distance and number, as far as weight k needs them."""
+        row, d, num, w = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.zeros(0, int), np.zeros(0), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((num, d, row))
+        row, d, num, w = row[order], d[order], num[order], w[order]
+        before = np.cumsum(w) - w
+        before -= before[np.searchsorted(row, row)]
+        need = before < self.k
+        row, d, num, w, before = row[need], d[need], num[need], w[need], before[need]
+        full = before + w >= self.k
+        self.u[row[full]] = d[full]
+        self.found, self.held = [(row, d, num, w)], len(row)
+        return row, d, num, w, before
+
+
+def _lists(row: np.ndarray, size: int, *columns: np.ndarray) -> list[pa.Array]:
+    edges = np.searchsorted(row, np.arange(size + 1)).astype("i4")
+    return [pa.ListArray.from_arrays(pa.array(edges), pa.array(c)) for c in columns]
+
+
+def _knn_kernel(k: int, metric: str, gaps: np.ndarray):
+    """Per row of a task's blocks the closest others of the other block (or of its own) covering weight k and no farther
+    than the row's bound ``u``; own copies count as w - 1 at distance 0."""
+    def kernel(table: pa.Table) -> pa.Table:
+        a, b, same = row_sides(table)
+        best = {}
+        for x in (a, b):
+            x.num, x.w = x.column("num"), x.column("w")
+            best[id(x)] = best.get(id(x)) or _Best(x.n, x.column("u"), k)
+        left, right = best[id(a)], best[id(b)]
+        if same:
+            copies = np.flatnonzero(a.w > 1)
+            left.add(copies, np.zeros(len(copies)), a.num[copies], a.w[copies] - 1)
+        for c, s, d, t in tile_pairs(a, b, same):
+            us, ut, own = left.u[s], right.u[t], same and s == t
+            if gaps[c, d] > max(us.max(), ut.max()):
+                continue
+            x, y = a.v[s], b.v[t]
+            got = estimate(x, y, metric)
+            if got is None:
+                i, j = np.divmod(np.arange(len(x) * len(y)), len(y))
+            else:
+                # Where nothing bounds a row yet, its k + 1 smallest estimates do: one of them may be the row itself.
+                for u, e in ((us, got.e), (ut, got.e.T)):
+                    free = np.flatnonzero(np.isinf(u))
+                    if len(free) and e.shape[1] > k:
+                        u[free] = got.most(np.partition(e[free], k, axis=1)[:, k])
+                mask = got.e <= got.allow(us)[:, None]
+                if not own:
+                    mask |= got.e <= got.allow(ut)
+                i, j = np.divmod(np.flatnonzero(mask), len(y))
+            if own:
+                i, j = i[i != j], j[i != j]
+            dist = _measured(x, y, i, j, metric)
+            i, j = i + s.start, j + t.start
+            left.add(i, dist, b.num[j], b.w[j])
+            if not own:
+                right.add(j, dist, a.num[i], a.w[i])
+        out = []
+        for x in (a,) if same else (a, b):
+            row, d, num, w, _ = best[id(x)].cut()
+            out.append(pa.table([pa.array(x.num), *_lists(row, x.n, d, num, w)], ["num", "d", "n", "w"]))
+        return pa.concat_tables(out)
+    return kernel
+
+
+def _measured(x, y, i, j, metric):
+    """Distances of the pairs (i, j), a slice at a time."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 65536):
+        out[s:s + 65536] = pair_distances(x[i[s:s + 65536]], y[j[s:s + 65536]], metric)
     return out
 
 
-def _knn_kernel(k: int, metric: str = "euclidean"):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = sides(pdf)
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": [], "cand": []})
-        ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-        aw, bw = a["w"].to_numpy(float), b["w"].to_numpy(float)
-        au, bu = a["u"].to_numpy(float), b["u"].to_numpy(float)
-        d = distances(stack(a["v"]), stack(b["v"]), metric)
-        left = pd.DataFrame({"id": ai, "cand": _candidates(ai, d, au, bi, bw, np.arange(len(ai)) if same else None, k)})
-        if same:
-            return left
-        return pd.concat([left, pd.DataFrame({"id": bi, "cand": _candidates(bi, d.T, bu, ai, aw, None, k)})])
-    return kernel
+def _flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Numbers repeated for their candidates, and the candidates' columns."""
+    lists = [table[c].combine_chunks() for c in ("d", "n", "w")]
+    length = np.diff(lists[0].offsets.to_numpy())
+    return np.repeat(table["num"].to_numpy(), length), *(x.flatten().to_numpy() for x in lists)
+
+
+def _merge_kernel(k: int):
+    def merge(table: pa.Table) -> pa.Table:
+        num, row = np.unique(table["num"].to_numpy(), return_inverse=True)
+        flat, d, n, w = _flat(table)
+        best = _Best(len(num), np.full(len(num), np.inf), k)
+        best.found = [(np.searchsorted(num, flat), d, n, w)]
+        row, d, n, w, before = best.cut()
+        return pa.table([pa.array(num), pa.array(best.u), *_lists(row, len(num), d, n, np.minimum(w, k - before))], ["num", "kdist", "d", "n", "m"])
+    return merge
 
 
 def nearest(cells: Cells, k: int) -> DataFrame:
-    """(id, kdist, near): the k nearest others by weight with their multiplicity.
+    """(num, kdist, d, n, m): the k nearest others by weight, their distances, numbers and multiplicities.
 
-    Distances inside the own block bound each cell's reach first; only cells
-    within that reach are compared, which keeps the result exact.
+    Distances inside the own block bound each point's reach first; only cells
+    within that reach are compared, and a task keeps only candidates inside
+    the point's own bound, which keeps the result exact.
     """
-    free = F.lit(float("inf"))
-    own = (cells.points.withColumns({"bi": F.col("blk"), "bj": F.col("blk"), "u": free}).groupBy("bi", "bj")
-           .applyInPandas(_knn_kernel(k, cells.metric), _CAND))
-    if int(cells.blocks.sum()) > 1:
-        total = F.aggregate("cand", F.lit(0.0), lambda s, x: s + x["w"])
-        bound = F.when(total >= k, F.element_at("cand", -1).getField("d")).otherwise(free)
-        bounded = materialize(cells.points.join(own.select("id", bound.alias("u")), "id"), "bounded")
+    gaps = cells.gaps()
+    kernel = _knn_kernel(k, cells.metric, gaps)
+    points = cells.points.drop("id")
+    own = materialize(points.withColumns({"bi": F.col("blk"), "bj": F.col("blk"), "u": F.lit(float("inf"))})
+                      .groupBy("bi", "bj").applyInArrow(kernel, _CAND), "own")
+    found = own
+    if int(cells.last_block.max()) > 0:
+        total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+        bound = F.when(total >= k, F.element_at("d", -1)).otherwise(F.lit(float("inf")))
+        bounded = materialize(points.join(own.select("num", bound.alias("u")), "num"), "bounded")
         reach = {r["cell"]: r["u"] for r in bounded
                  .groupBy("cell").agg(F.max("u").alias("u")).collect()}
         reach = np.array([reach.get(c, 0.0) for c in range(len(cells.pivots))])
-        parts = cells.block_pairs(bounded, reach).groupBy("bi", "bj").applyInPandas(_knn_kernel(k, cells.metric), _CAND)
-        # A task keeps only candidates inside the point's own bound, so the lists merged here stay near k.
-        own = parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("cand"))).alias("cand"))
-    # Running weight, then multiplicities cut at k.
-    walk = F.aggregate(
-        "cand", F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<struct<d:double,nid:string,m:double>>)").alias("out")),
-        lambda acc, x: F.when(acc["s"] >= k, acc).otherwise(F.struct(
-            (acc["s"] + x["w"]).alias("s"),
-            F.concat(acc["out"], F.array(F.struct(x["d"].alias("d"), x["nid"].alias("nid"),
-                                                  F.least(x["w"], F.lit(float(k)) - acc["s"]).alias("m")))).alias("out"))),
-        lambda acc: acc["out"])
-    return own.select("id", walk.alias("near")).withColumn("kdist", F.element_at("near", -1).getField("d"))
+        others = cells.block_pairs(bounded, reach).where("bi < bj").groupBy("bi", "bj").applyInArrow(kernel, _CAND)
+        found = own.unionByName(others.where("size(d) > 0"))
+    return (found.withColumn("part", F.floor(F.col("num") / F.lit(_MERGED))).groupBy("part")
+            .applyInArrow(_merge_kernel(k), "num bigint, kdist double, d array<double>, n array<bigint>, m array<double>"))
 
 
 def local_outlier_factor(points: DataFrame, k: int = 20, block: int | None = None, metric: str = "euclidean",
@@ -79,20 +153,20 @@ def local_outlier_factor(points: DataFrame, k: int = 20, block: int | None = Non
     """(id, lof) with k capped at n - 1; metrics: euclidean, mahalanobis, and manhattan with ``weights``."""
     points, plain = in_metric(points, metric, weights)
     points = materialize(points, "lof")
-    cells = make_cells(points, metric=plain, **({"block": block} if block else {}))
+    cells = make_cells(points, block, metric=plain)
     n = points.count()
     k = min(k, n - 1)
     if k < 1:
         return points.select("id", F.lit(0.0).alias("lof"))
     knn = materialize(nearest(cells, k), "knn")
-    pairs = knn.select("id", F.inline("near"))
-    kd = knn.select(F.col("id").alias("nid"), F.col("kdist").alias("okd"))
-    lrd = materialize(pairs.join(kd, "nid").groupBy("id").agg(
+    pairs = knn.select("num", F.inline(F.arrays_zip("d", "n", "m")))
+    kd = knn.select(F.col("num").alias("n"), F.col("kdist").alias("okd"))
+    lrd = materialize(pairs.join(kd, "n").groupBy("num").agg(
         (1.0 / (F.sum(F.col("m") * F.greatest("okd", "d")) / F.lit(float(k)) + F.lit(1e-10))).alias("lrd")), "lrd")
-    lof = (pairs.join(lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("olrd")), "nid")
-           .groupBy("id").agg((F.sum(F.col("m") * F.col("olrd")) / F.lit(float(k))).alias("s"))
-           .join(lrd, "id").select(F.col("id").alias("_rep"), (F.col("s") / F.col("lrd")).alias("lof")))
-    by_vector = cells.points.select("v", F.col("id").alias("_rep")).join(lof, "_rep").select("v", "lof")
+    lof = (pairs.join(lrd.select(F.col("num").alias("n"), F.col("lrd").alias("olrd")), "n")
+           .groupBy("num").agg((F.sum(F.col("m") * F.col("olrd")) / F.lit(float(k))).alias("s"))
+           .join(lrd, "num").select("num", (F.col("s") / F.col("lrd")).alias("lof")))
+    by_vector = cells.points.select("v", "num").join(lof, "num").select("v", "lof")
     return points.join(by_vector, "v").select("id", "lof")
 
 

@@ -1,11 +1,13 @@
 """Points in space, cut into bounded blocks for exact pairwise work.
 
 Equal vectors are merged into one weighted point, so a group of copies costs
-one point.  Points go to their nearest pivot (cell); a cell is split into
-blocks of at most about ``block`` points.  Two cells are compared only if the
-triangle inequality allows a pair within reach:
+one point.  Points go to their nearest pivot (cell); cells, in an order that
+keeps near pivots together, are cut into blocks of about ``block`` points.  Two
+cells are compared only if the triangle inequality allows a pair within reach:
 ``|p - q| - radius_p - radius_q <= reach``.  Every task sees two blocks, and
-emits per-point results, never pairs.
+emits per-point results, never all pairs.  Inside a task, tiles of the blocks
+are compared by a fast estimate with a known error; only the pairs that it
+leaves open are measured.
 """
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rhopool.operators.upsert import number_rows
 from rhopool.session import materialize
 
 BLOCK = 1024
+#: Blocks whose tasks work by tiles: about 20 of them, of at most so many points of 64 dimensions.
+WIDE_BLOCK = 32768
+TILE = 1024
 MAX_PIVOTS = 256
 
 
@@ -129,21 +136,25 @@ def in_metric(points: DataFrame, metric: str, weights: list[float] | None = None
 @dataclass
 class Cells:
     """Distinct weighted points with their block, plus cell geometry (bounded by the pivot count)."""
-    points: DataFrame       # id, v, w, cell, blk
+    points: DataFrame       # num, id, v, w, cell, blk; num counts the ids in their order
     pivots: np.ndarray
     radius: np.ndarray
     first_block: np.ndarray
-    blocks: np.ndarray
+    last_block: np.ndarray
     n: int
     metric: str = "euclidean"
 
+    def gaps(self) -> np.ndarray:
+        """What lies between two cells at least, a little less for rounding."""
+        apart = distances(self.pivots, self.pivots, self.metric)
+        return apart - (self.radius[:, None] + self.radius[None, :]) * (1 + 1e-9) - 1e-9 * (1 + apart)
+
     def partners(self, reach: np.ndarray | float) -> dict[int, list[int]]:
         """Block numbers each cell must meet; ``reach`` may differ per cell."""
-        gap = distances(self.pivots, self.pivots, self.metric) - self.radius[:, None] - self.radius[None, :]
-        need = gap <= np.broadcast_to(np.asarray(reach, float)[..., None] if np.ndim(reach) else reach, gap.shape) * (1 + 1e-9) + 1e-9
+        need = self.gaps() <= (np.asarray(reach, float)[:, None] if np.ndim(reach) else reach)
         need |= need.T
-        ids = [np.arange(f, f + b) for f, b in zip(self.first_block, self.blocks)]
-        return {c: np.concatenate([ids[d] for d in np.flatnonzero(need[c])]).tolist() for c in range(len(self.pivots))}
+        ids = [np.arange(f, l + 1) for f, l in zip(self.first_block, self.last_block)]
+        return {c: np.unique(np.concatenate([ids[d] for d in np.flatnonzero(need[c])])).tolist() for c in range(len(self.pivots))}
 
     def block_pairs(self, rows: DataFrame, reach) -> DataFrame:
         """Rows replicated to every block pair they take part in, keyed (bi, bj)."""
@@ -157,12 +168,28 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return points.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVOTS, seed: int = 42, metric: str = "euclidean") -> Cells:
-    distinct = materialize(distinct_points(points), "points")
+def _chain(pivots: np.ndarray, metric: str) -> np.ndarray:
+    """Pivots in an order in which each is followed by the nearest one that is left."""
+    apart = distances(pivots, pivots, metric)
+    order = [0]
+    apart[:, 0] = np.inf
+    while len(order) < len(pivots):
+        order.append(int(apart[order[-1]].argmin()))
+        apart[:, order[-1]] = np.inf
+    return np.array(order)
+
+
+def make_cells(points: DataFrame, block: int | None = BLOCK, max_pivots: int = MAX_PIVOTS, seed: int = 42, metric: str = "euclidean") -> Cells:
+    """Cells of points(id, v). Without ``block`` there are about 20 blocks, more past 20 of ``WIDE_BLOCK``."""
+    distinct = materialize(number_rows(distinct_points(points), ["id"], "num"), "points")
     n = distinct.count()
-    k = int(min(max_pivots, max(1, n // (2 * block))))
+    k = int(min(max_pivots, max(1, n // (2 * min(block or BLOCK, BLOCK)))))
     pivots = stack(distinct.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("v").toPandas()["v"]) \
         if n else np.zeros((1, 1))
+    pivots = pivots[_chain(pivots, metric)]
+    if block is None:
+        most = max(BLOCK, WIDE_BLOCK * 64 // max(64, pivots.shape[1]))
+        block = min(most, max(BLOCK, math.ceil(n / 20)))
 
     def nearest(batches):
         for pdf in batches:
@@ -173,17 +200,126 @@ def make_cells(points: DataFrame, block: int = BLOCK, max_pivots: int = MAX_PIVO
             pdf["dist"] = d.min(1)
             yield pdf
 
-    placed = distinct.mapInPandas(nearest, "v array<double>, id string, w double, cell int, dist double")
+    placed = distinct.select("num", "v", "id", "w").mapInPandas(nearest, "num bigint, v array<double>, id string, w double, cell int, dist double")
     placed = materialize(placed, "cells")
     stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
     radius = np.array([stats[c]["r"] if c in stats else 0.0 for c in range(len(pivots))])
-    blocks = np.array([math.ceil(stats[c]["n"] / block) if c in stats else 0 for c in range(len(pivots))])
-    first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-    table = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(max(blocks[c], 1)))])
-    start = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(first[c]))])
-    blk = F.element_at(start, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(table, F.col("cell"))).cast("int")
-    return Cells(placed.withColumn("blk", blk.cast("int")).drop("dist"), pivots, radius, first, blocks, n, metric)
+    size = np.array([stats[c]["n"] if c in stats else 0 for c in range(len(pivots))])
+    start = np.cumsum(size) - size
+    blocks = max(1, round(n / block))
+    size_of = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(max(size[c], 1)))])
+    start_of = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, int(start[c]))])
+    place = F.element_at(start_of, F.col("cell")) + F.pmod(F.xxhash64("id"), F.element_at(size_of, F.col("cell")))
+    blk = F.floor(place * F.lit(blocks) / F.lit(max(n, 1))).cast("int")
+    first, last = start * blocks // max(n, 1), (start + np.maximum(size, 1) - 1) * blocks // max(n, 1)
+    return Cells(placed.withColumn("blk", blk).drop("dist"), pivots, radius, first, last, n, metric)
+
+
+@dataclass
+class Estimate:
+    """Estimates ``e`` of the distances between two tiles: a distance is at most u only if e <= ``allow(u)``, it is
+    if e <= ``sure(u)``, and at most ``most(e)``."""
+    e: np.ndarray
+    step: float             # Manhattan: units of e; Euclidean: 0, e is squared
+    slack: float
+    off: float
+
+    def allow(self, u):
+        if self.step:
+            return np.minimum(np.floor(u / self.step) + self.slack, 65535).astype("u2")
+        return np.float32(1 + 1e-6) * ((u + self.off) ** 2 + self.slack).astype("f4")
+
+    def sure(self, u: float) -> float:
+        if self.step:
+            return math.floor(u / self.step) - self.slack
+        return (max(u - self.off, 0.0) ** 2 - self.slack) * (1 - 1e-6)
+
+    def most(self, e):
+        if self.step:
+            return (e.astype(float) + self.slack) * self.step
+        return np.sqrt(np.maximum(e.astype(float), 0) + self.slack) * (1 + 1e-6) + self.off
+
+
+def estimate(a: np.ndarray, b: np.ndarray, metric: str) -> Estimate | None:
+    """None where numbers are too large or too many for an estimate.
+
+    Euclidean: squares by one product in single precision about the tile's middle. Manhattan: coordinates are counted in
+    steps of one size, so that the sum of |x - y| = x + y - 2 min(x, y) fits 16 bits.
+    """
+    dims = a.shape[1]
+    top = max(np.abs(a).max(), np.abs(b).max())
+    if not top < 1e15 or dims > 4096:
+        return None
+    if metric == "manhattan":
+        low = np.minimum(a.min(0), b.min(0))
+        wide = (np.maximum(a.max(0), b.max(0)) - low).sum()
+        step = float(max(wide / 60000, top * 1e-12, 1e-290))
+        x, y = ((np.floor((v - low) / step)).astype("u2").T.copy() for v in (a, b))
+        total = x.sum(0, dtype="u2")[:, None] + y.sum(0, dtype="u2")[None, :]
+        rows = max(1, 65536 // max(1, len(b)))
+        w = np.empty((rows, len(b)), "u2")
+        for s in range(0, len(a), rows):
+            e, t = total[s:s + rows], w[:len(a) - s]
+            less = np.zeros_like(e)
+            for j in range(dims):
+                np.minimum(x[j, s:s + rows, None], y[j], out=t)
+                less += t
+            less += less
+            e -= less
+        return Estimate(total, step, dims + 2, 0.0)
+    mid = b.mean(0)
+    a, b = a - mid, b - mid
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    x = np.concatenate([-2 * a, na[:, None], np.ones((len(a), 1))], 1).astype("f4")
+    y = np.concatenate([b, np.ones((len(b), 1)), nb[:, None]], 1).astype("f4")
+    return Estimate(x @ y.T, 0.0, 1.3e-7 * (dims + 8) * float(na.max() + nb.max()) + 1e-36, 4e-16 * math.sqrt(dims) * top)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances row by row, added up in the order of ``distances``."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), 4096):
+        d = a[s:s + 4096] - b[s:s + 4096]
+        d = np.abs(d, out=d) if metric == "manhattan" else np.multiply(d, d, out=d)
+        out[s:s + 4096] = np.add.accumulate(d, axis=1, out=d)[:, -1]
+    return out if metric == "manhattan" else np.sqrt(out)
+
+
+class Rows:
+    """Points of a block in a task: by cell, cut into tiles."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("cell")
+        self.table, self.n = table, len(table)
+        self.cell = self.column("cell")
+        v = table["v"].combine_chunks()
+        self.v = np.asarray(v.flatten().to_numpy(zero_copy_only=False), float).reshape(self.n, -1) if self.n else np.zeros((0, 1))
+        self.tiles = []
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.cell)) + 1, [self.n]]) if self.n else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            edges = np.linspace(lo, hi, math.ceil((hi - lo) / TILE) + 1).astype(int)
+            self.tiles += [(int(self.cell[lo]), slice(s, t)) for s, t in zip(edges[:-1], edges[1:])]
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table[name].to_numpy()
+
+
+def row_sides(table: pa.Table) -> tuple[Rows, Rows, bool]:
+    """The two blocks of a task and whether they are the same block."""
+    lo, hi = table["bi"][0].as_py(), table["bj"][0].as_py()
+    if lo == hi:
+        a = Rows(table)
+        return a, a, True
+    blk = table["blk"].to_numpy()
+    return Rows(table.filter(pa.array(blk == lo))), Rows(table.filter(pa.array(blk == hi))), False
+
+
+def tile_pairs(a: Rows, b: Rows, same: bool):
+    """Tiles of two blocks, each pair once: (cell, rows, cell, rows)."""
+    for i, (c, s) in enumerate(a.tiles):
+        for d, t in b.tiles[i:] if same else b.tiles:
+            yield c, s, d, t
 
 
 def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
