@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import Cells, distances, estimate, in_metric, make_cells, pair_distances, row_sides, sides, stack, tile_pairs
+from rhopool.operators.points import BLOCK, WIDE_BLOCK, Cells, distances, estimate, in_metric, make_cells, pair_distances, row_sides, tile_pairs
 from rhopool.session import materialize
 
 _CAND = "num bigint, d array<double>, n array<bigint>, w array<double>"
 #: Points whose candidates are merged in one group.
 _MERGED = 4096
+#: Members on each side of a tile of distances, and sums of distances that a task holds for a block.
+_SIDE, _SUMS = 512, 1 << 24
 
 
 class _Best:
@@ -170,38 +171,98 @@ def local_outlier_factor(points: DataFrame, k: int = 20, block: int | None = Non
     return points.join(by_vector, "v").select("id", "lof")
 
 
+def _tile_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by one product about the tile's middle; those that it would blur are measured by differences."""
+    mid = y.mean(0)
+    a, b = x - mid, y - mid
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    d = np.concatenate([-2 * a, na[:, None], np.ones((len(a), 1))], 1) @ np.concatenate([b, np.ones((len(b), 1)), nb[:, None]], 1).T
+    top = 1e-4 * (na.max() + nb.max())
+    if not top < 1e300:
+        return distances(x, y)
+    blurred = np.flatnonzero(d <= top)
+    if len(blurred) > d.size // 16:
+        blurred = np.flatnonzero(d <= 1e-4 * (na[:, None] + nb))
+    if len(blurred) > d.size // 4:
+        return distances(x, y)
+    i, j = np.divmod(blurred, len(y))
+    d.flat[blurred] = 0.0
+    np.sqrt(d, out=d)
+    d.flat[blurred] = _measured(x, y, i, j, "euclidean")
+    return d
+
+
+class _Labelled:
+    """Members of a block by label and number, with the distance sums of each to every label."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("lab", "ascending"), ("num", "ascending")])
+        self.n = len(table)
+        self.num, self.lab, self.m = (table[c].to_numpy() for c in ("num", "lab", "m"))
+        self.v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(self.n, -1) if self.n else np.zeros((0, 1))
+        self.sums: dict[int, np.ndarray] = {}
+
+    def slices(self):
+        return [slice(s, min(s + _SIDE, self.n)) for s in range(0, self.n, _SIDE)]
+
+    def add(self, s: slice, d: np.ndarray, other: "_Labelled", t: slice) -> None:
+        lab = other.lab[t]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(lab)) + 1, [len(lab)]])
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            if lab[lo] not in self.sums:
+                self.sums[lab[lo]] = np.zeros(self.n)
+            self.sums[lab[lo]][s] += d[:, lo:hi] @ other.m[t][lo:hi]
+
+
+def _label_sums(table: pa.Table) -> pa.Table:
+    """Per block of a task and label of the other one, the block's points and their sums of distances."""
+    lo, hi = table["bi"][0].as_py(), table["bj"][0].as_py()
+    blk = table["blk"].to_numpy()
+    a = _Labelled(table.filter(pa.array(blk == lo)))
+    b = a if lo == hi else _Labelled(table.filter(pa.array(blk == hi)))
+    for i, s in enumerate(a.slices()):
+        for t in b.slices()[i if a is b else 0:]:
+            d = _tile_distances(a.v[s], b.v[t])
+            a.add(s, d, b, t)
+            if a is not b or s != t:
+                b.add(t, d.T, a, s)
+    out = []
+    for number, x in ((lo, a),) if a is b else ((lo, a), (hi, b)):
+        num, first = np.unique(x.num, return_index=True)
+        out += [(number, int(lab), num, s[first]) for lab, s in x.sums.items()]
+    return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()),
+                     pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.list_(pa.float64()))],
+                    ["blk", "other", "num", "s"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    s = table["s"].combine_chunks().flatten().to_numpy().reshape(len(table), -1).sum(0)
+    return pa.table([table["other"].slice(0, 1).combine_chunks(), table["num"].slice(0, 1).combine_chunks(), pa.array([s], pa.list_(pa.float64()))], ["other", "num", "s"])
+
+
 def silhouette(points: DataFrame, labels: DataFrame, label: str = "cluster_label", block: int | None = None) -> DataFrame:
     """One row (n_labels, silhouette): plain Euclidean mean silhouette; noise is a label; -1 below two labels.
 
-    Tasks emit distance sums per (point, label), never pairs.  Work is
+    Tasks emit distance sums per block and label, never pairs.  Work is
     quadratic by definition.
     """
-    cells = make_cells(points, **({"block": block} if block else {}))
+    sizes = labels.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(sizes, "sizes")
+    cells = make_cells(points, block)
+    # A task holds a sum for each point and label.
+    if block is None and sizes.count() * WIDE_BLOCK > _SUMS:
+        cells = make_cells(points, max(BLOCK, _SUMS // sizes.count()))
     tag = points.join(labels.select("id", F.col(label).alias("lab")), "id")
     # Copies may carry different labels, so weights are kept per label.
     members = tag.groupBy("v", "lab").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    rows = cells.points.join(members, "v").select("id", "v", "lab", "m", "cell", "blk")
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = sides(pdf)
-        out = []
-        for x, y in ((a, b),) if same else ((a, b), (b, a)):
-            if len(x) == 0 or len(y) == 0:
-                continue
-            x = x.drop_duplicates("id")
-            d = distances(stack(x["v"]), stack(y["v"]))
-            lab, w = y["lab"].to_numpy(), y["m"].to_numpy(float)
-            for l in np.unique(lab):
-                pick = lab == l
-                out.append(pd.DataFrame({"id": x["id"].to_numpy(), "other": l, "s": d[:, pick] @ w[pick]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "s": []})
-
-    sizes = labels.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    per = (cells.block_pairs(rows, float("inf")).groupBy("bi", "bj").applyInPandas(sums, "id string, other int, s double")
-           .groupBy("id", "other").agg(F.sum("s").alias("s")).join(sizes, "other"))
-    mine = rows.select("id", "lab", "m").join(per, "id")
+    rows = materialize(cells.points.join(members, "v").select("num", "v", "lab", "m", "cell", "blk"), "members")
+    parts = (cells.block_pairs(rows.where("lab is not null"), float("inf")).drop("cell").groupBy("bi", "bj")
+             .applyInArrow(_label_sums, "blk int, other int, num array<bigint>, s array<double>"))
+    per = (parts.groupBy("blk", "other").applyInArrow(_added, "other int, num array<bigint>, s array<double>")
+           .select("other", F.inline(F.arrays_zip("num", "s"))).join(sizes, "other"))
+    mine = rows.select("num", "lab", "m").join(per, "num", "left")
     own = F.col("other") == F.col("lab")
-    score = mine.groupBy("id", "lab", "m").agg(
+    score = mine.groupBy("num", "lab", "m").agg(
         F.max(F.when(own, F.col("n"))).alias("n"),
         F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))

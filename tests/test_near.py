@@ -79,3 +79,33 @@ def test_lof_of_several_blocks(spark, metric):
 def test_blocks_stay_few(spark):
     pts = spark.range(30000).selectExpr("cast(id as string) id", "array(cast(id as double), rand(1)) v")
     assert P.make_cells(pts, None).last_block.max() + 1 <= 20
+
+
+def test_silhouette_sums_by_tiles(monkeypatch, spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 6)) + 1e4
+    x[:40] = x[0]
+    x[40:80] = x[40] + rng.normal(size=(40, 6)) * 1e-7
+    lab = rng.integers(0, 4, 1500)
+    calls = []
+    monkeypatch.setattr(N, "distances", lambda *a: calls.append(a) or P.distances(*a))
+    got = N._tile_distances(x[:700], x[700:])
+    assert got == pytest.approx(P.distances(x[:700], x[700:]), rel=1e-9) and not calls
+    assert N._tile_distances(x[:80], x[:80]) == pytest.approx(P.distances(x[:80], x[:80]), rel=1e-9, abs=0)
+    monkeypatch.undo()
+    pts = spark.createDataFrame([(f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "id string, v array<double>")
+    labels = spark.createDataFrame([(f"{i:05d}", int(l)) for i, l in enumerate(lab)], "id string, cluster_label int")
+    d = P.distances(x, x)
+    sums, size = np.stack([d[:, lab == l].sum(1) for l in range(4)], 1), np.bincount(lab)
+    a = sums[np.arange(1500), lab] / (size[lab] - 1)
+    b = np.where(np.arange(4) == lab[:, None], np.inf, sums / size).min(1)
+    for block in (None, 400):
+        out = N.silhouette(pts, labels, block=block).first()
+        assert out.n_labels == 4 and out.silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)
+
+
+def test_silhouette_takes_missing_labels_as_nothing(spark):
+    pts = spark.createDataFrame([(str(i), [float(x)]) for i, x in enumerate([0, 1, 10, 11, 5])], "id string, v array<double>")
+    labels = spark.createDataFrame([("0", 0), ("1", 0), ("2", 1), ("3", 1), ("4", None)], "id string, cluster_label int")
+    want = 2 * (9.5 / 10.5 + 8.5 / 9.5) / 5
+    assert N.silhouette(pts, labels).first().silhouette == pytest.approx(want, abs=1e-12)
