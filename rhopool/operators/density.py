@@ -5,68 +5,100 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import Cells, distances, in_metric, make_cells, sides, stack, unit_vectors
+from rhopool.operators.points import Cells, Rows, distances, estimate, in_metric, make_cells, measured, row_sides, tile_pairs, unit_vectors
 from rhopool.operators.upsert import number_rows
 from rhopool.session import materialize
 
 
+def _near_pairs(a: Rows, b: Rows, same: bool, eps: float, metric: str, gaps: np.ndarray):
+    """Pairs (i, j) within eps tile by tile; within one tile of one block in both directions, and each point with itself."""
+    for c, s, d, t in tile_pairs(a, b, same):
+        if gaps[c, d] > eps:
+            continue
+        x, y = a.v[s], b.v[t]
+        got = estimate(x, y, metric)
+        if got is None:
+            near = np.flatnonzero(distances(x, y, metric) <= eps)
+        else:
+            near = np.flatnonzero(got.e <= got.allow(np.float64(eps)))
+            open_ = got.e.ravel()[near] > got.sure(eps)
+            if open_.any():
+                i, j = np.divmod(near[open_], len(y))
+                open_[open_] = measured(x, y, i, j, metric) > eps
+                near = near[~open_]
+        if len(near):
+            i, j = np.divmod(near, len(y))
+            yield i + s.start, j + t.start, same and s == t
+
+
 def _neighbour_counts(cells: Cells, eps: float) -> DataFrame:
-    metric = cells.metric
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = sides(pdf)
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"id": [], "n": []})
-        near = distances(stack(a["v"]), stack(b["v"]), metric) <= eps
-        left = pd.DataFrame({"id": a["id"].to_numpy(), "n": near @ b["w"].to_numpy(float)})
-        if same:
-            return left
-        return pd.concat([left, pd.DataFrame({"id": b["id"].to_numpy(), "n": near.T @ a["w"].to_numpy(float)})])
-
-    return (cells.block_pairs(cells.points, eps).groupBy("bi", "bj").applyInPandas(count, "id string, n double")
-            .groupBy("id").agg(F.sum("n").alias("n")))
-
-
-def _roots(near: np.ndarray) -> np.ndarray:
-    """Smallest index of each node's component, by min-label steps with pointer jumping."""
-    n = len(near)
-    label = np.arange(n)
+    metric, gaps = cells.metric, cells.gaps()
+
+    def count(table: pa.Table) -> pa.Table:
+        a, b, same = row_sides(table)
+        left = np.zeros(a.n)
+        right = left if same else np.zeros(b.n)
+        aw, bw = a.column("w"), b.column("w")
+        for i, j, both in _near_pairs(a, b, same, eps, metric, gaps):
+            left += np.bincount(i, bw[j], a.n)
+            if not both:
+                right += np.bincount(j, aw[i], b.n)
+        out = [pa.table({"num": x.column("num"), "n": n}) for x, n in ((a, left), (b, right))[:1 if same else 2]]
+        return pa.concat_tables(out)
+
+    return (cells.block_pairs(cells.points.drop("id"), eps).groupBy("bi", "bj").applyInArrow(count, "num bigint, n double")
+            .groupBy("num").agg(F.sum("n").alias("n")))
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index of each node's component, by hooking roots to smaller ones with pointer jumping."""
+    label = np.arange(n) if label is None else label
     while True:
-        low = np.where(near, label[None, :], n).min(1)
-        new = np.minimum(label, low)
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if (new == label).all():
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        apart = low < high
+        if not apart.any():
             return label
-        label = new
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
 
 
-def _links(cells: Cells, core: DataFrame, eps: float) -> DataFrame:
-    """(id, root, kind): a spanning forest of core points per task, and the cores next to other points."""
-    metric = cells.metric
+def _links(cells: Cells, counts: DataFrame, eps: float) -> DataFrame:
+    """(num, root, kind): a spanning forest of core points per task, and roots of the cores next to other points.
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.drop_duplicates("id").sort_values("id", kind="stable")
-        ids, is_core = d["id"].to_numpy(), d["core"].to_numpy(bool)
-        empty = pd.DataFrame({"id": pd.Series(dtype=str), "root": pd.Series(dtype=str), "kind": pd.Series(dtype=str)})
-        if not is_core.any():
-            return empty
-        v = stack(d["v"])
-        root = _roots(distances(v[is_core], v[is_core], metric) <= eps)
-        names = ids[is_core]
-        out = [pd.DataFrame({"id": names, "root": names[root], "kind": "core"})]
-        if (~is_core).any():
-            near = distances(v[~is_core], v[is_core], metric) <= eps
-            i, j = np.nonzero(near)
-            out.append(pd.DataFrame({"id": ids[~is_core][i], "root": names[j], "kind": "border"}))
-        return pd.concat(out).drop_duplicates()
-
-    rows = cells.points.join(core, "id")
-    return cells.block_pairs(rows, eps).groupBy("bi", "bj").applyInPandas(link, "id string, root string, kind string")
+    Points without a neighbour but their copies link with nothing and are left out.
+    """
+    metric, gaps = cells.metric, cells.gaps()
+
+    def link(table: pa.Table) -> pa.Table:
+        a, b, same = row_sides(table)
+        shift = 0 if same else a.n
+        num, core = (np.concatenate([a.column(c), b.column(c)]) if not same else a.column(c) for c in ("num", "core"))
+        label, border = np.arange(len(num)), []
+        for i, j, both in _near_pairs(a, b, same, eps, metric, gaps):
+            j = j + shift
+            linked = core[i] & core[j]
+            label = _roots(len(num), i[linked], j[linked], label)
+            for x, y in ((i, j),) if both else ((i, j), (j, i)):
+                some = ~core[x] & core[y]
+                border.append((x[some], y[some]))
+        hooked = np.flatnonzero(label != np.arange(len(num)))
+        point, root = (np.concatenate(x) for x in zip(*border)) if border else (np.zeros(0, int), np.zeros(0, int))
+        pairs = np.unique(np.stack([point, label[root]], 1), axis=0)
+        return pa.table({"num": num[np.concatenate([hooked, pairs[:, 0]])], "root": num[np.concatenate([label[hooked], pairs[:, 1]])],
+                         "kind": ["core"] * len(hooked) + ["border"] * len(pairs)},
+                        pa.schema([("num", pa.int64()), ("root", pa.int64()), ("kind", pa.string())]))
+
+    rows = materialize(cells.points.drop("id").join(counts.select("num", "n", "core"), "num").where("n > w").drop("n"), "linked")
+    return cells.block_pairs(rows, eps).groupBy("bi", "bj").applyInArrow(link, "num bigint, root bigint, kind string")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -103,18 +135,19 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, metric: str = "eucli
     else:
         (work, plain), radius = in_metric(points, metric, weights), eps
     work = materialize(work, "dbscan")
-    cells = make_cells(work, metric=plain, **({"block": block} if block else {}))
-    core = materialize(_neighbour_counts(cells, radius).select("id", (F.col("n") >= min_samples).alias("core")), "core")
+    cells = make_cells(work, block, metric=plain)
+    core = materialize(_neighbour_counts(cells, radius).select("num", "n", (F.col("n") >= min_samples).alias("core")), "core")
     links = materialize(_links(cells, core, radius), "links")
-    comp = connected_components(links.where("kind = 'core'").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    alone = core.where("core").select(F.col("num").alias("a"), F.col("num").alias("b"))
+    comp = connected_components(links.where("kind = 'core'").select(F.col("num").alias("a"), F.col("root").alias("b")).union(alone))
     border = (links.where("kind = 'border'").join(comp, F.col("root") == F.col("node"))
-              .groupBy("id").agg(F.min("label").alias("label")))
-    named = comp.select(F.col("node").alias("id"), "label").unionByName(border)
+              .groupBy("num").agg(F.min("label").alias("label")))
+    named = comp.select(F.col("node").alias("num"), "label").unionByName(border)
     numbers = number_rows(comp.select("label").distinct(), ["label"], "cluster_label", start=0)
-    named = named.join(numbers, "label").select(F.col("id").alias("_rep"), F.col("cluster_label").cast("int").alias("cluster_label"))
+    named = named.join(numbers, "label").select("num", F.col("cluster_label").cast("int").alias("cluster_label"))
     # Copies take the label of their representative through the equal vector.
-    reps = cells.points.select("v", F.col("id").alias("_rep")).join(named, "_rep", "left").join(
-        core.withColumnRenamed("id", "_rep"), "_rep").select("v", "cluster_label", F.col("core").alias("is_core"))
+    reps = cells.points.select("v", "num").join(named, "num", "left").join(core, "num").select(
+        "v", "cluster_label", F.col("core").alias("is_core"))
     out = work.join(reps, "v").select("id", F.coalesce("cluster_label", F.lit(-1)).alias("cluster_label"), "is_core")
     if metric == "cosine":
         out = points.select("id").join(out, "id", "left").select(

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rhopool.operators.points import BLOCK, WIDE_BLOCK, Cells, distances, estimate, in_metric, make_cells, pair_distances, row_sides, tile_pairs
+from rhopool.operators.points import BLOCK, WIDE_BLOCK, Cells, distances, estimate, in_metric, make_cells, measured, row_sides, tile_pairs
 from rhopool.session import materialize
 
 _CAND = "num bigint, d array<double>, n array<bigint>, w array<double>"
@@ -84,7 +84,7 @@ def _knn_kernel(k: int, metric: str, gaps: np.ndarray):
                 i, j = np.divmod(np.flatnonzero(mask), len(y))
             if own:
                 i, j = i[i != j], j[i != j]
-            dist = _measured(x, y, i, j, metric)
+            dist = measured(x, y, i, j, metric)
             i, j = i + s.start, j + t.start
             left.add(i, dist, b.num[j], b.w[j])
             if not own:
@@ -97,14 +97,6 @@ def _knn_kernel(k: int, metric: str, gaps: np.ndarray):
     return kernel
 
 
-def _measured(x, y, i, j, metric):
-    """Distances of the pairs (i, j), a slice at a time."""
-    out = np.empty(len(i))
-    for s in range(0, len(i), 65536):
-        out[s:s + 65536] = pair_distances(x[i[s:s + 65536]], y[j[s:s + 65536]], metric)
-    return out
-
-
 def _flat(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Numbers repeated for their candidates, and the candidates' columns."""
     lists = [table[c].combine_chunks() for c in ("d", "n", "w")]
@@ -188,7 +180,7 @@ def _tile_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     i, j = np.divmod(blurred, len(y))
     d.flat[blurred] = 0.0
     np.sqrt(d, out=d)
-    d.flat[blurred] = _measured(x, y, i, j, "euclidean")
+    d.flat[blurred] = measured(x, y, i, j, "euclidean")
     return d
 
 

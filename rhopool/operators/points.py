@@ -286,6 +286,14 @@ def pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "manhattan" else np.sqrt(out)
 
 
+def measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (x[i], y[j]), a slice at a time."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 65536):
+        out[s:s + 65536] = pair_distances(x[i[s:s + 65536]], y[j[s:s + 65536]], metric)
+    return out
+
+
 class Rows:
     """Points of a block in a task: by cell, cut into tiles."""
 
@@ -320,11 +328,3 @@ def tile_pairs(a: Rows, b: Rows, same: bool):
     for i, (c, s) in enumerate(a.tiles):
         for d, t in b.tiles[i:] if same else b.tiles:
             yield c, s, d, t
-
-
-def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The two blocks of a task and whether they are the same block."""
-    lo, hi = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    if lo == hi:
-        return pdf, pdf, True
-    return pdf[pdf["blk"] == lo], pdf[pdf["blk"] == hi], False

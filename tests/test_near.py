@@ -3,6 +3,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from rhopool.operators import density as D
 from rhopool.operators import neighbours as N
 from rhopool.operators import points as P
 
@@ -41,7 +42,7 @@ def _measured_share(monkeypatch, metric):
     n, pairs = 3000, []
     x = rng.normal(size=(n, 24))
     measure = P.pair_distances
-    monkeypatch.setattr(N, "pair_distances", lambda a, b, m: pairs.append(len(a)) or measure(a, b, m))
+    monkeypatch.setattr(P, "pair_distances", lambda a, b, m: pairs.append(len(a)) or measure(a, b, m))
     table = pa.table({"num": np.arange(1, n + 1), "v": list(x), "w": np.ones(n), "cell": np.zeros(n, "i4"), "blk": np.zeros(n, "i4"),
                       "bi": np.zeros(n, "i4"), "bj": np.zeros(n, "i4"), "u": np.full(n, np.inf)})
     got = N._knn_kernel(10, metric, np.zeros((1, 1)))(table).to_pandas().set_index("num")
@@ -109,3 +110,36 @@ def test_silhouette_takes_missing_labels_as_nothing(spark):
     labels = spark.createDataFrame([("0", 0), ("1", 0), ("2", 1), ("3", 1), ("4", None)], "id string, cluster_label int")
     want = 2 * (9.5 / 10.5 + 8.5 / 9.5) / 5
     assert N.silhouette(pts, labels).first().silhouette == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_near_pairs_are_exact_and_few_are_measured(monkeypatch, metric):
+    rng, count = np.random.default_rng(9), []
+    x = np.round(np.vstack([rng.normal(size=(2500, 12)), rng.normal(size=(500, 12)) * 0.05 + 3]), 3)
+    measure = P.pair_distances
+    monkeypatch.setattr(P, "pair_distances", lambda a, b, m: count.append(len(a)) or measure(a, b, m))
+    rows = P.Rows(pa.table({"v": list(x), "cell": np.zeros(len(x), "i4"), "num": np.arange(len(x))}))
+    d = P.distances(x, x, metric)
+    eps = float(np.sort(d.ravel())[600000])
+    got = np.zeros(d.shape, bool)
+    for i, j, both in D._near_pairs(rows, rows, True, eps, metric, np.zeros((1, 1))):
+        got[i, j] = True
+        if not both:
+            got[j, i] = True
+    assert (got == (d <= eps)).all() and sum(count) < 0.01 * d.size
+
+
+def test_dbscan_of_several_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = np.round(np.vstack([rng.uniform(0, 30, (2600, 2)), rng.normal(12, .4, (900, 2))]), 2)
+    x[:6] = [-50, -50]
+    pts = spark.createDataFrame([(f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "id string, v array<double>")
+    near = P.distances(x, x) <= 0.5
+    core, label = near.sum(1) >= 5, np.full(len(x), -1)
+    root = D._roots(len(x), *np.nonzero(near & core[:, None] & core))
+    names = {r: k for k, r in enumerate(sorted(set(root[core])))}
+    for i in range(len(x)):
+        of = [names[root[j]] for j in (np.flatnonzero(near[i] & core) if not core[i] else [i])]
+        label[i] = min(of, default=-1)
+    got = D.dbscan(pts, 0.5, 5).toPandas().set_index("id").sort_index()
+    assert got["is_core"].tolist() == core.tolist() and got["cluster_label"].tolist() == label.tolist()
