@@ -2,7 +2,7 @@
 
 Trees see a fixed number of rows each, so growing costs the same at any table
 size: the pool they draw from is the trees x subsample rows with the smallest
-hash.  One task grows one tree; the forest (at most trees x 2 x subsample
+hash, and each tree is sent its own subsample only.  One task grows one tree; the forest (at most trees x 2 x subsample
 nodes) is small enough to travel with the scoring tasks.
 """
 
@@ -12,11 +12,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from rhopool.operators.points import stack
 from rhopool.operators.scaling import exact_quantiles
+from rhopool.session import materialize
 
 
 def average_path(n: float) -> float:
@@ -63,21 +64,26 @@ class IsolationForest:
         self.psi = 0
 
     def fit(self, points: DataFrame) -> "IsolationForest":
-        pool = (points.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.trees * self.subsample)
-                .select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"))
-                .withColumn("h", F.xxhash64("id", "tree", F.lit(self.seed))))
-        size, seed = self.subsample, self.seed
+        pool = materialize(points.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.trees * self.subsample)
+                           .select("id", "v", F.monotonically_increasing_id().alias("pos")), "pool")
+        # Draws are made on ids alone; only the rows drawn meet their vectors.
+        draws = (pool.select("id", "pos", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"))
+                 .withColumn("h", F.xxhash64("id", "tree", F.lit(self.seed)))
+                 .withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy("h", "id", "pos")))
+                 .where(F.col("place") <= self.subsample))
+        drawn = draws.select("tree", "place", "pos").join(pool.select("pos", "v"), "pos")
+        seed = self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             t = int(pdf["tree"].iloc[0])
-            x = stack(pdf.sort_values(["h", "id"])["v"].head(size))
+            x = stack(pdf.sort_values("place")["v"])
             limit = max(1, math.ceil(math.log2(max(len(x), 2))))
             nodes = _grow(x, limit, np.random.default_rng([seed, t]))
             out = pd.DataFrame(nodes, columns=["f", "cut", "l", "r", "path"])
             out["tree"], out["node"], out["psi"] = t, np.arange(len(out)), len(x)
             return out[["tree", "node", "f", "cut", "l", "r", "path", "psi"]]
 
-        got = pool.groupBy("tree").applyInPandas(
+        got = drawn.groupBy("tree").applyInPandas(
             grow, "tree int, node int, f int, cut double, l int, r int, path double, psi int").toPandas()
         if got.empty:
             raise ValueError("no points to fit on")

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from rhopool.operators import density as D
+from rhopool.operators import forest as FO
 from rhopool.operators import neighbours as N
 from rhopool.operators import points as P
 
@@ -143,3 +144,18 @@ def test_dbscan_of_several_blocks(spark):
         label[i] = min(of, default=-1)
     got = D.dbscan(pts, 0.5, 5).toPandas().set_index("id").sort_index()
     assert got["is_core"].tolist() == core.tolist() and got["cluster_label"].tolist() == label.tolist()
+
+
+def test_trees_are_sent_their_subsample_only(monkeypatch, spark):
+    pts = spark.range(3000).selectExpr("cast(id as string) id", "array(cast(id % 7 as double), rand(1), rand(2)) v")
+    sizes = []
+    group = type(pts.groupBy("id"))
+    apply = group.applyInPandas
+
+    def seen(self, fn, schema):
+        sizes.extend(r["count"] for r in self.count().collect())
+        return apply(self, fn, schema)
+
+    monkeypatch.setattr(group, "applyInPandas", seen)
+    forest = FO.IsolationForest(trees=20, subsample=64).fit(pts)
+    assert forest.psi == 64 and len(forest.forest) == 20 and sizes == [64] * 20
