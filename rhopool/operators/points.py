@@ -232,7 +232,7 @@ class Estimate:
 
     def sure(self, u: float) -> float:
         if self.step:
-            return math.floor(u / self.step) - self.slack
+            return float(np.floor(u / self.step)) - self.slack
         return (max(u - self.off, 0.0) ** 2 - self.slack) * (1 - 1e-6)
 
     def most(self, e):

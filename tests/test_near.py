@@ -34,6 +34,15 @@ def test_estimates_are_bounds(name):
     _bounds_hold("euclidean", _clouds()[name])
 
 
+@pytest.mark.parametrize("name", list(_clouds()))
+def test_manhattan_estimates_are_bounds(name):
+    _bounds_hold("manhattan", _clouds()[name])
+
+
+def test_few_pairs_are_measured_in_manhattan(monkeypatch):
+    assert _measured_share(monkeypatch, "manhattan") < 0.1
+
+
 def test_no_estimate_of_huge_numbers():
     assert P.estimate(np.full((2, 2), 1e200), np.zeros((2, 2)), "euclidean") is None
 
